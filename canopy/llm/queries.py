@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import forms, reduce, survivor, topn
+from canopy.llm import forms, mixing, names, reduce, survivor, tokens, topn, truncation
 from canopy.session import table
 
 #: Parameter of problem 6: places per collection and score.
@@ -52,6 +52,10 @@ def _works(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "works")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.name_pairs(names.link_names(table(spark, folder, "name_forms")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.look_alike_works(_works(spark, folder).select("work_id", "title", "authors"))
 
@@ -64,5 +68,25 @@ def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.merged_records(_works(spark, folder), p5_found(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_merged": p4_merged, "p5_found": p5_found, "p6_found": p6_found}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.flag_truncated(table(spark, folder, "documents")).where("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.flag_truncated(table(spark, folder, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_merged": p4_merged, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE = {"p5_found": P5_SQL, "p6_found": P6_SQL}
