@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Takes effect for functions made afterwards; where executors have the package elsewhere
+    on their path, the extra entry changes nothing.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back: lineage ends, executors may be lost."""
     checkpoint_dir(df.sparkSession)
