@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.session import cut
+from canopy.session import cut, ship
 
 # Particles of surnames.
 PARTICLES = {"de", "la", "von", "van", "der", "den", "del", "della", "di", "da", "dos", "le", "du", "ter", "zu", "af", "al", "el", "bin", "ibn"}
@@ -215,6 +215,7 @@ def read_names(names: DataFrame) -> DataFrame:
     Which of two bare parts is the surname is decided by how often the sure readings of all
     names use either token as a surname or as a given name (at a tie, the last part).
     """
+    ship(names.sparkSession)
     chosen = names.where("name is not null and kind is not null").select(F.col("name_id").cast("long"), F.col("kind").cast("string"), F.col("name").cast("string"))
     read = chosen.mapInArrow(_readings, READING)
     sure = read.where("certainty = 'sure' and kind = 'author'")

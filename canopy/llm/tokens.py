@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import ship
+
 #: Parameter: the folder with the vocabulary files of the public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the word pattern of this byte-level BPE.
@@ -133,6 +135,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, tokenizers: str = TOKENI
     Null and empty texts have an empty list. Texts are encoded whole, in the task that reads
     them; nothing is shuffled. Repeated rows stay repeated; other columns aren't read.
     """
+    ship(df.sparkSession)
     path = f"{tokenizers}/{name}.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +156,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, tokenizers: str = TOKENI
 
 def token_counts(df: DataFrame, key: str, text: str, keep: list[str], **options) -> DataFrame:
     """(*keep, key, tokens): the number of ids of each text, computed in the same pass."""
+    ship(df.sparkSession)
     path = f"{options.get('tokenizers', TOKENIZERS)}/{options.get('name', 'byte_bpe_50k')}.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

