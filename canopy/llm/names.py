@@ -35,18 +35,18 @@ SHORT_FORMS = {
     "katya": "ekaterina", "katja": "ekaterina", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "peg": "margaret", "marge": "margaret", "seun": "oluwaseun", "olu": "oluwaseun", "liz": "elizabeth", "beth": "elizabeth", "lizzie": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "jenny": "jennifer", "jen": "jennifer", "jenn": "jennifer",
     "pepe": "jose", "pepito": "jose", "olya": "olga", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "tony": "anthony", "steve": "steven stephen", "dave": "david", "matt": "matthew", "andy": "andrew", "sam": "samuel", "max": "maximilian", "greg": "gregory", "tim": "timothy", "jeff": "jeffrey", "nate": "nathaniel", "abby": "abigail", "becky": "rebecca", "debbie": "deborah", "gabi": "gabriele", "lena": "helena", "nina": "antonina", "masha": "maria", "misha": "mikhail", "volodya": "vladimir", "kolya": "nikolai", "vanya": "ivan", "lucho": "luis", "nacho": "ignacio", "quique": "enrique", "toni": "antonia",
 }
-# Words that carry no name, legal forms, and short forms no prefix of their word.
+# Words that carry no name, legal forms and trades, and short forms no prefix of their word.
 SMALL_WORDS = {"of", "the", "in", "on", "and", "for", "de", "la", "und", "et", "y", "online", "print"}
-LEGAL_FORMS = {"gmbh", "sa", "ltd", "limited", "inc", "llc", "ag", "bv", "plc", "co", "kg", "srl", "spa"}
-WORD_FORMS = {"eds": "editions", "jnl": "journal", "jrnl": "journal", "pubs": "publishing", "pub": "publishing", "trs": "transactions", "intl": "international", "dept": "department", "assoc": "association"}
+LEGAL_FORMS = {"publishing", "publishers", "publisher", "publ", "gmbh", "sa", "ltd", "limited", "inc", "llc", "ag", "bv", "plc", "co", "kg", "srl", "spa"}
+WORD_FORMS = {"up": "university press", "eds": "editions", "pr": "press", "univ": "university", "jnl": "journal", "jrnl": "journal", "pubs": "publ", "pub": "publ", "trs": "transactions", "intl": "international", "dept": "department", "assoc": "association"}
 
 #: Parameters: q of the q-grams, hash functions of a signature, letters of a word that
 #: blocking looks at, and (similarity, recall) that the bands are tuned for: the lowest
 #: q-gram similarity of a pair that differs by one slip, and the share to be found there.
 Q, HASHES, STEM = 3, 120, 4
 TUNED = {"author": (0.43, 0.95), "venue": (0.55, 0.97), "publisher": (0.55, 0.97)}
-#: Parameters: the least token similarity and the least Monge-Elkan similarity of a match.
-TOKEN, MATCH = 0.64, 0.75
+#: Parameters: the slips allowed in a token and the least Monge-Elkan similarity of a match.
+SLIPS, MATCH = 1, 0.75
 
 
 def tuned_bands(similarity: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -133,11 +133,10 @@ def parse_author(name: str) -> list[tuple[str, list[str], str, str]]:
 def parse_title(name: str) -> list[str]:
     """The significant words of a venue or publisher, folded, in order of the alphabet."""
     words = re.findall(r"[^\W_]+(?:\.[^\W_](?=\.|$|\W))*", fold(name))
-    words = [w.replace(".", "") for w in words]
+    words = [x for w in words for x in WORD_FORMS.get(w.replace(".", ""), w.replace(".", "")).split()]
     kept = []
     for i, w in enumerate(words):
-        w = WORD_FORMS.get(w, w)
-        small = w in SMALL_WORDS or w in LEGAL_FORMS or (i and len(w) <= 4 and any(_one_slip(w, s) for s in ("of", "in", "on", "and", "the")))
+        small = w in SMALL_WORDS or w in LEGAL_FORMS or (i and any(_one_slip(w, s) and (len(w) <= 3 or set(w) == set(s)) for s in ("of", "in", "on", "and", "the")))
         if not small:
             kept.append(w)
     # Spaced-out legal forms such as "S. A."
@@ -281,11 +280,14 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def _token_similarity(x: Column, y: Column) -> Column:
-    """1 for equal tokens, and for a token that is the start of the other (an abbreviation); else by edits."""
+    """1 for equal tokens, less by the share of letters slipped, 0 beyond SLIPS slips.
+
+    A slip is an insertion, a deletion, a replacement or a swap of neighbours.
+    """
     edits = F.levenshtein(x, y)
-    # Two neighbours swapped count as one slip.
-    swapped = (edits == 2) & (F.length(x) == F.length(y)) & (F.array_join(F.array_sort(F.split(x, "")), "") == F.array_join(F.array_sort(F.split(y, "")), ""))
-    return 1 - F.when(swapped, F.lit(1)).otherwise(edits) / F.greatest(F.length(x), F.length(y))
+    letters = lambda z: F.array_join(F.array_sort(F.split(z, "")), "")
+    slips = F.when((edits == 2) & (F.length(x) == F.length(y)) & (letters(x) == letters(y)), F.lit(1)).otherwise(edits)
+    return F.when(slips <= SLIPS, 1 - slips / F.greatest(F.length(x), F.length(y))).otherwise(F.lit(0.0))
 
 
 def _shortened(x: Column, y: Column) -> Column:
@@ -311,21 +313,21 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b").join(classes.select(F.col("class").alias("b"), "kind"), "b"), "b")
     ta, tb, ga, gb, ia, ib = (F.col(x) for x in ("tokens_a", "tokens_b", "given_a", "given_b", "inits_a", "inits_b"))
     mean, least = monge_elkan(ta, tb, _token_similarity)
-    lead = _token_similarity(ta[0], tb[0]) >= TOKEN
+    lead = _token_similarity(ta[0], tb[0]) > 0
     table = F.create_map(*[F.lit(x) for k, v in FORMAL.items() for x in (k, v)])
     forms = lambda g: F.split(F.coalesce(F.try_element_at(table, g), g), " ")
     bare = lambda g: F.regexp_replace(g, "[-’']", "")
     full = (ga != "") & (gb != "")
-    alike = F.arrays_overlap(forms(ga), forms(gb)) | (F.array_max(F.transform(forms(ga), lambda x: F.array_max(F.transform(forms(gb), lambda y: _token_similarity(bare(x), bare(y)))))) >= TOKEN)
+    alike = F.arrays_overlap(forms(ga), forms(gb)) | (F.array_max(F.transform(forms(ga), lambda x: F.array_max(F.transform(forms(gb), lambda y: _token_similarity(bare(x), bare(y)))))) > 0)
     given = F.when(full, alike).otherwise(F.lit(True))
     # Behind a full given name on both sides the initials that follow it decide, so that a slip in the name doesn't.
     rest = lambda g, i: F.substring(i, 2, 99)
     ra, rb = F.when(full, rest(ga, ia)).otherwise(ia), F.when(full, rest(gb, ib)).otherwise(ib)
     initials = F.startswith(ra, rb) | F.startswith(rb, ra)
-    author = lead & (least >= TOKEN) & (mean >= MATCH) & given & initials
+    author = lead & (least > 0) & (mean >= MATCH) & given & initials
     wmean, wleast = monge_elkan(ta, tb, _shortened)
     other, oleast = monge_elkan(tb, ta, _shortened)
-    words = (F.size(ta) == F.size(tb)) & (wleast >= TOKEN) & (oleast >= TOKEN) & (wmean >= MATCH) & (other >= MATCH)
+    words = (F.size(ta) == F.size(tb)) & (wleast > 0) & (oleast > 0) & (wmean >= MATCH) & (other >= MATCH)
     ok = F.when(F.col("kind") == "author", author).otherwise(words)
     score = F.when(F.col("kind") == "author", mean + F.when(full & (ga == gb), 0.2).otherwise(0.0)).otherwise(wmean + F.when(ta == tb, 0.2).otherwise(0.0))
     return both.where(ok).select("a", "b", score.alias("score"))
@@ -334,8 +336,8 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """(class, centre): stars over the edges (a, b, score); weights: class, size.
 
-    In every round each free class that comes before all its free neighbours (more
-    neighbours weighted by size, then the smaller class) becomes a centre, and each free
+    In every round each free class that comes before all its free neighbours (more names
+    in it and its neighbours, then the smaller class) becomes a centre, and each free
     neighbour of centres joins the one with the best score (then weight, then the smaller
     class). This gives the stars of the sequential method, since a centre depends on
     earlier classes in its neighbourhood only. Ends when no edge between free classes is
@@ -343,7 +345,8 @@ def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b", "score").union(edges.select("b", "a", "score")).toDF("v", "n", "score")
     size = weights.select(F.col("class").alias("n"), "size")
-    degree = both.join(size, "n").groupBy("v").agg(F.sum("size").alias("d"))
+    around = both.join(size, "n").select("v", "size").union(both.select("v").distinct().join(size.withColumnRenamed("n", "v"), "v").select("v", "size"))
+    degree = around.groupBy("v").agg(F.sum("size").alias("d"))
     free = cut(both.join(degree, "v").join(degree.select(F.col("v").alias("n"), F.col("d").alias("dn")), "n"))
     found = []
     while True:
