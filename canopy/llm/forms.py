@@ -16,6 +16,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canopy.session import cut
+
 # Letters that look like a Latin letter in common typefaces, by script.
 LOOK_ALIKES = {
     # Cyrillic
@@ -166,49 +168,48 @@ def visual_forms(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return plain.unionByName(built)
 
 
-def look_alike_pairs(values: DataFrame, row: str, form: str, value: str) -> DataFrame:
-    """(a, b), a < b: rows of `values` whose forms are equal and whose values aren't.
+def look_alike_pairs(values: DataFrame, by: list[str], row: str, value: str) -> DataFrame:
+    """(*by, a, b), a < b: rows of `values` equal in `by` (one of them the form) whose values aren't.
 
     Equal values are first put together, and only the different spellings of a form are
     paired, so a form that a third of all rows hold in one spelling makes no pairs of its
-    own. Rows with a null form or value are left out.
+    own. Rows with a null in `by` or value are left out.
     """
-    spellings = values.where(F.col(form).isNotNull() & F.col(value).isNotNull()).groupBy(form, value).agg(F.min(row).alias("_rep"))
-    many = spellings.groupBy(form).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(form)
-    spellings = spellings.join(many, form)
-    s, t = spellings.select(form, F.col(value).alias("v1")), spellings.select(form, F.col(value).alias("v2"))
-    pairs = s.join(t, form).where("v1 < v2").select("v1", "v2")
-    rows = values.select(F.col(row).alias("_r"), F.col(value).alias("_v"))
-    first = pairs.join(rows.select(F.col("_r").alias("_a"), F.col("_v").alias("v1")), "v1")
-    both = first.join(rows.select(F.col("_r").alias("_b"), F.col("_v").alias("v2")), "v2")
-    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-
-
-def title_forms(works: DataFrame) -> DataFrame:
-    """(work_id, value, form) of each title that isn't null or blank (also after tidying)."""
-    titles = works.where("trim(title) <> ''").select("work_id", "title")
-    return titles.join(visual_forms(titles, ["work_id"], "title"), "work_id").where("form <> ''").select("work_id", F.col("title").alias("value"), "form")
-
-
-def author_forms(works: DataFrame) -> DataFrame:
-    """(work_id, value, form) of each list of authors that isn't null or empty.
-
-    Both are strings that lists share only if they have equal elements in equal places
-    (a null element equals a null element only).
+    values = values.dropna(subset=[*by, value])
+    spellings = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    many = spellings.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(*by)
+    rows = cut(values.join(many, by))
+    spellings = rows.select(*by, value).distinct()
+    pairs = spellings.withColumnRenamed(value, "_v1").join(spellings.withColumnRenamed(value, "_v2"), by).where("_v1 < _v2")
+    first = pairs.join(rows.select(*by, F.col(row).alias("_a"), F.col(value).alias("_v1")), [*by, "_v1"])
+    both = first.join(rows.select(*by, F.col(row).alias("_b"), F.col(value).alias("_v2")), [*by, "_v2"])
+    return both.select(*by, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
+def work_forms(works: DataFrame) -> DataFrame:
+    """(field, work_id, value, form) of the titles and author lists of works rows.
+
+    Titles that are null or blank, also after tidying, and null and empty lists are left
+    out. value and form of a list are strings that lists share only if they have equal
+    elements in equal places (a null element equals a null element only).
     """
-    lists = works.where(F.size("authors") > 0).select("work_id", "authors")
-    each = lists.select("work_id", F.posexplode("authors").alias("place", "name"))
-    forms = visual_forms(each, ["work_id", "place"], "name")
-    built = (
-        each.select("work_id", "place").join(forms, ["work_id", "place"], "left").groupBy("work_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("place", "form"))), lambda x: F.coalesce(x["form"], F.lit("\u0000")))).alias("form"))
+    title, nothing = F.lit(-1), F.lit("\u0000")
+    cells = F.concat(F.array(F.struct(title.alias("place"), F.col("title").alias("text"))), F.transform(F.coalesce("authors", F.array()), lambda x, i: F.struct(i.alias("place"), x.alias("text"))))
+    each = works.select("work_id", F.inline(cells))
+    forms = visual_forms(each, ["work_id", "place"], "text")
+    lists = F.sort_array(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "text", "form"))))
+    built = each.join(forms, ["work_id", "place"], "left").groupBy("work_id").agg(
+        F.max(F.when(F.col("place") < 0, F.col("text"))).alias("title"), F.max(F.when(F.col("place") < 0, F.col("form"))).alias("title_form"), lists.alias("names")
+    )
+    json = lambda part: F.to_json(F.transform("names", lambda x: F.coalesce(x[part], nothing)))
+    fields = F.array(
+        F.struct(F.lit("title").alias("field"), F.when(F.col("title_form") != "", F.col("title")).alias("value"), F.col("title_form").alias("form")),
+        F.struct(F.lit("authors").alias("field"), F.when(F.size("names") > 0, json("text")).alias("value"), json("form").alias("form")),
     )
-    return lists.select("work_id", F.to_json(F.transform("authors", lambda x: F.coalesce(x, F.lit("\u0000")))).alias("value")).join(built, "work_id").select("work_id", "value", "form")
+    return built.select("work_id", F.inline(fields)).where("value is not null").select("field", "work_id", "value", "form")
 
 
 def look_alike_works(works: DataFrame) -> DataFrame:
     """(field, work_a, work_b): rows whose titles or author lists look the same and differ."""
-    parts = []
-    for field, forms in (("title", title_forms(works)), ("authors", author_forms(works))):
-        pairs = look_alike_pairs(forms, "work_id", "form", "value")
-        parts.append(pairs.select(F.lit(field).alias("field"), F.col("a").alias("work_a"), F.col("b").alias("work_b")))
-    return parts[0].unionByName(parts[1])
+    pairs = look_alike_pairs(cut(work_forms(works)), ["field", "form"], "work_id", "value")
+    return pairs.select("field", F.col("a").alias("work_a"), F.col("b").alias("work_b"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Parameters of a spike: lengths within NEAR count as neighbours; a spike has at least
 #: LEAST different texts and TIMES as many as its neighbours have on average.
 NEAR, LEAST, TIMES = 25, 4, 8.0
+#: Parameter: a spike is at the maximum if at most this share of a source's texts is longer.
+BEYOND = 0.005
 #: Parameter: bytes that a cut at a byte limit may lose or gain in the last character.
 BELOW, ABOVE = 3, 2
 
@@ -34,8 +36,6 @@ CLOSING_LINES = [
 ]
 #: A remark in parentheses or an address after a full sentence.
 AFTER_SENTENCE = rf"{STOPS}{CLOSERS}\s+(?:\([^()]{{2,60}}\)|https?://\S+[\p{{L}}\p{{N}}/])$"
-REFERENCE = r"(?:^|\n)\[\d+\] [^\n]*$"
-REFERENCE_END = r"doi:\S+$"
 
 
 def _body(text: Column) -> Column:
@@ -47,39 +47,40 @@ def _count(body: Column, char: str) -> Column:
     return F.length(body) - F.length(F.replace(body, F.lit(char), F.lit("")))
 
 
-def endings(text: Column) -> dict[str, Column]:
-    """kind and term of the end of a text.
+def with_endings(texts: DataFrame, text: str) -> DataFrame:
+    """`texts` with columns kind and term for the end of each text.
 
     kind is 'sentence', 'closing', 'list' (term: its last term), 'mark' (a mark stands for
     the rest, or the sentence ends in an ellipsis), 'structure' (an open one) or 'open'.
     """
-    body = _body(text)
-    last = F.regexp_extract(body, r"[^\n]*$", 0)
+    # Two projections, so that the body of a text is found once and not for every test.
+    texts = texts.withColumn("_body", _body(F.col(text))).withColumn("_last", F.substring_index("_body", "\n", -1))
+    body, last = F.col("_body"), F.col("_last")
     tail = F.regexp_extract(last, LIST_HEAD + r"([^:：]*)$", 1)
     item = F.regexp_extract(last, r"^[-*•] ([^.?!。:;]*)$", 1)
     term = F.trim(F.when(item != "", item).otherwise(F.element_at(F.split(tail, "[;；]"), -1)))
     term = F.when(term.rlike(STOPS + "$"), F.lit("")).otherwise(term)
     bib = body.rlike(r"^\s*@\p{L}+\{")
-    dois = body.rlike(r"(?m)^\[\d+\] .*doi:\S+$")
-    lengths = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\[\d+\] .*(doi:\S+)$"), F.lit(1)), lambda x: F.length(x))
-    whole = body.rlike(REFERENCE_END) & (F.element_at(lengths, -1) >= F.array_min(lengths))
-    reference = body.rlike(REFERENCE)
+    reference = last.rlike(r"^\[\d+\] ")
+    dois = F.regexp_extract_all(body, F.lit(r"(?m)^\[\d+\] .*(doi:\S+)$"), F.lit(1))
+    # Of several references the last address is as long as the shortest, if it is whole.
+    whole = last.rlike(r"doi:\S+$") & (F.length(F.element_at(dois, -1)) >= F.array_min(F.transform(dois, lambda x: F.length(x))))
     kind = (
         F.when(bib & (_count(body, "{") > _count(body, "}")), "structure")
         .when(_count(body, "```") % 6 == 3, "structure")
         .when(last.rlike(r"\([^()]*$"), "structure")
         .when(reference & whole, "closing")
-        .when(reference & dois, "structure")
+        .when(reference & (F.size(dois) > 0), "structure")
         .when(bib & body.endswith("}"), "closing")
-        .when(body.rlike(REPLACED), "mark")
-        .when(body.rlike(ABBREVIATION), "open")
-        .when(body.rlike(SENTENCE), "sentence")
-        .when(F.lit(False) if not CLOSING_LINES else last.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
-        .when(body.rlike(AFTER_SENTENCE), "closing")
+        .when(last.rlike(REPLACED), "mark")
+        .when(last.rlike(ABBREVIATION), "open")
+        .when(last.rlike(SENTENCE), "sentence")
+        .when(last.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
+        .when(last.rlike(AFTER_SENTENCE), "closing")
         .when(F.coalesce(term, F.lit("")) != "", "list")
         .otherwise("open")
     )
-    return {"kind": kind, "term": F.lower(term)}
+    return texts.withColumn("kind", kind).withColumn("term", F.lower(term)).drop("_body", "_last")
 
 
 def whole_terms(documents: DataFrame, text: str) -> DataFrame:
@@ -92,15 +93,19 @@ def whole_terms(documents: DataFrame, text: str) -> DataFrame:
 
 
 def length_spikes(sized: DataFrame) -> DataFrame:
-    """(source, unit, size): lengths at which a source's histogram of different texts spikes.
+    """(source, unit, size): maximal lengths at which a source's histogram of different texts spikes.
 
     sized: source, chars, bytes and text_hash. Repeated texts count once.
     """
     cells = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))
     distinct = sized.select("source", "text_hash", "chars", "bytes").distinct()
     hist = distinct.select("source", F.inline(cells)).groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
-    near = F.sum("n").over(Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-NEAR, NEAR)) - F.col("n")
-    return hist.withColumn("near", near).where((F.col("n") >= LEAST) & (F.col("n") >= TIMES * F.col("near") / (2 * NEAR))).select("source", "unit", "size")
+    own = Window.partitionBy("source", "unit")
+    near = F.sum("n").over(own.orderBy("size").rangeBetween(-NEAR, NEAR)) - F.col("n")
+    beyond = F.sum("n").over(own.orderBy(F.desc("size"))) - F.col("n")
+    hist = hist.select("*", near.alias("near"), beyond.alias("beyond"), F.sum("n").over(own).alias("all"))
+    spiked = (F.col("n") >= LEAST) & (F.col("n") >= TIMES * F.col("near") / (2 * NEAR)) & (F.col("beyond") <= BEYOND * F.col("all") + F.when(F.col("unit") == "bytes", ABOVE).otherwise(0))
+    return hist.where(spiked).select("source", "unit", "size")
 
 
 def flag_truncated(documents: DataFrame) -> DataFrame:
@@ -111,9 +116,8 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     kind of end are shuffled.
     """
     texts = documents.where(_body(F.coalesce("text", F.lit(""))) != "")
-    ends = endings(F.col("text"))
-    sized = texts.select(
-        "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), ends["kind"].alias("kind"), ends["term"].alias("term")
+    sized = with_endings(texts, "text").select(
+        "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), "kind", "term"
     )
     spikes = length_spikes(sized)
     spikes = spikes.union(spikes.select(F.lit("").alias("source"), "unit", "size")).distinct()
