@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.plans import integrity
+from canopy.plans import graph, integrity, works
 
-MODULES = [integrity]
+MODULES = [works, graph, integrity]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p3_report"](spark, folder)
+    return queries()["sap_categories"](spark, folder)
