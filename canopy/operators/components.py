@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.operators import local
 from canopy.session import cut
 
 
@@ -43,6 +44,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     if vertices is not None:
         known = known.union(vertices.select(vertices.columns[0]).where(F.col(vertices.columns[0]).isNotNull()))
     stars = cut(normal_edges(edges))
+    known = known.distinct()
+    if local.fits(stars, 2) and local.fits(known, 2):
+        return cut(local.components(stars.union(known.select("id", F.lit(None).cast(stars.schema["b"].dataType)))))
     mark = None
     while True:
         now = stars.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -50,4 +54,4 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
             break
         mark = now
         stars = cut(_star(_star(stars, True), False))
-    return known.distinct().join(stars.select(F.col("b").alias("id"), F.col("a").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return known.join(stars.select(F.col("b").alias("id"), F.col("a").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.operators import local
 from canopy.operators.components import connected_components
 from canopy.session import cut
 
@@ -106,7 +107,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reaches it, and takes of each colour what reaches its root again; repeats on the rest.
     component is the largest vertex of the component.
     """
-    core = _trim(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    core = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    if local.fits(core):
+        return cut(local.strong_components(core))
+    core = _trim(core)
     found = []
     while core.take(1):
         colours = _spread(core, vertices_of(core).select("id", F.col("id").alias("c")), F.max)
@@ -153,6 +157,12 @@ def topological_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     cites. Raises CycleError if some vertex is never free.
     """
     edges = cut(edges.select("src", "dst").distinct())
+    if local.fits(edges, 2) and local.fits(vertices, 2):
+        ends = edges.union(vertices.select("id", F.lit(None).cast(edges.schema["dst"].dataType)))
+        levels = cut(local.topological_levels(ends))
+        if levels.where("level < 0").take(1):
+            raise CycleError("graph has a cycle")
+        return levels
     open_ = cut(degrees(edges, vertices).select("id", F.col("in_degree").alias("n")))
     left, level, done = open_.count(), 0, []
     while left:
@@ -177,8 +187,16 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     values = [c for c in seeds.columns if c != "id"]
     edges = cut(edges.select("src", "dst").distinct())
+    seeds = cut(seeds)
+    if local.fits(edges, 2) and local.fits(seeds, 2):
+        if not seeds.take(1):
+            return seeds
+        try:
+            return cut(local.propagate(edges, seeds, values))
+        except Exception as e:
+            raise CycleError("graph has a cycle") if "graph has a cycle" in str(e) else e from None
     most = None
-    frontier = cut(seeds)
+    frontier = seeds
     waves = [frontier]
     while frontier.take(1):
         step = frontier.join(edges.withColumnRenamed("dst", "id"), "id").groupBy("src").agg(*[F.sum(v).alias(v) for v in values])
@@ -199,6 +217,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     arcs = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
+    sources = cut(sources.select("id").distinct())
+    asked = sources.count()
+    if asked and local.fits(arcs, 1 + asked):
+        found = cut(local.shortest_paths(arcs, sources))
+        return found if known is None else cut(known.unionByName(found))
     first = sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["id"].dataType).alias("parent"))
     best = frontier = cut(first)
     while frontier.take(1):

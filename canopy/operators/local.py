@@ -1,0 +1,230 @@
+"""Graph algorithms for graphs that were counted and fit one task.
+
+The iterative operators pay a round of Spark jobs for every step along a path. A graph of
+at most LOCAL_EDGES edges is instead handed to one executor task, which solves it in numpy
+and returns the same rows. Larger graphs, and all graphs if LOCAL_EDGES is 0, take the
+distributed rounds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from canopy.session import ship
+
+#: Parameter: the most edges that one task takes.
+LOCAL_EDGES = 1_000_000
+
+
+def fits(edges: DataFrame, times: int = 1) -> bool:
+    """True if `edges` was counted and found small enough; times: how often a task holds it."""
+    bound = LOCAL_EDGES // max(times, 1)
+    return bound > 0 and edges.limit(bound + 1).count() <= bound
+
+
+class Codes:
+    """Vertices of a table as numbers in the order of their ids."""
+
+    def __init__(self, *columns: pa.ChunkedArray):
+        ids = pc.unique(pa.chunked_array([c for col in columns for c in col.drop_null().chunks], type=columns[0].type))
+        self.ids = ids.take(pc.sort_indices(ids))
+        self.size = len(self.ids)
+
+    def of(self, column: pa.ChunkedArray) -> np.ndarray:
+        return pc.index_in(column, self.ids).to_numpy(zero_copy_only=False)
+
+
+def in_one_task(df: DataFrame, solve: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """The columns that `solve` makes of all rows of `df`, in one task."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if batches:
+            out = pa.table(solve(pa.Table.from_batches(batches)))
+            yield from out.combine_chunks().to_batches(100_000)
+
+    return df.coalesce(1).mapInArrow(run, schema)
+
+
+def _id_type(df: DataFrame) -> str:
+    return df.schema[0].dataType.simpleString()
+
+
+def components(ends: DataFrame) -> DataFrame:
+    """(id, component) of ends (a, b); a null b makes a an isolated vertex."""
+
+    def solve(t: pa.Table) -> dict:
+        codes = Codes(t["a"], t["b"])
+        t = t.filter(pc.is_valid(t["b"]))
+        a, b = codes.of(t["a"]), codes.of(t["b"])
+        label = np.arange(codes.size)
+        while len(a):
+            la, lb = label[a], label[b]
+            low = np.minimum(la, lb)
+            if (la == lb).all():
+                break
+            np.minimum.at(label, la, low)
+            np.minimum.at(label, lb, low)
+            while (label[label] != label).any():
+                label = label[label]
+        return {"id": codes.ids, "component": codes.ids.take(pa.array(label))}
+
+    kind = _id_type(ends)
+    return in_one_task(ends.toDF("a", "b"), solve, f"id {kind}, component {kind}")
+
+
+def _peel(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Which edges are left once vertices without in-edges or out-edges are gone."""
+    alive = np.ones(len(src), bool)
+    while True:
+        has_in, has_out = np.zeros(n, bool), np.zeros(n, bool)
+        has_in[dst[alive]], has_out[src[alive]] = True, True
+        keep = alive & has_in[src] & has_out[dst]
+        if keep.sum() == alive.sum():
+            return keep
+        alive = keep
+
+
+def _reach(start: int, first: np.ndarray, targets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The vertices inside that `start` reaches; first: the offsets of each vertex's targets."""
+    seen = np.zeros(len(inside), bool)
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        nexts = np.concatenate([targets[first[v] : first[v + 1]] for v in front.tolist()])
+        nexts = np.unique(nexts)
+        front = nexts[inside[nexts] & ~seen[nexts]]
+        seen[front] = True
+    return seen
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of strongly connected components of two or more, called by their largest vertex."""
+
+    def solve(t: pa.Table) -> dict:
+        codes = Codes(t["src"], t["dst"])
+        src, dst = codes.of(t["src"]), codes.of(t["dst"])
+        n = codes.size
+        ids, labels = [], []
+        stack = [(src, dst)]
+        while stack:
+            s, d = stack.pop()
+            left = _peel(s, d, n)
+            s, d = s[left], d[left]
+            if not len(s):
+                continue
+            inside = np.zeros(n, bool)
+            inside[s] = inside[d] = True
+            order, back = np.argsort(s, kind="stable"), np.argsort(d, kind="stable")
+            first, last = np.searchsorted(s[order], np.arange(n + 1)), np.searchsorted(d[back], np.arange(n + 1))
+            # The busiest vertex most likely lies in the largest component.
+            pivot = int(np.argmax(np.minimum(np.diff(first), np.diff(last))))
+            forward, backward = _reach(pivot, first, d[order], inside), _reach(pivot, last, s[back], inside)
+            own = forward & backward
+            if own.sum() > 1:
+                members = np.flatnonzero(own)
+                ids.append(members)
+                labels.append(np.full(len(members), members.max()))
+            # Every other component lies wholly in one of three parts.
+            for part in (forward & ~own, backward & ~own, inside & ~forward & ~backward):
+                e = part[s] & part[d]
+                if e.any():
+                    stack.append((s[e], d[e]))
+        at, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, labels))
+        return {"id": codes.ids.take(pa.array(at)), "component": codes.ids.take(pa.array(of))}
+
+    kind = _id_type(edges)
+    return in_one_task(edges.select("src", "dst"), solve, f"id {kind}, component {kind}")
+
+
+def topological_levels(ends: DataFrame) -> DataFrame:
+    """(id, level) of ends (src, dst); a null dst makes src isolated, vertices behind a cycle have level -1."""
+
+    def solve(t: pa.Table) -> dict:
+        codes = Codes(t["src"], t["dst"])
+        t = t.filter(pc.is_valid(t["dst"]))
+        src, dst = codes.of(t["src"]), codes.of(t["dst"])
+        open_ = np.bincount(dst, minlength=codes.size)
+        order = np.argsort(src, kind="stable")
+        first = np.searchsorted(src[order], np.arange(codes.size + 1))
+        level = np.full(codes.size, -1)
+        free, now = np.flatnonzero(open_ == 0), 0
+        while len(free):
+            level[free] = now
+            paid = np.concatenate([dst[order[first[v] : first[v + 1]]] for v in free.tolist()])
+            open_ -= np.bincount(paid, minlength=codes.size)
+            touched = np.unique(paid)
+            free = touched[open_[touched] == 0]
+            now += 1
+        return {"id": codes.ids, "level": pa.array(level, pa.int32())}
+
+    return in_one_task(ends.toDF("src", "dst"), solve, f"id {_id_type(ends)}, level int")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, values: list[str]) -> DataFrame:
+    """Sums of seeds over all paths as in graph.propagate; raises ValueError on a cycle."""
+    rows = edges.select("src", "dst", *[F.lit(0.0).alias(v) for v in values]).union(seeds.select("id", F.lit(None).cast(edges.schema["dst"].dataType), *values))
+
+    def solve(t: pa.Table) -> dict:
+        codes = Codes(t["src"], t["dst"])
+        arcs, start = t.filter(pc.is_valid(t["dst"])), t.filter(pc.is_null(t["dst"]))
+        src, dst = codes.of(arcs["src"]), codes.of(arcs["dst"])
+        at = codes.of(start["src"])
+        wave = np.stack([np.bincount(at, start[v].to_numpy(), codes.size) for v in values])
+        reached = np.zeros(codes.size, bool)
+        reached[at] = True
+        front, total = reached.copy(), wave.copy()
+        for _ in range(codes.size + 1):
+            use = front[dst]
+            if not use.any():
+                break
+            s, d = src[use], dst[use]
+            wave = np.stack([np.bincount(s, w[d], codes.size) for w in wave])
+            front = np.zeros(codes.size, bool)
+            front[s] = True
+            reached |= front
+            total += wave
+        else:
+            raise ValueError("graph has a cycle")
+        keep = pa.array(np.flatnonzero(reached))
+        return {"id": codes.ids.take(keep)} | {v: total[i][reached] for i, v in enumerate(values)}
+
+    return in_one_task(rows, solve, f"id {_id_type(edges)}, " + ", ".join(f"{v} double" for v in values))
+
+
+def shortest_paths(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, dist, parent) over arcs (src, dst, w) as in graph.shortest_paths."""
+    rows = arcs.select("src", "dst", "w").union(sources.select("id", F.lit(None).cast(arcs.schema["dst"].dataType), F.lit(0.0)))
+
+    def solve(t: pa.Table) -> dict:
+        codes = Codes(t["src"], t["dst"])
+        own, start = t.filter(pc.is_valid(t["dst"])), t.filter(pc.is_null(t["dst"]))
+        src, dst, w = codes.of(own["src"]), codes.of(own["dst"]), own["w"].to_numpy()
+        parts = []
+        for s in np.unique(codes.of(start["src"])).tolist():
+            dist = np.full(codes.size, np.inf)
+            dist[s] = 0.0
+            while True:
+                before = dist.copy()
+                np.minimum.at(dist, dst, before[src] + w)
+                if (dist == before).all():
+                    break
+            parent = np.full(codes.size, codes.size)
+            tight = np.isfinite(dist[src]) & (dist[src] + w == dist[dst])
+            np.minimum.at(parent, dst[tight], src[tight])
+            parent[s] = codes.size
+            at = np.flatnonzero(np.isfinite(dist))
+            parts.append((np.full(len(at), s), at, dist[at], parent[at]))
+        source, at, dist, parent = (np.concatenate(x) for x in zip(*parts))
+        above = codes.ids.take(pa.array(np.where(parent < codes.size, parent, 0), mask=parent >= codes.size))
+        return {"source": codes.ids.take(pa.array(source)), "id": codes.ids.take(pa.array(at)), "dist": dist, "parent": above}
+
+    kind = _id_type(arcs)
+    return in_one_task(rows, solve, f"source {kind}, id {kind}, dist double, parent {kind}")
