@@ -9,8 +9,6 @@ contraction, and the labels are carried back to the removed vertices in reverse
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +133,3 @@ def group_works(works: DataFrame, match_pairs: DataFrame) -> DataFrame:
     roots = consolidate(work_edges(works, match_pairs))
     least = roots.groupBy("root").agg(F.min("v").alias("group_id"))
     return roots.join(least, "root").select(F.col("v").alias("work_id"), "group_id")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
