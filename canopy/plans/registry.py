@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.plans import graph, integrity, works
+from canopy.plans import catalog, graph, integrity, works
 
-MODULES = [works, graph, integrity]
+MODULES = [works, graph, catalog, integrity]
 
 
 def queries() -> dict:
