@@ -34,7 +34,8 @@ def flag_orphans(
     ref_time: str | None = None,
     target_time: str | None = None,
 ) -> DataFrame:
-    """`refs` without the rows that hold no reference, plus boolean column ``is_orphan``.
+    """`refs` without the rows that hold no reference, plus boolean column ``is_orphan``
+    (which replaces one of that name; names with two leading underscores are reserved).
 
     keys: pairs (column of refs, column of targets). Null and blank strings are absent.
     ref_time, target_time: a target counts only from its target_time on; a reference or
@@ -48,31 +49,31 @@ def flag_orphans(
         raise ValueError(f"match must be one of {MATCHES}")
     if (ref_time is None) != (target_time is None):
         raise ValueError("ref_time and target_time go together")
-    refs = refs.withColumn("_mask", reduce(lambda a, b: a + b, [F.when(_absent(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, (r, _) in enumerate(keys)]))
+    refs = refs.withColumn("__mask", reduce(lambda a, b: a + b, [F.when(_absent(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, (r, _) in enumerate(keys)]))
     everything = (1 << len(keys)) - 1
     parts = []
     for absent in product((False, True), repeat=len(keys)):
         mask = sum(1 << i for i, gone in enumerate(absent) if gone)
-        own = refs.where(F.col("_mask") == mask)
+        own = refs.where(F.col("__mask") == mask)
         if mask == everything or (mask and match == "simple"):
             continue
         if mask and match == "full":
             parts.append(own.withColumn("is_orphan", F.lit(True)))
             continue
         used = [k for k, gone in zip(keys, absent) if not gone]
-        on = [f"_t{i}" for i in range(len(used))]
+        on = [f"__t{i}" for i in range(len(used))]
         earliest = F.min(target_time) if target_time else F.lit(1)
         known = (
             targets.where(reduce(lambda a, b: a & b, [~_absent(t) for _, t in used]))
             .groupBy(*[F.col(t).alias(a) for a, (_, t) in zip(on, used)])
-            .agg(earliest.alias("_from"))
+            .agg(earliest.alias("__from"))
         )
         same = reduce(lambda a, b: a & b, [F.col(r) == F.col(a) for a, (r, _) in zip(on, used)])
-        found = F.col("_from") <= F.col(ref_time) if ref_time else F.col("_from").isNotNull()
-        parts.append(own.join(known, same, "left").withColumn("is_orphan", ~F.coalesce(found, F.lit(False))).drop(*on, "_from"))
+        found = F.col("__from") <= F.col(ref_time) if ref_time else F.col("__from").isNotNull()
+        parts.append(own.join(known, same, "left").withColumn("is_orphan", ~F.coalesce(found, F.lit(False))).drop(*on, "__from"))
     if not parts:
-        return refs.where(F.lit(False)).withColumn("is_orphan", F.lit(False)).drop("_mask")
-    return reduce(DataFrame.unionByName, parts).drop("_mask")
+        return refs.where(F.lit(False)).withColumn("is_orphan", F.lit(False)).drop("__mask")
+    return reduce(DataFrame.unionByName, parts).drop("__mask")
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], **options) -> DataFrame:
