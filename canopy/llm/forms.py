@@ -117,7 +117,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Both tables; their sizes are those of the Unicode database and never grow with the data."""
     d = spark.createDataFrame(decompositions(), "seg string, parts array<struct<ch: string, ccc: int>>")
     c = spark.createDataFrame(compositions(), "head string, known map<string, string>")
-    return F.broadcast(d), F.broadcast(c)
+    return F.broadcast(d.coalesce(1)), F.broadcast(c.coalesce(1))
 
 
 def _compose(head: Column, marks: Column, known: Column) -> Column:

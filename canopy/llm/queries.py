@@ -12,9 +12,10 @@ TOP = 10
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = table(spark, folder, "nodes").select("id", "collection_id", "rootness", "trunkness", "leafness", "loaded_at", "removed_at")
-    live = topn.latest_rows(nodes, "id", "loaded_at").where("removed_at is null").withColumnRenamed("id", "node_id")
-    return topn.top_n_per_group(live, "collection_id", "node_id", ["rootness", "trunkness", "leafness"], TOP)
+    scores = ["rootness", "trunkness", "leafness"]
+    latest = topn.latest_rows(table(spark, folder, "nodes"), "id", "loaded_at", ["collection_id", *scores, "removed_at"])
+    live = latest.where("removed_at is null").withColumnRenamed("id", "node_id")
+    return topn.top_n_per_group(live, "collection_id", "node_id", scores, TOP)
 
 
 P6_SQL = """

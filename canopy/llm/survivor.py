@@ -9,12 +9,11 @@ latest value survives.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.forms import visual_forms
+from canopy.session import cut
 
 #: Stand-ins that say a title or an abstract is missing, in lower case and
 #: without outer brackets and final stops.
@@ -80,16 +79,12 @@ def current_values(rows: DataFrame, group: str, time: str, fields: list[str], le
     return ranked.groupBy(group, "field").agg(best.alias("b")).select(group, "field", F.col("b.value").alias("value"), (-F.col("b.first")).alias("work_id"))
 
 
-def text_lengths(rows: DataFrame, field: str) -> DataFrame:
-    """(work_id, size) of each usable text: its characters in problem 2's form."""
-    texts = rows.where(F.trim(field) != "").select("work_id", field)
-    return visual_forms(texts, ["work_id"], field).where((F.col("form") != "") & ~is_stand_in(F.col("form"))).select("work_id", F.char_length("form").cast("long").alias("size"))
-
-
-def _supplier(rows: DataFrame, field: str, lead: list[str]) -> DataFrame:
-    """(group_id, field, work_id): the row first in the declared order (lead columns high first)."""
-    order = F.max(F.struct(*lead, F.coalesce("rich", F.lit(False)).alias("rich"), F.col("updated_at"), (-F.col("work_id")).alias("first")))
-    return rows.groupBy("group_id").agg(order.alias("o")).select("group_id", F.lit(field).alias("field"), (-F.col("o.first")).alias("work_id"))
+def text_lengths(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(work_id, field, size) of each usable text: its characters in problem 2's form."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    texts = rows.select("work_id", F.inline(cells)).where(F.trim("text") != "")
+    forms = visual_forms(texts, ["work_id", "field"], "text").where((F.col("form") != "") & ~is_stand_in(F.col("form")))
+    return forms.select("work_id", "field", F.char_length("form").alias("size"))
 
 
 def suppliers(works: DataFrame, groups: DataFrame) -> DataFrame:
@@ -101,12 +96,12 @@ def suppliers(works: DataFrame, groups: DataFrame) -> DataFrame:
     without a usable value give no row for the field. All maxima are aggregated before the
     shuffle, so a group of any size is never gathered.
     """
-    rows = works.select("work_id", "title", "abstract", "times_cited", "rich", "updated_at").join(groups, "work_id")
-    parts = []
-    for field in ("title", "abstract"):
-        parts.append(_supplier(rows.select("work_id", "group_id", "rich", "updated_at").join(text_lengths(rows.select("work_id", field), field), "work_id"), field, ["size"]))
-    parts.append(_supplier(rows.where("times_cited >= 0"), "times_cited", []))
-    return reduce(DataFrame.unionByName, parts)
+    rows = cut(works.select("work_id", "title", "abstract", "times_cited", "rich", "updated_at").join(groups, "work_id"))
+    trust = ["work_id", "group_id", "rich", "updated_at"]
+    sized = text_lengths(rows, ["title", "abstract"]).join(rows.select(*trust), "work_id")
+    cited = rows.where("times_cited >= 0").select(*trust, F.lit("times_cited").alias("field"), F.lit(0).alias("size"))
+    order = F.struct("size", F.coalesce("rich", F.lit(False)).alias("rich"), "updated_at", (-F.col("work_id")).alias("first"))
+    return sized.unionByName(cited).groupBy("group_id", "field").agg(F.max(order).alias("o")).select("group_id", "field", (-F.col("o.first")).alias("work_id"))
 
 
 def merged_records(works: DataFrame, groups: DataFrame) -> DataFrame:

@@ -127,12 +127,12 @@ def top_n_per_group(df: DataFrame, group: str, item: str, measures: list[str], n
     return merged.select(F.col("g").alias(group), F.col("m").alias("score_name"), "place", F.col("item").alias(item))
 
 
-def latest_rows(df: DataFrame, key: str, time: str) -> DataFrame:
-    """One row per key, the one with the latest time (a null time is oldest).
+def latest_rows(df: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
+    """(key, *columns): one row per key, the one with the latest time (a null time is oldest).
 
-    Of several rows with that time the one whose other columns compare greatest stays. Rows
-    with a null key are left out.
+    Of several rows with that time the one whose columns compare greatest stays. Rows with
+    a null key are left out, and other columns aren't read. An aggregation, so repeated
+    keys shrink before the shuffle.
     """
-    rest = [c for c in df.columns if c not in (key, time)]
-    best = F.max(F.struct(F.col(time), *[F.col(c) for c in rest]))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
+    best = F.max(F.struct(F.col(time).alias("__time"), *columns))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("__best")).select(key, *[F.col(f"__best.{c}").alias(c) for c in columns])

@@ -34,13 +34,17 @@ CLOSING_LINES = [
     r"© ?\d{4} (?:The Authors|All rights reserved)$",
     r"[—–-] ?(?:Curated|Compiled|Edited|Prepared) by .+ (?:group|team|board|library|archive|office|committee|project)$",
 ]
+#: White space and invisible characters that may stand after a text.
+AFTER_TEXT = " \t\n\v\f\r\x85\xa0\xad\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)]))
+#: Parameter: characters at the end of a text in which its last mark, remark or closing line stands.
+END = 200
 #: A remark in parentheses or an address after a full sentence.
 AFTER_SENTENCE = rf"{STOPS}{CLOSERS}\s+(?:\([^()]{{2,60}}\)|https?://\S+[\p{{L}}\p{{N}}/])$"
 
 
 def _body(text: Column) -> Column:
     """The text without white space, invisible characters or line ends after it."""
-    return F.regexp_replace(text, r"(?U)[\s\p{Cf}]+\z", "")
+    return F.rtrim(text, F.lit(AFTER_TEXT))
 
 
 def _count(body: Column, char: str) -> Column:
@@ -55,7 +59,7 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
     """
     # Two projections, so that the body of a text is found once and not for every test.
     texts = texts.withColumn("_body", _body(F.col(text))).withColumn("_last", F.substring_index("_body", "\n", -1))
-    body, last = F.col("_body"), F.col("_last")
+    body, last, end = F.col("_body"), F.col("_last"), F.right(F.col("_last"), F.lit(END))
     tail = F.regexp_extract(last, LIST_HEAD + r"([^:：]*)$", 1)
     item = F.regexp_extract(last, r"^[-*•] ([^.?!。:;]*)$", 1)
     term = F.trim(F.when(item != "", item).otherwise(F.element_at(F.split(tail, "[;；]"), -1)))
@@ -72,11 +76,11 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         .when(reference & whole, "closing")
         .when(reference & (F.size(dois) > 0), "structure")
         .when(bib & body.endswith("}"), "closing")
-        .when(last.rlike(REPLACED), "mark")
-        .when(last.rlike(ABBREVIATION), "open")
-        .when(last.rlike(SENTENCE), "sentence")
-        .when(last.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
-        .when(last.rlike(AFTER_SENTENCE), "closing")
+        .when(end.rlike(REPLACED), "mark")
+        .when(end.rlike(ABBREVIATION), "open")
+        .when(end.rlike(SENTENCE), "sentence")
+        .when(end.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
+        .when(end.rlike(AFTER_SENTENCE), "closing")
         .when(F.coalesce(term, F.lit("")) != "", "list")
         .otherwise("open")
     )
@@ -85,11 +89,14 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
 
 def whole_terms(documents: DataFrame, text: str) -> DataFrame:
     """(term): list terms that stand before another one in some text, in lower case."""
-    body = _body(F.col(text))
+    body = F.col("_body")
+    nothing = F.array().cast("array<string>")
     tails = F.regexp_extract_all(body, F.lit(r"(?m)" + LIST_HEAD + r"([^:：\n]*)$"), F.lit(1))
-    inline = F.flatten(F.transform(tails, lambda t: F.slice(F.split(t, "[;；]"), 1, F.greatest(F.size(F.split(t, "[;；]")) - 1, F.lit(0)))))
-    items = F.regexp_extract_all(body, F.lit(r"(?m)^[-*•] ([^\n]*)(?=\n)"), F.lit(1))
-    return documents.select(F.explode(F.array_distinct(F.concat(inline, items))).alias("term")).select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
+    # Most texts have no list at all, which a plain search for its separator tells.
+    inline = F.when(body.contains(";") | body.contains("；"), F.flatten(F.transform(tails, lambda t: F.slice(F.split(t, "[;；]"), 1, F.greatest(F.size(F.split(t, "[;；]")) - 1, F.lit(0)))))).otherwise(nothing)
+    items = F.when(body.contains("\n"), F.regexp_extract_all(body, F.lit(r"(?m)^[-*•] ([^\n]*)(?=\n)"), F.lit(1))).otherwise(nothing)
+    body_ = documents.select(_body(F.col(text)).alias("_body"))
+    return body_.select(F.explode(F.array_distinct(F.concat(inline, items))).alias("term")).select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
 
 
 def length_spikes(sized: DataFrame) -> DataFrame:
@@ -115,7 +122,7 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     against the limits of all sources. Texts stay in the scan: only their length, hash and
     kind of end are shuffled.
     """
-    texts = documents.where(_body(F.coalesce("text", F.lit(""))) != "")
+    texts = documents.select("doc_id", "source", "text").where(_body(F.coalesce("text", F.lit(""))) != "")
     sized = with_endings(texts, "text").select(
         "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), "kind", "term"
     )
