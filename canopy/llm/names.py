@@ -2,8 +2,8 @@
 
 Names are parsed into tokens, and names that differ only in case, accents, particles or
 order become one class. Blocking is MinHash banding over padded q-grams: of the leading
-surname token (within one initial) for authors, of the shortened significant tokens for
-venues and publishers. Rows and bands are chosen from the collision curve. Candidate
+surname token (within one initial) for authors, of the shortened significant words (within equal
+initials) and of the whole words for venues and publishers. Rows and bands are chosen from the collision curve. Candidate
 classes are verified by Monge-Elkan similarity, and the verified graph is clustered by
 stars: a class with the most neighbours becomes a centre and its neighbours join it.
 """
@@ -43,8 +43,9 @@ WORD_FORMS = {"up": "university press", "eds": "editions", "pr": "press", "univ"
 #: Parameters: q of the q-grams, hash functions of a signature, letters of a word that
 #: blocking looks at, and (similarity, recall) that the bands are tuned for: the lowest
 #: q-gram similarity of a pair that differs by one slip, and the share to be found there.
-Q, HASHES, STEM = 3, 120, 4
-TUNED = {"author": (0.43, 0.95), "venue": (0.55, 0.97), "publisher": (0.55, 0.97)}
+#: "stems" are shortened words that agree in all initials, "words" whole words.
+Q, HASHES, STEM = 3, 180, 4
+TUNED = {"author": (0.43, 0.99), "stems": (0.55, 0.97), "words": (0.78, 0.85)}
 #: Parameters: the slips allowed in a token and the least Monge-Elkan similarity of a match.
 SLIPS, MATCH = 1, 0.75
 
@@ -60,9 +61,9 @@ def tuned_bands(similarity: float, recall: float, hashes: int = HASHES) -> tuple
 
 
 def fold(text: str) -> str:
-    """Lower case without accents; letters written as two (oe, ae, ue, aa) as the first."""
+    """Lower case without accents."""
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return re.sub(r"([ou])e|ae|aa", lambda m: m[1] or "a", text.replace("ø", "o").replace("ß", "ss").replace("æ", "a").replace("œ", "o").replace("ł", "l").replace("đ", "d"))
+    return text.replace("ø", "o").replace("ß", "ss").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d")
 
 
 #: The short forms in folded letters.
@@ -239,13 +240,15 @@ def name_classes(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signers = {kind: Signer(*tuned_bands(*TUNED[kind])) for kind in TUNED}
-    other = signers["venue"]
+    signers = {name: Signer(*tuned_bands(*TUNED[name]), seed=11 + i) for i, name in enumerate(TUNED)}
     for b in batches:
         block, key = [], []
         for i, kind, tokens in zip(*(c.to_pylist() for c in b.columns)):
-            own = grams(tokens) if kind == "author" else grams(tokens, stem=STEM)
-            keys = signers.get(kind, other).keys(own)
+            if kind == "author":
+                keys = signers["author"].keys(grams(tokens))
+            else:
+                salt = int.from_bytes(_digest("".join(sorted(t[0] for t in tokens)))[:7], "little")
+                keys = [k ^ salt for k in signers["stems"].keys(grams(tokens, stem=STEM))] + signers["words"].keys(grams(tokens))
             block += [i] * len(keys)
             key += keys
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64())], names=["block", "band"])
@@ -282,11 +285,18 @@ def candidates(classes: DataFrame) -> DataFrame:
 def _token_similarity(x: Column, y: Column) -> Column:
     """1 for equal tokens, less by the share of letters slipped, 0 beyond SLIPS slips.
 
-    A slip is an insertion, a deletion, a replacement or a swap of neighbours.
+    A slip is an insertion, a deletion, a replacement or a swap of neighbours. Letters
+    written as two (oe, ue, ae, aa) may also be compared as one.
     """
     edits = F.levenshtein(x, y)
     letters = lambda z: F.array_join(F.array_sort(F.split(z, "")), "")
-    slips = F.when((edits == 2) & (F.length(x) == F.length(y)) & (letters(x) == letters(y)), F.lit(1)).otherwise(edits)
+    single = lambda z: F.regexp_replace(F.replace(z, F.lit("aa"), F.lit("a")), "([oua])e", "$1")
+    slips = (
+        F.when(edits <= SLIPS, edits)
+        .when((edits == 2) & (F.length(x) == F.length(y)) & (letters(x) == letters(y)), 1)
+        .when(edits <= 2 * SLIPS + 2, F.levenshtein(single(x), single(y)))
+        .otherwise(edits)
+    )
     return F.when(slips <= SLIPS, 1 - slips / F.greatest(F.length(x), F.length(y))).otherwise(F.lit(0.0))
 
 

@@ -67,8 +67,9 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
     bib = body.rlike(r"^\s*@\p{L}+\{")
     reference = last.rlike(r"^\[\d+\] ")
     dois = F.regexp_extract_all(body, F.lit(r"(?m)^\[\d+\] .*(doi:\S+)$"), F.lit(1))
-    # Of several references the last address is as long as the shortest, if it is whole.
-    whole = last.rlike(r"doi:\S+$") & (F.length(F.element_at(dois, -1)) >= F.array_min(F.transform(dois, lambda x: F.length(x))))
+    # Of several references the last address is as long as the shortest other one, if it is whole.
+    others = F.array_min(F.transform(F.slice(dois, 1, F.greatest(F.size(dois) - 1, F.lit(0))), lambda x: F.length(x)))
+    whole = last.rlike(r"doi:\S+$") & F.coalesce(F.length(F.element_at(dois, -1)) >= others, F.lit(True))
     kind = (
         F.when(bib & (_count(body, "{") > _count(body, "}")), "structure")
         .when(_count(body, "```") % 6 == 3, "structure")
