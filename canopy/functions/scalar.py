@@ -48,7 +48,7 @@ def invert_name(name: Column) -> Column:
     name = trimmed(name)
     words = fields(name)
     inverted = F.concat_ws(" ", F.concat(F.element_at(words, -1), F.lit(",")), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
-    return F.when(name.contains(",") | (F.size(words) < 2), name).otherwise(inverted)
+    return F.when(name.isNull() | name.contains(",") | (F.size(words) < 2), name).otherwise(inverted)
 
 
 def invert_abstract(index: Column) -> Column:
