@@ -38,14 +38,17 @@ def is_stand_in(form: Column) -> Column:
 def transitions(rows: DataFrame, group: str, time: str, fields: list[str]) -> DataFrame:
     """(field, older, newer): values of a field of which the second is learned to replace the first.
 
-    Learned from consecutive timestamped rows of each group, over all groups. Values are
-    compared as strings; null and blank ones are skipped. Its size follows the number of
-    different values, so it is joined, never broadcast by hand.
+    In every group the different values of a field are put in the order in which they were
+    last stamped; each value and the next one is a transition, and transitions are counted
+    over all groups. Rows are reduced to values before the shuffle, so a group of many
+    rows is no longer than its values are many. Values are compared as strings; null and
+    blank ones are skipped. The result follows the number of different values, so it is
+    joined, never broadcast by hand.
     """
-    long = _long(rows.where(F.col(time).isNotNull()), [group, time, "work_id"], fields)
-    last = F.lag("value").over(Window.partitionBy(group, "field").orderBy(time, "work_id"))
-    steps = long.withColumn("older", last).where("older <> value")
-    seen = steps.groupBy("field", "older", F.col("value").alias("newer")).agg(F.count(F.lit(1)).alias("n"))
+    values = _long(rows.where(F.col(time).isNotNull()), [group, time], fields).groupBy(group, "field", "value").agg(F.max(time).alias("at"))
+    order = Window.partitionBy(group, "field").orderBy("at", "value")
+    steps = values.select("field", F.lag("value").over(order).alias("older"), F.col("value").alias("newer"), "at", F.lag("at").over(order).alias("before")).where("before < at")
+    seen = steps.groupBy("field", "older", "newer").agg(F.count(F.lit(1)).alias("n"))
     back = seen.select("field", F.col("older").alias("newer"), F.col("newer").alias("older"), F.col("n").alias("m"))
     return seen.join(back, ["field", "older", "newer"], "left").where((F.col("n") >= SEEN) & (F.col("n") >= MARGIN * F.coalesce("m", F.lit(0)))).select("field", "older", "newer")
 
