@@ -13,9 +13,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 def plain(value):
     if hasattr(value, "tolist") and not isinstance(value, str):
         value = value.tolist()
+    if value is None or str(value) in ("NaT", "<NA>", "nan"):
+        return None
     if isinstance(value, float):
-        return None if value != value else int(value) if value == int(value) else value
-    return None if value is not None and str(value) in ("NaT", "<NA>") else str(value) if not isinstance(value, (int, type(None))) else int(value)
+        return int(value) if value == int(value) else value
+    return int(value) if isinstance(value, int) else str(value)
 
 
 def rows(frame):
