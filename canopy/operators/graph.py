@@ -178,16 +178,17 @@ def topological_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, done) if done else vertices.select("id", F.lit(0).alias("level"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, ready: bool = False) -> DataFrame:
     """Sums of path-weighted seeds: each value column of `seeds` (id, ...) flows from a vertex
     to every vertex that cites it, along all paths at once.
 
     One frontier a round carries all columns; the result adds up the frontiers, which is
     exact below 2^53. Raises CycleError once a path would be longer than there are vertices.
+    ready: edges (src, dst) and seeds are distinct and written already.
     """
     values = [c for c in seeds.columns if c != "id"]
-    edges = cut(edges.select("src", "dst").distinct())
-    seeds = cut(seeds)
+    if not ready:
+        edges, seeds = cut(edges.select("src", "dst").distinct()), cut(seeds)
     if local.fits(edges, 2) and local.fits(seeds, 2):
         if not seeds.take(1):
             return seeds
@@ -269,7 +270,8 @@ def citation_graph(citations: DataFrame, mains: DataFrame | None = None) -> tupl
 
 def clean(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The largest component of the graph without cycles and without dangling vertices."""
-    v, e = remove_cycles(vertices, edges)
+    v, e = remove_cycles(cut(vertices), cut(edges))
+    e = cut(e)
     v, e = remove_dangling(v, e)
     v, e = cut(v), cut(e)
     inside, _ = giant(v, e)

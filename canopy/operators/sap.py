@@ -45,15 +45,17 @@ def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int
     paths from leaves x root scores + paths to roots x leaf scores; the trunk has the most
     sap without being a root or leaf. check: raise CycleError on a cycle before the scores.
     """
-    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("src", "dst").distinct())
+    edges, vertices = cut(edges.select("src", "dst").distinct()), cut(vertices.select("id").distinct())
     if check:
         topological_levels(vertices, edges)
     deg = cut(degrees(edges, vertices))
     top_roots = cut(_top(deg.where("out_degree = 0 and in_degree > 0").select("id", F.col("in_degree").cast("double").alias("rootness")), "rootness", roots))
-    forward = cut(propagate(edges, top_roots.select("id", F.lit(1.0).alias("connections"), F.col("rootness").alias("sap"))))
+    forward = propagate(edges, top_roots.select("id", F.lit(1.0).alias("connections"), F.col("rootness").alias("sap")), ready=True)
+    forward = cut(forward)
     open_ = deg.where("in_degree = 0").join(forward.where("connections > 0"), "id").select("id", F.col("connections").alias("leafness"))
     top_leaves = cut(_top(open_, "leafness", leaves))
-    backward = cut(propagate(invert(edges), top_leaves.select("id", F.lit(1.0).alias("connections"), F.col("leafness").alias("sap"))))
+    backward = propagate(invert(edges), top_leaves.select("id", F.lit(1.0).alias("connections"), F.col("leafness").alias("sap")), ready=True)
+    backward = cut(backward)
     both = forward.join(backward.select("id", F.col("connections").alias("cl"), F.col("sap").alias("sl")), "id", "left")
     sap = both.select("id", (F.coalesce("cl", F.lit(0.0)) * F.col("sap") + F.col("connections") * F.coalesce("sl", F.lit(0.0))).alias("trunkness")).where("trunkness > 0")
     inner = sap.join(top_roots, "id", "left_anti").join(top_leaves, "id", "left_anti")

@@ -14,12 +14,12 @@ from canopy.sources.works import work_numbers
 
 def cites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of the works that raw_works cite, by work number."""
-    return G.citation_graph(work_numbers(table(spark, folder, "raw_works").select("id", "referenced_works")))
+    edges = cut(work_numbers(table(spark, folder, "raw_works").select("id", "referenced_works")))
+    return G.vertices_of(edges), edges
 
 
 def acyclic(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    v, e = cites(spark, folder)
-    v, e = G.remove_cycles(v, cut(e))
+    v, e = G.remove_cycles(*cites(spark, folder))
     return cut(v), cut(e)
 
 
@@ -28,7 +28,8 @@ def supply(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = line.select(name("o:", "l_orderkey").alias("src"), name("p:", "l_partkey").alias("dst")).union(line.select(name("p:", "l_partkey"), name("s:", "l_suppkey")))
-    return G.citation_graph(edges)
+    edges = cut(edges.dropna().distinct())
+    return G.vertices_of(edges), edges
 
 
 def graph_vertices(spark, folder):
