@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 P5_SQL = r"""
 with recursive tok as (
   select work_id, 'L' || label as t from works where trim(label) <> ''
-  union select work_id, 'I' || lower(trim(i)) from (select work_id, unnest(ids) i from works) where i is not null and not regexp_matches(trim(i), '^[^:]*:?\s*$')
+  union select work_id, 'I' || lower(trim(i)) from (select work_id, unnest(ids) i from works) where i is not null and not regexp_matches(trim(i), '^([^:]*:)?\s*$')
 ), lab as (select label, min(work_id) m from works group by 1),
 edge as (
   select distinct a, b from (

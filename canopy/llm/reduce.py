@@ -114,7 +114,7 @@ def work_edges(works: DataFrame, match_pairs: DataFrame) -> DataFrame:
     labels, null identifiers and such with nothing after the colon tie nothing; a pair
     whose label names no row is left out.
     """
-    ids = F.filter(F.transform(F.coalesce("ids", F.array()), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & ~x.rlike(r"^[^:]*:?\s*$"))
+    ids = F.filter(F.transform(F.coalesce("ids", F.array()), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & ~x.rlike(r"^([^:]*:)?\s*$"))
     label = F.when(F.trim("label") != "", F.concat(F.lit("L"), "label"))
     tokens = works.select("work_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(label), F.transform(ids, lambda x: F.concat(F.lit("I"), x)))))).alias("token"))
     first = tokens.groupBy("token").agg(F.min("work_id").alias("first"), F.count(F.lit(1)).alias("n"))
