@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -41,6 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         where = tempfile.mkdtemp(prefix="canopy-checkpoints-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
     return where
 
