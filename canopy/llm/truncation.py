@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.session import cut
+
 #: Parameters of a spike: lengths within NEAR count as neighbours; a spike has at least
 #: LEAST different texts and TIMES as many as its neighbours have on average.
 NEAR, LEAST, TIMES = 25, 4, 8.0
@@ -82,10 +84,11 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         .when(end.rlike(SENTENCE), "sentence")
         .when(end.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
         .when(end.rlike(AFTER_SENTENCE), "closing")
-        .when(F.coalesce(term, F.lit("")) != "", "list")
         .otherwise("open")
     )
-    return texts.withColumn("kind", kind).withColumn("term", F.lower(term)).drop("_body", "_last")
+    # Only ends that nothing else explains are read as lists.
+    found = texts.withColumn("_kind", kind).withColumn("term", F.when(F.col("_kind") == "open", F.lower(term)))
+    return found.withColumn("kind", F.when(F.col("term") != "", "list").otherwise(F.col("_kind"))).drop("_body", "_last", "_kind")
 
 
 def whole_terms(documents: DataFrame, text: str) -> DataFrame:
@@ -127,6 +130,7 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     sized = with_endings(texts, "text").select(
         "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), "kind", "term"
     )
+    sized = cut(sized)  # what the texts tell is found once
     spikes = length_spikes(sized)
     spikes = spikes.union(spikes.select(F.lit("").alias("source"), "unit", "size")).distinct()
     around = F.when(F.col("unit") == "bytes", F.sequence(F.col("size") - BELOW, F.col("size") + ABOVE)).otherwise(F.array("size"))
