@@ -97,7 +97,8 @@ def consolidate(edges: DataFrame) -> DataFrame:
             full = _with_degrees(edges)
         records, edges = _strip_leaves(full)
         stages.append(records)
-    labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("v"), F.col("component").alias("root"))
+    core = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = (connected_components(core) if core.take(1) else core).toDF("v", "root")
     for records in reversed(stages):
         above = labels.select(F.col("v").alias("parent"), "root")
         labels = labels.union(records.join(above, "parent", "left").select("v", F.coalesce("root", "parent").alias("root")))
