@@ -119,6 +119,12 @@ def simple_id(authors: Column, year: Column) -> Column:
     return F.lower(F.concat(F.replace(first, F.lit(","), F.lit("")), year.cast("string")))
 
 
+def add_simple_id(ids: Column, authors: Column, year: Column) -> Column:
+    """The identifiers with 'simple:<simple id>' among them, sorted; unchanged without one."""
+    extra = F.array_compact(F.array(F.concat(F.lit("simple:"), non_empty(simple_id(authors, year)))))
+    return F.array_sort(F.array_union(F.array_compact(F.coalesce(ids, F.array().cast("array<string>"))), extra))
+
+
 def permalink(link: Column, doi: Column) -> Column:
     return F.coalesce(non_empty(link), F.concat(F.lit("https://doi.org/"), non_empty(doi)))
 

@@ -53,6 +53,13 @@ def canonical_citations(citations: DataFrame, canonical: DataFrame) -> DataFrame
     return citations.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.min("pos").alias("pos"))
 
 
+def references_by_id(references: DataFrame, ids: DataFrame, key: list[str], keep: bool = True) -> DataFrame:
+    """The references (unique by `key`, with an ids list) that have an identifier in `ids`
+    (column id), or with keep = False those that have none."""
+    hit = references.select(*key, F.explode("ids").alias("id")).join(ids.select("id").distinct(), "id", "left_semi").select(*key).distinct()
+    return references.join(hit, key, "left_semi" if keep else "left_anti")
+
+
 def enrich(stubs: DataFrame, fetched: DataFrame, source: str = "openalex") -> DataFrame:
     """Referenced works with what was fetched for them.
 

@@ -156,17 +156,17 @@ t as (select * from s where place <= {TOP})
 select collection_id, place, id, score, {_NORM("score", "max(score) over (partition by collection_id)")} as normal from t"""
 
 
-def _bm25_sql(phrases: list[list[str]]) -> str:
+def _bm25_sql(phrases: list[list[str]], works: str = "works") -> str:
     """BM25 over titles and abstracts for phrases of plain words."""
     found = []
     for i, p in enumerate(phrases):
         joins = " ".join(f"join tok t{k} on t{k}.work_id = t0.work_id and t{k}.col = t0.col and t{k}.pos = t0.pos + {k} and t{k}.term = '{t}'" for k, t in enumerate(p) if k)
         found.append(f"select t0.work_id, {i} as phrase, count(*) as f from tok t0 {joins} where t0.term = '{p[0]}' group by 1")
     return rf"""
-with txt as (select work_id, 'title' col, title txt from works union all select work_id, 'abstract', abstract from works),
+with txt as (select work_id, 'title' col, title txt from {works} union all select work_id, 'abstract', abstract from {works}),
 arr as (select work_id, col, regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}]+') a from txt where txt is not null),
 tok as (select work_id, col, unnest(a) term, generate_subscripts(a, 1) pos from arr),
-size as (select work_id, count(*) d from tok group by 1), shape as (select (select count(*) from works) docs, (select count(*) from tok) terms),
+size as (select work_id, count(*) d from tok group by 1), shape as (select (select count(*) from {works}) docs, (select count(*) from tok) terms),
 hits as ({" union all ".join(found)}), df as (select phrase, count(*) n from hits group by 1),
 part as (select hits.work_id, f, d, greatest(case when ln((docs - n + 0.5) / (n + 0.5)) > 0 then ln((docs - n + 0.5) / (n + 0.5)) else 1e-6 end, 1e-6) idf, terms / docs avgdl
   from hits join df using (phrase) join size using (work_id), shape)
@@ -213,5 +213,10 @@ ORACLE = {
 select collection_id, work_label, min((list, place))[1] as list, min((list, place))[2] as place from s where place <= {TOP} group by 1, 2""",
     "bm25_search": _bm25_sql([["citation"], ["network"]]),
     "search_phrases": _bm25_sql([["tree", "of", "science"], ["field"], ["station"]]),
+    "search_collection": _bm25_sql([["citation"]], "(select label as work_id, title, abstract from works qualify row_number() over (partition by label order by works.work_id) = 1)").replace(
+        "select work_id, round(", "select work_id as label, round("
+    )
+    + """ and work_id in (select work_label from (select * from nodes qualify row_number() over (partition by id order by loaded_at desc) = 1) where removed_at is null
+  and collection_id = (select id from collections order by created_at desc, id desc limit 1)) order by score, label limit 10""",
     "words_index": r"with t as (select work_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) term from works) select term, count(distinct work_id) as works, count(*) as uses from t group by 1",
 }

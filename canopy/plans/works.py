@@ -72,6 +72,23 @@ def simple_label(spark, folder):
     return _works(spark, folder, *columns).select("work_id", S.simple_label(*map(F.col, columns)).alias("simple_label"))
 
 
+def add_simple_id(spark, folder):
+    return _works(spark, folder, "ids", "authors", "year").select("work_id", F.array_join(S.add_simple_id(F.col("ids"), F.col("authors"), F.col("year")), "|").alias("ids"))
+
+
+def _wanted(spark, folder):
+    """The identifiers of works cited ten times or more."""
+    return _works(spark, folder, "ids", "times_cited").where("times_cited >= 10").select(F.explode("ids").alias("id")).where("id <> ''")
+
+
+def keep_references(spark, folder):
+    return dedup.references_by_id(_works(spark, folder, "ids", "label"), _wanted(spark, folder), ["work_id"]).select("work_id", "label")
+
+
+def purge_references(spark, folder):
+    return dedup.references_by_id(_works(spark, folder, "ids", "label"), _wanted(spark, folder), ["work_id"], keep=False).select("work_id", "label")
+
+
 def citation_key(spark, folder):
     ship(spark)
     columns = ["authors", "year", "doi", "ids", "label"]
@@ -146,6 +163,7 @@ def top_cited(spark, folder):
 
 _D = r"(?i)^(https?://(dx\.)?doi\.org/|doi:)"
 _SIMPLE = "lower(replace(split_part(authors[1], ' ', 1), ',', '') || cast(year as varchar))"
+_WANTED = "with wanted as (select distinct i from (select unnest(ids) i from works where times_cited >= 10) where i <> ''), hit as (select distinct work_id from (select work_id, unnest(ids) i from works) where i in (select i from wanted)) "
 _FIRST = lambda c: f"arg_min({c}, (case when coalesce(rich, false) then 0 else 1 end, work_id)) filter ({c} is not null) as {c}"
 _COMP = """
 with recursive tok as (select distinct work_id, i from (select work_id, unnest(ids) i from works) where i is not null),
@@ -157,7 +175,7 @@ comp as (select t.work_id, least(t.work_id, min(r.b)) as component from (select
 
 QUERIES = {
     f.__name__: f
-    for f in (extract_doi, invert_name, invert_abstract, page_range, venue_source, first_institution, work_identity, simple_id, simple_label, citation_key, bib_entry_type, latex_sanitize, permalink, filename_slug, query_fingerprint, set_functions, dedup_components, dedup_merge, dedup_first_occurrence, enrich_references, upsert_works, top_cited)
+    for f in (extract_doi, invert_name, invert_abstract, page_range, venue_source, first_institution, work_identity, simple_id, simple_label, add_simple_id, keep_references, purge_references, citation_key, bib_entry_type, latex_sanitize, permalink, filename_slug, query_fingerprint, set_functions, dedup_components, dedup_merge, dedup_first_occurrence, enrich_references, upsert_works, top_cited)
 }
 ORACLE = {
     "extract_doi": f"select work_id, regexp_replace(trim('https://doi.org/' || doi), '{_D}', '') as from_url, regexp_replace(trim(' DOI:' || doi || ' '), '{_D}', '') as from_scheme, regexp_replace(trim(doi), '{_D}', '') as plain from works",
@@ -175,6 +193,9 @@ select work_id, case when venue is not null and coalesce(venue_type, '') <> 'rep
     "work_identity": "select work_id, list_min(ids) as work_key, regexp_replace(list_filter(list_sort(ids), lambda x: starts_with(x, 'doi:'))[1], '^doi:', '') as doi, regexp_replace(list_filter(list_sort(ids), lambda x: starts_with(x, 'openalex:'))[1], '^openalex:', '') as catalogue_id from works",
     "simple_id": f"select work_id, {_SIMPLE} as simple_id from works",
     "simple_label": "select work_id, nullif(concat_ws(', ', replace(authors[1], ',', ''), cast(year as varchar), venue, 'V' || volume, 'P' || page, 'DOI ' || doi), '') as simple_label from works",
+    "add_simple_id": f"select work_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(coalesce(ids, []), lambda x: x is not null), list_filter(['simple:' || nullif({_SIMPLE}, '')], lambda x: x is not null)))), '|') as ids from works",
+    "keep_references": _WANTED + "select work_id, label from works where work_id in (select work_id from hit)",
+    "purge_references": _WANTED + "select work_id, label from works where work_id not in (select work_id from hit)",
     "citation_key": rf"""
 select work_id, coalesce(nullif(lower(regexp_replace(regexp_replace(strip_accents(
   coalesce(nullif({_SIMPLE}, ''), 'doi_' || regexp_replace(trim(nullif(doi, '')), '{_D}', ''),
