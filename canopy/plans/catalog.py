@@ -116,30 +116,60 @@ def _texts(spark, folder):
     return table(spark, folder, "works").select("work_id", "title", "abstract")
 
 
+def _documents(spark, folder):
+    """Works with the four fields that the reference searches."""
+    return table(spark, folder, "works").select("work_id", *X.FIELDS)
+
+
 def bm25_search(spark, folder):
     return X.bm25(_texts(spark, folder), "work_id", QUERY, stemmed=False).select("work_id", F.round("score", 6).alias("score"))
 
 
+def bm25_search_all_fields(spark, folder):
+    return X.bm25(_documents(spark, folder), "work_id", QUERY, stemmed=False).select("work_id", F.round("score", 6).alias("score"))
+
+
 def search_phrases(spark, folder):
     return X.bm25(_texts(spark, folder), "work_id", PHRASES, stemmed=False).select("work_id", F.round("score", 6).alias("score"))
 
 
+def search_phrases_all_fields(spark, folder):
+    return X.bm25(_documents(spark, folder), "work_id", PHRASES, stemmed=False).select("work_id", F.round("score", 6).alias("score"))
+
+
 def bm25_search_stemmed(spark, folder):
     return X.bm25(table(spark, folder, "works"), "work_id", "citations networks", stemmed=True).select("work_id", F.round("score", 6).alias("score"))
 
 
-def search_collection(spark, folder):
+def _search_latest(spark, folder, fields):
     """The best matches that are nodes of the latest collection; ranked over all works."""
-    works = table(spark, folder, "works").groupBy("label").agg(F.min_by(F.struct("title", "abstract"), "work_id").alias("w")).select("label", "w.*")
+    works = table(spark, folder, "works").groupBy("label").agg(F.min_by(F.struct(*fields), "work_id").alias("w")).select("label", "w.*")
     latest = table(spark, folder, "collections").orderBy(F.desc("created_at"), F.desc("id")).limit(1).select(F.col("id").alias("collection_id"))
     nodes = _nodes(spark, folder).join(F.broadcast(latest), "collection_id", "left_semi")  # one row
     return X.search_collection(works, nodes, "citation", 10, stemmed=False).select("label", F.round("score", 6).alias("score"))
 
 
+def search_collection(spark, folder):
+    return _search_latest(spark, folder, ["title", "abstract"])
+
+
+def search_collection_all_fields(spark, folder):
+    return _search_latest(spark, folder, X.FIELDS)
+
+
+def _frequencies(works):
+    index = X.postings(works, "work_id", stemmed=False)
+    return index.groupBy("term").agg(F.count_distinct("work_id").alias("works"), F.count(F.lit(1)).alias("uses"))
+
+
 def words_index(spark, folder):
     """Document frequency of every word of titles."""
-    index = X.postings(table(spark, folder, "works").select("work_id", "title"), "work_id", stemmed=False)
-    return index.groupBy("term").agg(F.count_distinct("work_id").alias("works"), F.count(F.lit(1)).alias("uses"))
+    return _frequencies(table(spark, folder, "works").select("work_id", "title"))
+
+
+def words_index_all_fields(spark, folder):
+    """Document frequency of every word of the four fields."""
+    return _frequencies(_documents(spark, folder))
 
 
 _CUR = "with cur as (select * from nodes qualify row_number() over (partition by id order by loaded_at desc) = 1), n as (select * from cur where removed_at is null)"
@@ -156,14 +186,19 @@ t as (select * from s where place <= {TOP})
 select collection_id, place, id, score, {_NORM("score", "max(score) over (partition by collection_id)")} as normal from t"""
 
 
-def _bm25_sql(phrases: list[list[str]], works: str = "works") -> str:
-    """BM25 over titles and abstracts for phrases of plain words."""
+_TWO = "select work_id, 'title' col, title txt from {works} union all select work_id, 'abstract', abstract from {works}"
+#: Lists are searched as their JSON text.
+_FOUR = _TWO + " union all select work_id, 'keywords', cast(to_json(keywords) as varchar) from {works} union all select work_id, 'authors', cast(to_json(authors) as varchar) from {works}"
+
+
+def _bm25_sql(phrases: list[list[str]], works: str = "works", fields: str = _TWO) -> str:
+    """BM25 over the given fields for phrases of plain words."""
     found = []
     for i, p in enumerate(phrases):
         joins = " ".join(f"join tok t{k} on t{k}.work_id = t0.work_id and t{k}.col = t0.col and t{k}.pos = t0.pos + {k} and t{k}.term = '{t}'" for k, t in enumerate(p) if k)
         found.append(f"select t0.work_id, {i} as phrase, count(*) as f from tok t0 {joins} where t0.term = '{p[0]}' group by 1")
     return rf"""
-with txt as (select work_id, 'title' col, title txt from {works} union all select work_id, 'abstract', abstract from {works}),
+with txt as ({fields.format(works=works)}),
 arr as (select work_id, col, regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}]+') a from txt where txt is not null),
 tok as (select work_id, col, unnest(a) term, generate_subscripts(a, 1) pos from arr),
 size as (select work_id, count(*) d from tok group by 1), shape as (select (select count(*) from {works}) docs, (select count(*) from tok) terms),
@@ -173,6 +208,15 @@ part as (select hits.work_id, f, d, greatest(case when ln((docs - n + 0.5) / (n
 select work_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgdl))), 6) as score from part group by 1 having count(*) = {len(phrases)}"""
 
 
+def _collection_sql(columns: str, fields: str) -> str:
+    ranked = _bm25_sql([["citation"]], f"(select label as work_id, {columns} from works qualify row_number() over (partition by label order by works.work_id) = 1)", fields)
+    return (
+        ranked.replace("select work_id, round(", "select work_id as label, round(")
+        + """ and work_id in (select work_label from (select * from nodes qualify row_number() over (partition by id order by loaded_at desc) = 1) where removed_at is null
+  and collection_id = (select id from collections order by created_at desc, id desc limit 1)) order by score, label limit 10"""
+    )
+
+
 _ASKED = r"""
 with w as (select * from works where len(ids) > 0),
 ask as (select work_id pos, trim(t) target from (select work_id, ' HTTPS://DOI.ORG/' || doi t from w union all select work_id, upper(ids[-1]) from w union all select work_id, 'nowhere:' || work_id from w) where trim(t) <> ''),
@@ -190,7 +234,7 @@ hits as (select pos, target, min(node) node from names join alias using (alias)
 
 QUERIES = {f"category_top_{k}s" if k != "leaf" else "category_top_leaves": _top(k) for k in A.SCORES} | {
     f.__name__: f
-    for f in (normalize_scores, viewer_size, node_metadata, analysis_keep, upsert_links, upsert_nodes, work_count, links_with_ends, list_collections, latest_collection, resolve_collection, get_works, not_found, preset_tos, bm25_search, search_phrases, bm25_search_stemmed, search_collection, words_index)
+    for f in (normalize_scores, viewer_size, node_metadata, analysis_keep, upsert_links, upsert_nodes, work_count, links_with_ends, list_collections, latest_collection, resolve_collection, get_works, not_found, preset_tos, bm25_search, bm25_search_all_fields, search_phrases, search_phrases_all_fields, bm25_search_stemmed, search_collection, search_collection_all_fields, words_index, words_index_all_fields)
 }
 ORACLE = {
     "category_top_roots": _top_sql("rootness"),
@@ -212,11 +256,12 @@ ORACLE = {
     "preset_tos": f"""{_CUR}, s as (""" + " union all ".join(f"select collection_id, work_label, {i} as list, row_number() over (partition by collection_id order by {_NUM(c)} desc, work_label, id) as place from n where {_NUM(c)} is not null" for i, c in enumerate(A.SCORES.values())) + f""")
 select collection_id, work_label, min((list, place))[1] as list, min((list, place))[2] as place from s where place <= {TOP} group by 1, 2""",
     "bm25_search": _bm25_sql([["citation"], ["network"]]),
+    "bm25_search_all_fields": _bm25_sql([["citation"], ["network"]], fields=_FOUR),
+    "search_phrases_all_fields": _bm25_sql([["tree", "of", "science"], ["field"], ["station"]], fields=_FOUR),
     "search_phrases": _bm25_sql([["tree", "of", "science"], ["field"], ["station"]]),
-    "search_collection": _bm25_sql([["citation"]], "(select label as work_id, title, abstract from works qualify row_number() over (partition by label order by works.work_id) = 1)").replace(
-        "select work_id, round(", "select work_id as label, round("
-    )
-    + """ and work_id in (select work_label from (select * from nodes qualify row_number() over (partition by id order by loaded_at desc) = 1) where removed_at is null
-  and collection_id = (select id from collections order by created_at desc, id desc limit 1)) order by score, label limit 10""",
+    "search_collection": _collection_sql("title, abstract", _TWO),
+    "search_collection_all_fields": _collection_sql(", ".join(X.FIELDS), _FOUR),
     "words_index": r"with t as (select work_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) term from works) select term, count(distinct work_id) as works, count(*) as uses from t group by 1",
+    "words_index_all_fields": f"with txt as ({_FOUR.format(works='works')})"
+    r", t as (select work_id, unnest(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) term from txt) select term, count(distinct work_id) as works, count(*) as uses from t group by 1",
 }

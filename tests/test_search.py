@@ -1,3 +1,4 @@
+import json
 import sqlite3
 
 import pytest
@@ -43,3 +44,34 @@ def test_ranks_over_all_works_then_keeps_the_collection(spark, works):
     nodes = spark.createDataFrame([("2",), ("5",)], "work_label string")
     assert [r["label"] for r in search_collection(named, nodes, "science", 1).collect()] == ["2"]
     assert search_collection(named, nodes, "science", 0).count() == 0
+
+
+FIELD_DOCS = [
+    (1, "Networks", "Graphs of papers.", ["citation analysis", "trees"], ["Ada Network", "B. Roe"]),
+    (2, "Citation networks", None, [], ["C. Poe"]),
+    (3, None, None, ["citation"], None),
+    (4, "Other matter", "Nothing here.", None, ["Citation, D."]),
+]
+
+
+@pytest.mark.parametrize("query", ["citation", "citation networks", "ada-network", "analysis-trees", "trees-citation"])
+def test_all_four_fields_are_ranked_as_sqlite_ranks(spark, tmp_path, query):
+    """The works that the registered queries hand the operator, with lists as JSON text."""
+    from canopy.plans import catalog
+
+    spark.createDataFrame(FIELD_DOCS, "work_id long, title string, abstract string, keywords array<string>, authors array<string>").write.parquet(str(tmp_path / "works.parquet"))
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table d using fts5(title, abstract, keywords, authors, tokenize='porter unicode61')")
+    con.executemany("insert into d(rowid, title, abstract, keywords, authors) values (?, ?, ?, ?, ?)", [(i, t, a, *[None if x is None else json.dumps(x) for x in rest]) for i, t, a, *rest in FIELD_DOCS])
+    want = dict(con.execute("select rowid, bm25(d) from d where d match ?", (" ".join('"' + p + '"' for p in query.split()),)).fetchall())
+    got = {r["work_id"]: r["score"] for r in bm25(catalog._documents(spark, str(tmp_path)), "work_id", query).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_registered_search_finds_keywords_and_authors(spark, tmp_path):
+    from canopy.plans import catalog
+
+    spark.createDataFrame(FIELD_DOCS, "work_id long, title string, abstract string, keywords array<string>, authors array<string>").write.parquet(str(tmp_path / "works.parquet"))
+    assert {r["work_id"] for r in catalog.bm25_search_all_fields(spark, str(tmp_path)).collect()} == {1}
+    terms = {r["term"]: (r["works"], r["uses"]) for r in catalog.words_index_all_fields(spark, str(tmp_path)).collect()}
+    assert terms["citation"] == (4, 4) and terms["roe"] == (1, 1)
