@@ -3,7 +3,8 @@
 Names are parsed into tokens, and names that differ only in case, accents, particles or
 order become one class. Blocking is MinHash banding over padded q-grams: of the leading
 surname token (within one initial) for authors, of the shortened significant words (within equal
-initials) and of the whole words for venues and publishers. Rows and bands are chosen from the collision curve. Candidate
+initials) and of the whole words for venues and publishers. Rows and bands are chosen from the collision curve. What
+one slip takes out of all bands, as in short names, meets by the letters that are left. Candidate
 classes are verified by Monge-Elkan similarity, and the verified graph is clustered by
 stars: a class with the most neighbours becomes a centre and its neighbours join it.
 """
@@ -194,6 +195,20 @@ def _digest(gram: str) -> bytes:
     return xxhash.xxh3_64_digest(gram.encode())
 
 
+def slip_keys(tokens: list[str]) -> list[int]:
+    """Keys of which two lists share one if they differ by one slip in one token, however short.
+
+    Tokens one slip apart (also a swap of neighbours) are equal after at most one letter is
+    left out of each. The other tokens stand by their first letters.
+    """
+    keys = set()
+    for i, t in enumerate(tokens):
+        others = sorted(x[:STEM] for x in tokens[:i] + tokens[i + 1 :])
+        near = {t, *(t[:k] + t[k + 1 :] for k in range(len(t)))} - {""}
+        keys |= {int.from_bytes(_digest("\n".join([x, "", *others])), "little", signed=True) for x in near}
+    return sorted(keys)
+
+
 READING = "name_id long, kind string, certainty string, tokens array<string>, given string, inits string"
 
 
@@ -249,13 +264,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 salt = int.from_bytes(_digest("".join(sorted(t[0] for t in tokens)))[:7], "little")
                 keys = [k ^ salt for k in signers["stems"].keys(grams(tokens, stem=STEM))] + signers["words"].keys(grams(tokens))
+            keys += slip_keys(tokens)
             block += [i] * len(keys)
             key += keys
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64())], names=["block", "band"])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes of one kind whose blocks collide in a band.
+    """(a, b), a < b: classes of one kind whose blocks collide in a band or are one slip apart.
 
     A block is what blocking sees of a class: for authors the leading surname token and
     each initial that the given name may have, else the words. Bands are computed and

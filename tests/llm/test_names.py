@@ -95,3 +95,28 @@ def test_stars_against_the_sequential_method(spark, seed):
 @pytest.mark.parametrize("name, surname, given, initials", [("Frederick de la Vozanoren", ["vozanoren"], "frederick", "f"), ("J.-P. Föpohelar", ["fopohelar"], "", "jp"), ("Lomepiken R", ["lomepiken"], "", "r"), ("van Somikizic Francisco", ["somikizic"], "francisco", "f"), ("B. Sizobiven", ["sizobiven"], "", "b"), ("Gorénamar Ridérewyn, Patricia A.", ["gorenamar", "riderewyn"], "patricia", "pa")])
 def test_parsing(name, surname, given, initials):
     assert N.parse_author(name) == [("sure", surname, given, initials)]
+
+
+ONE_SLIP = {
+    "author": [("Garcia, A.", "Gacria, A."), ("Smith, B.", "Simth, B."), ("Chen, C.", "Chan, C."), ("Chen, D.", "Cehn, D."), ("Kim, E.", "Km, E."), ("Lopez, F.", "Olpez, F.")],
+    "publisher": [("Mimoven Academic", "Immoven Academic"), ("Hozomos Verlag", "Ohzomos Verlag"), ("Elsevier", "Esevier"), ("Zorolic University Press", "Ozrolic University Press")],
+}
+
+
+@pytest.mark.parametrize("kind", ONE_SLIP)
+def test_short_names_one_slip_apart_always_meet(spark, kind):
+    df = frame(spark, [(kind, x) for pair in ONE_SLIP[kind] for x in pair])
+    members, classes = N.name_classes(N.read_names(df))
+    at = {r["name_id"]: r["class"] for r in members.collect()}
+    met = {(r["a"], r["b"]) for r in N.candidates(classes).collect()}
+    assert [p for i, p in enumerate(ONE_SLIP[kind]) if tuple(sorted((at[2 * i + 1], at[2 * i + 2]))) not in met] == []
+
+
+def test_any_slip_in_one_token_leaves_a_common_key():
+    rng = random.Random(4)
+    for _ in range(2000):
+        tokens = ["".join(rng.choices("abcd", k=rng.randrange(2, 7))) for _ in range(rng.randrange(1, 4))]
+        i, letter = rng.randrange(len(tokens)), rng.choice("abcd")
+        t, k = tokens[i], rng.randrange(len(tokens[i]))
+        slipped = rng.choice([t[:k] + t[k + 1 :], t[:k] + letter + t[k:], t[:k] + letter + t[k + 1 :], t[:k] + t[k + 1 : k + 2] + t[k] + t[k + 2 :]])
+        assert set(N.slip_keys(tokens)) & set(N.slip_keys(sorted([*tokens[:i], slipped, *tokens[i + 1 :]])))
