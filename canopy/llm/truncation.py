@@ -4,7 +4,7 @@ Two kinds of evidence are put together. For every source, the histograms of leng
 characters and in bytes show spikes where a field limit cuts texts. And the end of every
 text says whether it stops at the end of a sentence, in a structure that is still open, in
 a list, at a closing line, or in the middle. Ends that are open by themselves are cut at
-any length; ends that may be natural (the last term of a list, an ellipsis) are cut if
+any length, and so are those with a mark in brackets for the rest; ends that may be natural (the last term of a list, an ellipsis) are cut if
 they stand at a spike or, for a term, if no other text of the corpus knows it whole.
 """
 
@@ -27,7 +27,9 @@ BELOW, ABOVE = 3, 2
 STOPS = r"[.?!。？！]"
 CLOSERS = r"[\"”»’')\]]*"
 MARKS = r"(?:\.\.\.|…)"
-REPLACED = rf"(?:{MARKS}|\[(?:{MARKS}|truncated|cut)\]|\((?:{MARKS}|truncated|more)\))\s*$"
+#: Marks in brackets say by themselves that the rest is missing; a bare ellipsis may be natural.
+EXPLICIT = rf"(?:\[(?:{MARKS}|truncated|cut)\]|\((?:{MARKS}|truncated|more)\))\s*$"
+REPLACED = rf"{MARKS}\s*$"
 SENTENCE = rf"{STOPS}{CLOSERS}$"
 ABBREVIATION = r"(?:^|\W)(?:et al|e\.g|i\.e|cf|vs|pp?|[Ff]igs?|[Nn]o|[Vv]ol|[Ee]ds?)\.$"
 LIST_HEAD = r"(?i)(?:keywords|key words|index terms|subject terms|schlagwörter|mots[- ]clés|palabras clave|ключевые слова|关键词)\s*[:：—–-]\s*"
@@ -56,8 +58,9 @@ def _count(body: Column, char: str) -> Column:
 def with_endings(texts: DataFrame, text: str) -> DataFrame:
     """`texts` with columns kind and term for the end of each text.
 
-    kind is 'sentence', 'closing', 'list' (term: its last term), 'mark' (a mark stands for
-    the rest, or the sentence ends in an ellipsis), 'structure' (an open one) or 'open'.
+    kind is 'sentence', 'closing', 'list' (term: its last term), 'explicit' (a mark in brackets
+    stands for the rest), 'mark' (the end is a bare ellipsis), 'structure' (an open one) or
+    'open'.
     """
     # Two projections, so that the body of a text is found once and not for every test.
     texts = texts.withColumn("_body", _body(F.col(text))).withColumn("_last", F.substring_index("_body", "\n", -1))
@@ -79,6 +82,7 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         .when(reference & whole, "closing")
         .when(reference & (F.size(dois) > 0), "structure")
         .when(bib & body.endswith("}"), "closing")
+        .when(end.rlike(EXPLICIT), "explicit")
         .when(end.rlike(REPLACED), "mark")
         .when(end.rlike(ABBREVIATION), "open")
         .when(end.rlike(SENTENCE), "sentence")
@@ -141,7 +145,7 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     known = whole_terms(documents, "text").withColumn("_known", F.lit(True))
     lists = doubtful.where("kind = 'list'").join(known, "term", "left").withColumn("truncated", F.col("at_limit") | F.col("_known").isNull())
     marks = doubtful.where("kind = 'mark'").withColumn("truncated", F.col("at_limit"))
-    plain = sized.where("kind not in ('list', 'mark')").withColumn("at_limit", F.lit(None).cast("boolean")).withColumn("truncated", F.col("kind").isin("open", "structure"))
+    plain = sized.where("kind not in ('list', 'mark')").withColumn("at_limit", F.lit(None).cast("boolean")).withColumn("truncated", F.col("kind").isin("open", "structure", "explicit"))
     columns = ["doc_id", "source", "kind", "at_limit", "truncated"]
     return plain.select(*columns).unionByName(lists.select(*columns)).unionByName(marks.select(*columns))
 

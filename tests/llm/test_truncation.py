@@ -52,3 +52,9 @@ def test_rates(spark):
     df = spark.createDataFrame([(1, " A", "Cut off her"), (2, "a", FULL), (3, None, FULL), (4, "a", None)], "doc_id long, source string, text string")
     got = {r["source"]: (r["documents"], r["truncated"], r["rate"]) for r in T.truncation_rates(T.flag_truncated(df)).collect()}
     assert got == {"a": (2, 1, 0.5), "": (1, 0, 0.0)}
+
+
+def test_marks_in_brackets_count_at_any_length(spark):
+    marks = ["[...]", "[…]", "[truncated]", "(truncated)", "(more)", "(...)"]
+    rows = [("a", "The network grew " * (i + 1) + m) for i, m in enumerate(marks)] + [("a", "The list could go on and on...")]
+    assert flagged(spark, rows) == set(range(len(marks)))
