@@ -4,7 +4,7 @@ Two kinds of evidence are put together. For every source, the histograms of leng
 characters and in bytes show spikes where a field limit cuts texts. And the end of every
 text says whether it stops at the end of a sentence, in a structure that is still open, in
 a list, at a closing line, or in the middle. Ends that are open by themselves are cut at
-any length, and so are those with a mark in brackets for the rest; ends that may be natural (the last term of a list, an ellipsis) are cut if
+any length, and so are those with a mark in brackets for the rest; ends that may be natural (the last term of a list, an ellipsis, an address) are cut if
 they stand at a spike or, for a term, if no other text of the corpus knows it whole.
 """
 
@@ -44,6 +44,8 @@ AFTER_TEXT = " \t\n\v\f\r\x85\xa0\xad\u1680\u2028\u2029\u202f\u205f\u3000\ufeff"
 END = 200
 #: A remark in parentheses or an address after a full sentence.
 AFTER_SENTENCE = rf"{STOPS}{CLOSERS}\s+(?:\([^()]{{2,60}}\)|https?://\S+[\p{{L}}\p{{N}}/])$"
+#: An address after a full sentence, which may be cut inside.
+ADDRESS = rf"{STOPS}{CLOSERS}\s+https?://\S+[\p{{L}}\p{{N}}/]$"
 
 
 def _body(text: Column) -> Column:
@@ -58,7 +60,7 @@ def _count(body: Column, char: str) -> Column:
 def with_endings(texts: DataFrame, text: str) -> DataFrame:
     """`texts` with columns kind and term for the end of each text.
 
-    kind is 'sentence', 'closing', 'list' (term: its last term), 'explicit' (a mark in brackets
+    kind is 'sentence', 'closing', 'address' (or the doi of an only reference), 'list' (term: its last term), 'explicit' (a mark in brackets
     stands for the rest), 'mark' (the end is a bare ellipsis), 'structure' (an open one) or
     'open'.
     """
@@ -79,6 +81,7 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         F.when(bib & (_count(body, "{") > _count(body, "}")), "structure")
         .when(_count(body, "```") % 6 == 3, "structure")
         .when(last.rlike(r"\([^()]*$"), "structure")
+        .when(reference & whole & (F.size(dois) == 1), "address")
         .when(reference & whole, "closing")
         .when(reference & (F.size(dois) > 0), "structure")
         .when(bib & body.endswith("}"), "closing")
@@ -87,6 +90,7 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         .when(end.rlike(ABBREVIATION), "open")
         .when(end.rlike(SENTENCE), "sentence")
         .when(end.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
+        .when(end.rlike(ADDRESS), "address")
         .when(end.rlike(AFTER_SENTENCE), "closing")
         .otherwise("open")
     )
@@ -140,12 +144,12 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     around = F.when(F.col("unit") == "bytes", F.sequence(F.col("size") - BELOW, F.col("size") + ABOVE)).otherwise(F.array("size"))
     limits = spikes.select("source", "unit", F.explode(around).alias("size")).distinct()
     of = lambda unit, flag: limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(flag))
-    doubtful = sized.where("kind in ('list', 'mark')").join(of("chars", "_c"), ["source", "chars"], "left").join(of("bytes", "_b"), ["source", "bytes"], "left")
+    doubtful = sized.where("kind in ('list', 'mark', 'address')").join(of("chars", "_c"), ["source", "chars"], "left").join(of("bytes", "_b"), ["source", "bytes"], "left")
     doubtful = doubtful.withColumn("at_limit", F.coalesce("_c", "_b", F.lit(False)))
     known = whole_terms(documents, "text").withColumn("_known", F.lit(True))
     lists = doubtful.where("kind = 'list'").join(known, "term", "left").withColumn("truncated", F.col("at_limit") | F.col("_known").isNull())
-    marks = doubtful.where("kind = 'mark'").withColumn("truncated", F.col("at_limit"))
-    plain = sized.where("kind not in ('list', 'mark')").withColumn("at_limit", F.lit(None).cast("boolean")).withColumn("truncated", F.col("kind").isin("open", "structure", "explicit"))
+    marks = doubtful.where("kind in ('mark', 'address')").withColumn("truncated", F.col("at_limit"))
+    plain = sized.where("kind not in ('list', 'mark', 'address')").withColumn("at_limit", F.lit(None).cast("boolean")).withColumn("truncated", F.col("kind").isin("open", "structure", "explicit"))
     columns = ["doc_id", "source", "kind", "at_limit", "truncated"]
     return plain.select(*columns).unionByName(lists.select(*columns)).unionByName(marks.select(*columns))
 

@@ -58,3 +58,17 @@ def test_marks_in_brackets_count_at_any_length(spark):
     marks = ["[...]", "[…]", "[truncated]", "(truncated)", "(more)", "(...)"]
     rows = [("a", "The network grew " * (i + 1) + m) for i, m in enumerate(marks)] + [("a", "The list could go on and on...")]
     assert flagged(spark, rows) == set(range(len(marks)))
+
+
+def test_addresses_and_single_dois_are_cut_at_a_limit(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choices(["grown", "network", "leaf"], k=rng.randrange(5, 60))) + "."
+        rows.append(("limited", text[:200]))
+    lead = "A sentence. https://doi.example/10.5555/"
+    rows += [("limited", lead + "x" * (200 - len(lead))), ("limited", lead + "x" * 30)]
+    lead = "[1] A, B. (1990). T. doi:10.1/"
+    rows += [("limited", lead + "y" * (200 - len(lead))), ("limited", lead + "y" * 30)]
+    got = flagged(spark, rows)
+    assert {300, 302} <= got and not {301, 303} & got
