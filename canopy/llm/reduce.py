@@ -4,11 +4,15 @@ The match graph is shrunk before it is solved. Each round first contracts chains
 arcs through degree-two vertices are ranked by pointer doubling, so a chain of any length
 becomes one edge in a logarithmic number of joins. It then strips the degree-one vertices.
 What remains when no vertex has a degree below three is the core; it is solved by star
-contraction, and the labels are carried back to the removed vertices in reverse order.
+contraction. Each removed vertex points at one that was removed later or never; these ways
+are shortened by pointer doubling too, so the labels come back in a logarithmic number of
+joins, and no plan holds more than one of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +81,19 @@ def _strip_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, edges.where("d_a > 1 and d_b > 1").select("a", "b")
 
 
+def _top_parents(records: DataFrame, stages: int) -> DataFrame:
+    """(v, parent) with the vertex that no stage removed at the end of every vertex's way up.
+
+    Every vertex was removed once, and its parent later or never, so no way is longer than
+    the number of stages; doubling the ways takes the logarithm of it in joins, each on
+    records that were written before.
+    """
+    for _ in range(stages.bit_length()):
+        above = records.select(F.col("v").alias("parent"), F.col("parent").alias("top"))
+        records = cut(records.join(above, "parent", "left").select("v", F.coalesce("top", "parent").alias("parent")))
+    return records
+
+
 def consolidate(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of `edges` (columns a, b of one orderable type).
 
@@ -99,12 +116,12 @@ def consolidate(edges: DataFrame) -> DataFrame:
         stages.append(records)
     core = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = (connected_components(core) if core.take(1) else core).toDF("v", "root")
-    for records in reversed(stages):
-        above = labels.select(F.col("v").alias("parent"), "root")
-        labels = labels.union(records.join(above, "parent", "left").select("v", F.coalesce("root", "parent").alias("root")))
-    labels = cut(labels)
+    if not stages:
+        return cut(labels)
+    removed = _top_parents(cut(reduce(DataFrame.union, stages)), len(stages))
+    restored = removed.join(labels.toDF("parent", "root"), "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
     # Roots that no stage removed and that aren't in the core have no row yet.
-    return cut(labels.union(labels.select("root", "root")).distinct())
+    return cut(labels.union(restored).union(removed.select("parent", "parent")).groupBy("v").agg(F.min("root").alias("root")))
 
 
 def work_edges(works: DataFrame, match_pairs: DataFrame) -> DataFrame:

@@ -56,6 +56,27 @@ def test_random_graphs(spark, seed, n, m):
     assert solve(spark, edges) == brute(edges)
 
 
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(i, j) for i in range(2**15 - 1) for j in (2 * i + 1, 2 * i + 2)],
+        [(i, i + 1) for i in range(14)] + [(i, 100 * (i + 1) + k) for i in range(15) for k in range(3)],
+    ],
+    ids=["binary tree", "caterpillar"],
+)
+def test_many_stages_make_no_large_plan(spark, monkeypatch, edges):
+    joins, write = [], reduce.cut
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df)
+
+    monkeypatch.setattr(reduce, "cut", counted)
+    rows = reduce.consolidate(spark.createDataFrame(edges, "a long, b long"))
+    assert rows.count() == len(edges) + 1 and rows.select("root").distinct().count() == 1
+    assert max(joins) <= 2
+
+
 def test_works(spark):
     works = spark.createDataFrame(
         [(1, "L1", ["doi:10.1/A", "", None, "x:"]), (2, "L2", ["DOI:10.1/a"]), (3, "L1", None), (4, "L4", ["x:", ""]), (5, "L5", []), (6, None, ["y:1"]), (7, " ", ["Y:1 "]), (8, None, None), (9, " ", None)],
