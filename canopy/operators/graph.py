@@ -1,18 +1,17 @@
 """Graph transforms, orders, propagation and shortest paths over vertex and edge DataFrames.
 
 Edges have columns src and dst and may have weight; vertices have id. A graph is directed
-unless a function says otherwise. Iterations run one aggregated join a round and cut their
-lineage in the shared checkpoint folder, so no plan grows with the number of rounds.
+unless a function says otherwise. Iterations run in supersteps over blocks of vertices
+(blocks.py) and cut their lineage in the shared checkpoint folder, so no plan grows with
+the number of rounds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators import local
+from canopy.operators.blocks import Numbered, Pile, numbered, peel, relax
 from canopy.operators.components import connected_components
 from canopy.session import cut
 
@@ -68,36 +67,12 @@ def remove_dangling(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     return vertices.join(bad, "id", "left_anti"), purge(edges, bad)
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """What is left of the edges after vertices without in-edges or without out-edges are
-    removed, again and again; only edges on or between cycles remain."""
-    left = edges.count()
-    while left:
-        sources, targets = edges.select("src").distinct(), edges.select("dst").distinct()
-        inner = edges.join(targets.withColumnRenamed("dst", "src"), "src", "left_semi").join(sources.withColumnRenamed("src", "dst"), "dst", "left_semi")
-        edges = cut(inner.select("src", "dst"))
-        now = edges.count()
-        if now == left:
-            break
-        left = now
-    return edges
-
-
-def _spread(edges: DataFrame, start: DataFrame, better) -> DataFrame:
-    """(id, c): the best value of `start` (id, c) that reaches each vertex along the edges."""
-    best = frontier = start
-    while True:
-        offered = frontier.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("to")), "id").groupBy("to").agg(better("c").alias("n"))
-        merged = best.join(offered.withColumnRenamed("to", "id"), "id", "left")
-        merged = cut(merged.select("id", better_of(better, "c", "n").alias("c"), (F.col("n").isNotNull() & (better_of(better, "c", "n") != F.col("c"))).alias("moved")))
-        frontier = merged.where("moved").select("id", "c")
-        best = merged.select("id", "c")
-        if not frontier.take(1):
-            return best
-
-
-def better_of(better, a: str, b: str):
-    return (F.greatest if better is F.max else F.least)(a, b)
+def _trim(graph: Numbered, arcs: DataFrame) -> DataFrame:
+    """The arcs on or between cycles: vertices without in-arcs or without out-arcs go, again and again."""
+    both = arcs.withColumn("slot", F.lit(0)).unionByName(arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), "step", F.lit(1).alias("slot")))
+    _, left = peel(graph, both, graph.starts(arcs), [], either=True)
+    left = cut(left)
+    return cut(arcs.join(left.toDF("s"), "s", "left_semi").join(left.toDF("t"), "t", "left_semi"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -107,27 +82,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reaches it, and takes of each colour what reaches its root again; repeats on the rest.
     component is the largest vertex of the component.
     """
-    core = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    if local.fits(core):
-        return cut(local.strong_components(core))
-    core = _trim(core)
-    found = []
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    graph = numbered(vertices_of(edges), edges)
+    core, found = _trim(graph, graph.arcs), Pile()
     while core.take(1):
-        colours = _spread(core, vertices_of(core).select("id", F.col("id").alias("c")), F.max)
-        tinted = core.join(colours.toDF("src", "c"), "src").join(colours.toDF("dst", "c2"), "dst").where("c = c2").select("src", "dst", "c")
-        tinted = cut(tinted)
-        reached = frontier = cut(colours.where("id = c"))
-        while True:
-            step = tinted.join(frontier.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            frontier = cut(step.join(reached, ["id", "c"], "left_anti"))
-            if not frontier.take(1):
-                break
-            reached = cut(reached.union(frontier))
-        found.append(reached.join(reached.groupBy("c").count().where("count > 1"), "c").select("id", F.col("c").alias("component")))
-        core = _trim(cut(purge(core, reached)))
-    if not found:
+        still = core.withColumn("w", F.lit(0.0))
+        starts = core.select(F.col("s").alias("n")).union(core.select("t")).distinct().where("n >= 0")
+        colours = cut(relax(graph, still, starts.select(F.lit(0).alias("source"), "n", (-F.col("n")).cast("double").alias("d"))).select("n", (-F.col("d")).cast("long").alias("c")))
+        tinted = still.join(colours.toDF("s", "c"), "s").join(colours.toDF("t", "c2"), "t").where("c = c2").select(F.col("t").alias("s"), F.col("s").alias("t"), "w")
+        back = relax(graph, cut(tinted), colours.where("n = c").select(F.lit(0).alias("source"), "n", F.lit(0.0).alias("d")))
+        reached = cut(back.select("n").join(colours, "n"))
+        own = reached.where("n >= 0")
+        found.add(own.join(own.groupBy("c").count().where("count > 1"), "c").select("n", "c"))
+        gone = reached.select("n")
+        core = _trim(graph, cut(core.join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti")))
+    if not found.frames:
         return vertices_of(edges).where(F.lit(False)).select("id", F.col("id").alias("component"))
-    return reduce(DataFrame.union, found)
+    return cut(graph.ids(found.all(), "n", "c").toDF("id", "component"))
 
 
 def remove_cycles(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,86 +124,54 @@ def giant(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def topological_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest path that ends in a vertex; (level, id) is a topological order.
 
-    Vertices are peeled in rounds, each of which lowers the open in-degrees of what it
-    cites. Raises CycleError if some vertex is never free.
+    Raises CycleError if there is a cycle.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    if local.fits(edges, 2) and local.fits(vertices, 2):
-        ends = edges.union(vertices.select("id", F.lit(None).cast(edges.schema["dst"].dataType)))
-        levels = cut(local.topological_levels(ends))
-        if levels.where("level < 0").take(1):
-            raise CycleError("graph has a cycle")
-        return levels
-    open_ = cut(degrees(edges, vertices).select("id", F.col("in_degree").alias("n")))
-    left, level, done = open_.count(), 0, []
-    while left:
-        free = cut(open_.where("n = 0").select("id", F.lit(level).alias("level")))
-        size = free.count()
-        if not size:
-            raise CycleError("graph has a cycle")
-        done.append(free)
-        left -= size
-        paid = edges.join(free.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("m"))
-        open_ = cut(open_.where("n > 0").join(paid, "id", "left").select("id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")))
-        level += 1
-    return reduce(DataFrame.union, done) if done else vertices.select("id", F.lit(0).alias("level"))
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, ready: bool = False) -> DataFrame:
+    graph = numbered(vertices_of(edges).union(vertices.select("id")), edges)
+    levels, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), graph.starts(graph.arcs), [])
+    if left.take(1):
+        raise CycleError("graph has a cycle")
+    return cut(graph.ids(levels, "n").select(F.col("n").alias("id"), "level"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, graph: Numbered | None = None) -> DataFrame:
     """Sums of path-weighted seeds: each value column of `seeds` (id, ...) flows from a vertex
-    to every vertex that cites it, along all paths at once.
+    to every vertex that cites it, along all paths at once; rows for what is reached.
 
-    One frontier a round carries all columns; the result adds up the frontiers, which is
-    exact below 2^53. Raises CycleError once a path would be longer than there are vertices.
-    ready: edges (src, dst) and seeds are distinct and written already.
+    A vertex passes its sums on when all that flows into it is in, so every edge is walked
+    once, whatever the number of paths; sums are exact below 2^53. Raises CycleError if the
+    graph has a cycle anywhere. graph: the distinct edges, numbered already with cited
+    vertices as s and citing ones as t.
     """
     values = [c for c in seeds.columns if c != "id"]
-    if not ready:
-        edges, seeds = cut(edges.select("src", "dst").distinct()), cut(seeds)
-    if local.fits(edges, 2) and local.fits(seeds, 2):
-        if not seeds.take(1):
-            return seeds
-        try:
-            return cut(local.propagate(edges, seeds, values))
-        except Exception as e:
-            raise CycleError("graph has a cycle") if "graph has a cycle" in str(e) else e from None
-    most = None
-    frontier = seeds
-    waves = [frontier]
-    while frontier.take(1):
-        step = frontier.join(edges.withColumnRenamed("dst", "id"), "id").groupBy("src").agg(*[F.sum(v).alias(v) for v in values])
-        frontier = cut(step.withColumnRenamed("src", "id"))
-        waves.append(frontier)
-        if len(waves) % 50 == 0:
-            most = most or vertices_of(edges).count()
-            if len(waves) > most + 1:
-                raise CycleError("graph has a cycle")
-    return reduce(DataFrame.union, waves).groupBy("id").agg(*[F.sum(v).alias(v) for v in values])
+    seeds = cut(seeds)
+    if graph is None:
+        edges = cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
+        graph = numbered(vertices_of(edges).union(seeds.select("id")), edges)
+    first = graph.numbers(seeds.withColumn("_ways", F.lit(1.0)), "id").withColumnRenamed("id", "n")
+    columns = [*values, "_ways"]
+    starts = graph.starts(graph.arcs).join(first, "n", "left").select("n", "o0", "o1", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    sums, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), starts, columns)
+    if left.take(1):
+        raise CycleError("graph has a cycle")
+    return cut(graph.ids(sums.where("_ways > 0"), "n").select(F.col("n").alias("id"), *values))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(source, id, dist, parent): the shortest distance from every source to what it reaches.
 
-    Edges have weight, or all weigh 1. Of equally short ways the one over the smallest
-    parent counts. known: results of earlier sources, which are kept as they are.
+    Edges have a weight above 0, or all weigh 1. Of equally short ways the one over the
+    smallest parent counts. known: results of earlier sources, which are kept as they are.
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     arcs = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
     sources = cut(sources.select("id").distinct())
-    asked = sources.count()
-    if asked and local.fits(arcs, 1 + asked):
-        found = cut(local.shortest_paths(arcs, sources))
-        return found if known is None else cut(known.unionByName(found))
-    first = sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["id"].dataType).alias("parent"))
-    best = frontier = cut(first)
-    while frontier.take(1):
-        ways = frontier.join(arcs.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("id").alias("parent"))
-        offered = ways.groupBy("source", "id").agg(F.min(F.struct("dist", "parent")).alias("o"))
-        both = best.join(offered, ["source", "id"], "full")
-        gain = F.col("o").isNotNull() & (F.col("dist").isNull() | (F.col("o.dist") < F.col("dist")) | ((F.col("o.dist") == F.col("dist")) & (F.col("o.parent") < F.col("parent"))))
-        merged = cut(both.select("source", "id", F.when(gain, F.col("o.dist")).otherwise(F.col("dist")).alias("dist"), F.when(gain, F.col("o.parent")).otherwise(F.col("parent")).alias("parent"), gain.alias("gained")))
-        frontier = merged.where("gained").select("source", "id", "dist", "parent")
-        best = merged.select("source", "id", "dist", "parent")
+    graph = numbered(vertices_of(arcs).union(sources), arcs)
+    starts = graph.numbers(sources, "id").select(F.col("id").alias("source"), F.col("id").alias("n"), F.lit(0.0).alias("d"))
+    best = cut(graph.ids(relax(graph, graph.arcs, starts), "source", "n").select("source", F.col("n").alias("id"), F.col("d").alias("dist")))
+    ways = best.join(arcs.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("id").alias("parent"))
+    last = ways.where("source <> id").groupBy("source", "id").agg(F.min(F.struct("dist", "parent")).alias("o"))
+    best = cut(best.join(last, ["source", "id"], "left").select("source", "id", "dist", F.col("o.parent").alias("parent")))
     return best if known is None else cut(known.unionByName(best))
 
 
@@ -245,18 +184,18 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     open_ = cut(edges.where("src <> dst").groupBy(F.col("src").alias("s"), F.col("dst").alias("d")).agg(F.min(weight).alias("w")).select("s", "d", "w", F.col("s").alias("a"), F.col("d").alias("b")))
-    chosen = []
+    chosen = Pile()
     while open_.take(1):
         order = F.struct("w", "s", "d", "a", "b")
         ends = open_.select(F.col("a").alias("c"), order.alias("e")).union(open_.select("b", order))
         best = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        chosen.append(best.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")))
+        chosen.add(best.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")))
         merged = cut(connected_components(best.select("a", "b")))
         moved = open_.join(merged.toDF("a", "ca"), "a").join(merged.toDF("b", "cb"), "b").where("ca <> cb")
         open_ = cut(moved.select("s", "d", "w", F.col("ca").alias("a"), F.col("cb").alias("b")))
-    if not chosen:
+    if not chosen.frames:
         return edges.where(F.lit(False)).select("src", "dst", weight.alias("weight"))
-    return reduce(DataFrame.union, chosen)
+    return chosen.all()
 
 
 def citation_graph(citations: DataFrame, mains: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.graph import degrees, invert, propagate, topological_levels
+from canopy.operators.blocks import numbered
+from canopy.operators.graph import degrees, propagate, vertices_of
 from canopy.session import cut
 
 
@@ -36,26 +37,24 @@ def _top(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), "id").limit(max(n, 0))
 
 
-def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50, check: bool = False) -> Sap:
+def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50) -> Sap:
     """Scores of a directed acyclic graph in which src cites dst.
 
     Roots are cited and cite nothing, the most cited first. Path counts and root scores
     flow from the roots to what cites them in one pass, leaves are the uncited vertices
     with most paths to roots, and a second pass flows back from them. A vertex's sap is
     paths from leaves x root scores + paths to roots x leaf scores; the trunk has the most
-    sap without being a root or leaf. check: raise CycleError on a cycle before the scores.
+    sap without being a root or leaf.
+    Raises CycleError if the graph has a cycle.
     """
     edges, vertices = cut(edges.select("src", "dst").distinct()), cut(vertices.select("id").distinct())
-    if check:
-        topological_levels(vertices, edges)
+    graph = numbered(vertices_of(edges).union(vertices), edges)
     deg = cut(degrees(edges, vertices))
     top_roots = cut(_top(deg.where("out_degree = 0 and in_degree > 0").select("id", F.col("in_degree").cast("double").alias("rootness")), "rootness", roots))
-    forward = propagate(edges, top_roots.select("id", F.lit(1.0).alias("connections"), F.col("rootness").alias("sap")), ready=True)
-    forward = cut(forward)
+    forward = propagate(edges, top_roots.select("id", F.lit(1.0).alias("connections"), F.col("rootness").alias("sap")), graph.turned())
     open_ = deg.where("in_degree = 0").join(forward.where("connections > 0"), "id").select("id", F.col("connections").alias("leafness"))
     top_leaves = cut(_top(open_, "leafness", leaves))
-    backward = propagate(invert(edges), top_leaves.select("id", F.lit(1.0).alias("connections"), F.col("leafness").alias("sap")), ready=True)
-    backward = cut(backward)
+    backward = propagate(edges, top_leaves.select("id", F.lit(1.0).alias("connections"), F.col("leafness").alias("sap")), graph)
     both = forward.join(backward.select("id", F.col("connections").alias("cl"), F.col("sap").alias("sl")), "id", "left")
     sap = both.select("id", (F.coalesce("cl", F.lit(0.0)) * F.col("sap") + F.col("connections") * F.coalesce("sl", F.lit(0.0))).alias("trunkness")).where("trunkness > 0")
     inner = sap.join(top_roots, "id", "left_anti").join(top_leaves, "id", "left_anti")

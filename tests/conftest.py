@@ -16,8 +16,10 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["one task", "distributed"])
+@pytest.fixture(params=["one block", "many blocks"])
 def both_ways(request, monkeypatch):
-    """Small graphs solved in one task, and by the distributed rounds."""
-    if request.param == "distributed":
-        monkeypatch.setattr("canopy.operators.local.LOCAL_EDGES", 0)
+    """Graphs in one block, and in so many small ones that most vertices are split."""
+    if request.param == "many blocks":
+        monkeypatch.setattr("canopy.operators.blocks.BLOCK", 3)
+        monkeypatch.setattr("canopy.operators.blocks.HOT", 2)
+        monkeypatch.setattr("canopy.operators.components.BLOCK", 3)

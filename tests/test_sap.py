@@ -27,7 +27,7 @@ def test_diamond(spark, both_ways):
 
 def test_cycle_is_an_error(spark, both_ways):
     with pytest.raises(CycleError):
-        run(spark, [("A", "B"), ("B", "A")], check=True)
+        run(spark, [("A", "B"), ("B", "A")])
 
 
 def test_path_counts_beyond_64_bits(spark):
