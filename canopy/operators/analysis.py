@@ -55,10 +55,10 @@ def top_by_category(nodes: DataFrame, category: str, limit: int, per: list[str]
     return scored.withColumn("normal", S.normalize_score(F.col("score"), top))
 
 
-def normalized(nodes: DataFrame, per: str = "collection_id") -> DataFrame:
-    """Nodes with every score normalised by its maximum in the collection."""
-    tops = nodes.groupBy(per).agg(*[F.max(number(s)).alias(f"_{s}") for s in SCORES.values()])
-    wide = nodes.join(tops, per)
+def normalized(nodes: DataFrame, per: str | None = "collection_id") -> DataFrame:
+    """Nodes with every score normalised by its maximum in the collection; per = None: in all nodes."""
+    tops = (nodes.groupBy(per) if per else nodes).agg(*[F.max(number(s)).alias(f"_{s}") for s in SCORES.values()])
+    wide = nodes.join(tops, per) if per else nodes.crossJoin(F.broadcast(tops))  # without a group, one row
     out = {s: S.normalize_score(F.coalesce(number(s), F.lit(0.0)), F.coalesce(f"_{s}", F.lit(0.0))) for s in SCORES.values()}
     return wide.withColumns(out).drop(*[f"_{s}" for s in SCORES.values()])
 
@@ -77,7 +77,7 @@ class Analysis:
         return Analysis(self.nodes.join(ids, "id", "left_semi"), links)
 
     def normalize(self) -> Analysis:
-        return Analysis(normalized(self.nodes.withColumn("_all", F.lit(1)), "_all").drop("_all"), self.links)
+        return Analysis(normalized(self.nodes, None), self.links)
 
 
 def aliases(nodes: DataFrame, node: str = "node") -> DataFrame:

@@ -13,12 +13,12 @@ supersteps lie in the checkpoint folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from canopy.session import cut, cut_by, ship
@@ -48,17 +48,23 @@ class Pile:
 
 @dataclass
 class Numbered:
-    """names (id, n) in `ranges` ranges; arcs (s, t, step, ...), of which those within a split vertex
-    have step 0; sub: the ranges that were cut once more."""
+    """names (id, n, o0, o1: arcs that end and start there) in `ranges` ranges; arcs (s, t, step, ...),
+    of which those within a split vertex have step 0; sub: the ranges that were cut once more;
+    size: about how many arcs there are; split: whether there are virtual vertices."""
 
     names: DataFrame
     arcs: DataFrame
     ranges: int
-    sub: DataFrame | None
+    size: int
+    block: int
+    sub: DataFrame | None = None
+    split: bool = False
 
     def turned(self) -> Numbered:
         """The graph with every arc in the other direction."""
-        return Numbered(self.names, self.arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), *[c for c in self.arcs.columns if c not in ("s", "t")]), self.ranges, self.sub)
+        names = self.names.select("id", "n", F.col("o1").alias("o0"), F.col("o0").alias("o1"))
+        arcs = self.arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), *[c for c in self.arcs.columns if c not in ("s", "t")])
+        return replace(self, names=names, arcs=arcs)
 
     def ids(self, df: DataFrame, *columns: str) -> DataFrame:
         """`df` with the ids in place of numbers; rows of virtual vertices fall out."""
@@ -66,10 +72,9 @@ class Numbered:
             df = df.join(self.names.select(F.col("n").alias(c), F.col("id").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
         return df
 
-    def starts(self, arcs: DataFrame) -> DataFrame:
+    def starts(self) -> DataFrame:
         """(n, o0, o1): how many of the arcs end and start in each vertex, virtual ones too."""
-        ends = arcs.select(F.col("t").alias("n"), F.lit(1).alias("o0"), F.lit(0).alias("o1")).union(arcs.select("s", F.lit(0), F.lit(1))).union(self.names.select("n", F.lit(0), F.lit(0)))
-        return ends.groupBy("n").agg(F.sum("o0").alias("o0"), F.sum("o1").alias("o1"))
+        return arc_ends(self.arcs, self.names) if self.split else self.names.select("n", "o0", "o1")
 
     def numbers(self, df: DataFrame, c: str) -> DataFrame:
         return df.join(self.names.select(F.col("id").alias(c), F.col("n").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
@@ -85,54 +90,72 @@ class Numbered:
         split = F.when(F.col("_p").isNotNull(), F.col(block) + (F.pmod(F.xxhash64(n), F.col("_p")) + 1) * F.lit(1 << 32)).otherwise(F.col(block))
         return joined.withColumn(block, split).drop("_r", "_p")
 
+    def blocks(self, arcs: DataFrame) -> DataFrame:
+        """`arcs` with the blocks of both ends as block and tb."""
+        return self.placed(self.placed(arcs, "s", "block"), "t", "tb")
 
-def numbered(vertices: DataFrame, edges: DataFrame) -> Numbered:
-    """Numbers for vertices (id) and edges (src, dst, ...) between them."""
+
+def arc_ends(arcs: DataFrame, names: DataFrame) -> DataFrame:
+    """(n, o0, o1) over any arcs; names (n) without arcs have none."""
+    ends = arcs.select(F.col("t").alias("n"), F.lit(1).alias("o0"), F.lit(0).alias("o1")).union(arcs.select("s", F.lit(0), F.lit(1))).union(names.select("n", F.lit(0), F.lit(0)))
+    return ends.groupBy("n").agg(F.sum("o0").alias("o0"), F.sum("o1").alias("o1"))
+
+
+def numbered(edges: DataFrame, vertices: DataFrame | None = None, block: int | None = None) -> Numbered:
+    """Numbers for the ends of written edges (src, dst, ...) and for further vertices (id); block:
+    arcs of a block in place of BLOCK, with HOT smaller in proportion."""
     ship(edges.sparkSession)
-    size = edges.count()
-    ranges = max(1, -(-size // BLOCK))
-    ordered = vertices.select("id").where("id is not null").distinct().repartitionByRange(ranges, "id").sortWithinPartitions("id")
-    names = cut(ordered.select("id", F.monotonically_increasing_id().alias("n")))
-    found = Numbered(names, edges, ranges, None)
-    arcs = found.numbers(found.numbers(edges.withColumnsRenamed({"src": "s", "dst": "t"}), "s"), "t")
-    arcs = cut(_split(_split(cut(arcs.withColumn("step", F.lit(1))), "s", "t"), "t", "s"))
-    per = arcs.where("s >= 0").groupBy(F.shiftright("s", RANGE).alias("range")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 2 * BLOCK)
-    sub = cut(per.select("range", F.ceil(F.col("m") / BLOCK).alias("parts")))
-    return Numbered(names, arcs, ranges, sub if sub.take(1) else None)
-
-
-def _split(arcs: DataFrame, end: str, other: str) -> DataFrame:
-    """Arcs in which a vertex with more than HOT of them at `end` has virtual vertices between."""
-    hot = cut(arcs.groupBy(end).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > HOT).select(end, F.least(F.ceil(F.col("_m") / HOT), F.lit(VIRTUAL)).alias("_k")))
-    if not hot.take(1):
-        return arcs
+    size, block = edges.count(), block or BLOCK
+    hot = max(2, HOT * block // BLOCK)
+    ranges = max(1, -(-size // block))
+    ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("o0"), F.lit(0).alias("o1")).union(edges.select("src", F.lit(0), F.lit(1)))
+    if vertices is not None:
+        ends = ends.union(vertices.select("id", F.lit(0), F.lit(0)))
+    counted = ends.where("id is not null").groupBy("id").agg(F.sum("o0").alias("o0"), F.sum("o1").alias("o1"))
+    names = cut(counted.repartitionByRange(ranges, "id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n"), "o0", "o1"))
+    found = Numbered(names, edges, ranges, size, block)
+    found.arcs = found.numbers(found.numbers(edges.withColumnsRenamed({"src": "s", "dst": "t"}), "s"), "t").withColumn("step", F.lit(1))
+    per = names.groupBy(F.shiftright("n", RANGE).alias("range")).agg(F.sum("o1").alias("m"), F.greatest(F.max("o0"), F.max("o1")).alias("d"))
+    most, hottest = per.agg(F.max("m"), F.max("d")).first()
+    if hottest is not None and hottest > hot:
+        found.arcs = cut(_split(_split(cut(found.arcs), "s", "t", hot), "t", "s", hot))
+        found.split = True
+    if most is not None and most > 2 * block:
+        found.sub = cut(per.where(F.col("m") > 2 * block).select("range", F.ceil(F.col("m") / block).alias("parts")))
+    return found
+
+
+def _split(arcs: DataFrame, end: str, other: str, most: int) -> DataFrame:
+    """Arcs in which a vertex with more than `most` of them at `end` has virtual vertices between."""
+    hot = arcs.groupBy(end).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > most).select(end, F.least(F.ceil(F.col("_m") / most), F.lit(VIRTUAL)).alias("_k"))
     virtual = -(F.col(end) * (2 * VIRTUAL) + (VIRTUAL if end == "t" else 0) + F.pmod(F.xxhash64(other), F.col("_k")) + 1)
-    marked = arcs.join(hot, end, "left").withColumn("_v", F.when(F.col("_k").isNotNull(), virtual))
+    marked = cut(arcs.join(hot, end, "left").withColumn("_v", F.when(F.col("_k").isNotNull(), virtual)))
     leaves = marked.withColumn(end, F.coalesce("_v", end)).drop("_v", "_k")
     rest = {c: F.lit(0).cast(t) for c, t in arcs.dtypes if c not in ("s", "t")}
     trunk = marked.where("_v is not null").select(F.col(end), F.col("_v").alias(other)).distinct().withColumns(rest)
-    return leaves.unionByName(trunk.select(*arcs.columns))
+    return leaves.unionByName(trunk.select(*leaves.columns))
 
 
-def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, work, schema: str, done: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(kept rows, done rows): supersteps of `work` on the arcs and rows of a block until none sends a row.
+def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, work, schema: str, done: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(kept rows, done rows, number of kept rows): supersteps of `work` on the arcs and rows of
+    a block until none sends a row.
 
     rows have block, kind (0: kept, 1: sent, `done`: not needed any more) and what `schema`
-    says. The arcs are partitioned by block once.
+    says. From the second superstep on the arcs lie partitioned by block.
     """
-    spark = arcs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-arcs.count() // BLOCK))
-    placed = graph.placed(graph.placed(arcs, "s", "block"), "t", "tb")
-    placed = cut_by(placed, parts, "block").groupBy("block")
-    pile = Pile()
+    parts = max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.size // graph.block))
+    placed, pile, first = graph.blocks(arcs), Pile(), True
     while True:
-        rows = cut(placed.cogroup(rows.groupBy("block")).applyInArrow(work, schema))
-        kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}
+        seen = Observation()
+        out = placed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(work, schema)
+        rows = cut(out.observe(seen, F.count_if(F.col("kind") == 0).alias("kept"), F.count_if(F.col("kind") == 1).alias("sent")))
         if done is not None:
             pile.add(rows.where(F.col("kind") == done))
             rows = rows.where(F.col("kind") != done)
-        if 1 not in kinds:
-            return rows, pile.all() if done is not None else None
+        if not seen.get["sent"]:
+            return rows, pile.all() if done is not None else None, seen.get["kept"]
+        if first:
+            placed, first = cut_by(placed, parts, "block"), False
 
 
 class _Block:
@@ -170,8 +193,8 @@ def _numbers(t: pa.Table, *columns: str) -> list[np.ndarray]:
     return [t[c].to_numpy() for c in columns]
 
 
-def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str], either: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(peeled, left): peeled (n, level, values) of vertices whose arcs have all been paid.
+def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str], either: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(peeled, left, size of left): peeled (n, level, values) of vertices whose arcs have all been paid.
 
     starts: n, o0, o1 and values. A vertex is free when its count o0 of open arcs is zero
     (either: or o1 is); it then pays what it points at by one in the arc's slot, raises
@@ -228,8 +251,8 @@ def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str],
 
     target = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("o0", pa.int64()), ("o1", pa.int64()), ("level", pa.int32()), *[(v, pa.float64()) for v in values]])
     rows = graph.placed(starts.withColumn("kind", F.lit(0)).withColumn("level", F.lit(0)), "n", "block")
-    left, gone = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows.select(*names), work, schema, done=2)
-    return gone.select("n", "level", *values), left.select("n")
+    left, gone, size = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows.select(*names), work, schema, done=2)
+    return gone.select("n", "level", *values), left.select("n"), size
 
 
 def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
@@ -278,5 +301,70 @@ def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
 
     target = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("source", pa.int64()), ("n", pa.int64()), ("d", pa.float64())])
     rows = graph.placed(starts.withColumn("kind", F.lit(1)), "n", "block").select(*names)
-    kept, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), rows, work, schema)
+    kept, _, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), rows, work, schema)
     return kept.select("source", "n", "d")
+
+
+def _cycles(s: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, the largest member of their component) of strong components of two or more."""
+    alive = np.ones(len(s), bool)
+    while True:
+        into, out = np.zeros(size, bool), np.zeros(size, bool)
+        into[t[alive]], out[s[alive]] = True, True
+        left = alive & into[s] & out[t]
+        if left.sum() == alive.sum():
+            break
+        alive = left
+    s, t = s[alive], t[alive]
+    order = np.argsort(s, kind="stable")
+    first, targets = np.searchsorted(s[order], np.arange(size + 1)).tolist(), t[order].tolist()
+    # One search in depth; low is the earliest vertex on the stack that a vertex leads back to.
+    seen, low, stack, on = {}, {}, [], set()
+    members, largest = [], []
+    for root in np.unique(s).tolist():
+        if root in seen:
+            continue
+        path = [(root, first[root])]
+        while path:
+            v, i = path.pop()
+            if v not in seen:
+                seen[v] = low[v] = len(seen)
+                stack.append(v)
+                on.add(v)
+            elif i > first[v] and targets[i - 1] in on:
+                low[v] = min(low[v], low[targets[i - 1]])
+            while i < first[v + 1]:
+                u = targets[i]
+                i += 1
+                if u not in seen:
+                    path += [(v, i), (u, first[u])]
+                    break
+                if u in on:
+                    low[v] = min(low[v], seen[u])
+            else:
+                if low[v] == seen[v]:
+                    at = stack.index(v) if stack[-1] != v else len(stack) - 1
+                    own = stack[at:]
+                    del stack[at:]
+                    on.difference_update(own)
+                    if len(own) > 1:
+                        members += own
+                        largest += [max(own)] * len(own)
+    return np.array(members, np.int64), np.array(largest, np.int64)
+
+
+def inner_components(graph: Numbered, arcs: DataFrame) -> tuple[DataFrame, int]:
+    """((n, c), crossing): strong components of two or more within each block, called by their
+    largest vertex, and the number of arcs between blocks."""
+
+    def work(arcs: pa.Table) -> pa.Table:
+        s, t, block, tb = _numbers(arcs, "s", "t", "block", "tb")
+        inner = block == tb
+        ids, codes = np.unique(np.concatenate([s[inner], t[inner]]), return_inverse=True)
+        members, largest = _cycles(codes[: inner.sum()], codes[inner.sum() :], len(ids))
+        return pa.table({"n": pa.array(ids[members], pa.int64()), "c": pa.array(ids[largest], pa.int64())})
+
+    seen = Observation()
+    placed = graph.blocks(arcs.select("s", "t")).observe(seen, F.count_if(F.col("block") != F.col("tb")).alias("crossing"))
+    found = cut(placed.groupBy("block").applyInArrow(work, "n long, c long"))
+    return found, seen.get["crossing"]

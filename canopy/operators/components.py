@@ -80,11 +80,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("m <> w").select(F.col("m").alias("a"), F.col("w").alias("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """True if every vertex is the centre of its edges or has only one edge, to a centre."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("v").agg(F.max("out").alias("out"), F.sum("into").alias("into")).agg(F.max(F.col("out") + F.col("into") > 1)).first()[0]
+    return not bad
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): component is the smallest id linked to id, directly or indirectly.
 
     Every task first contracts the edges that it holds; then large-star and small-star
-    contractions alternate until no edge changes. Hot vertices are pre-aggregated to a minimum and their edges stay spread over the tasks of the join,
+    contractions alternate until only stars are left. Hot vertices are pre-aggregated to a minimum and their edges stay spread over the tasks of the join,
     which adaptive execution may split. Null ends are left out, loops and repeated edges
     change nothing. vertices (column id): isolated ones form their own component.
     """
@@ -94,11 +101,6 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         known = known.union(vertices.select(vertices.columns[0]).where(F.col(vertices.columns[0]).isNotNull()))
     stars = cut(_contracted(normal_edges(edges)))
     known = known.distinct()
-    mark = None
-    while True:
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == mark:
-            break
-        mark = now
+    while not _are_stars(stars):
         stars = cut(_contracted(_star(_star(stars, True), False)))
     return known.join(stars.select(F.col("b").alias("id"), F.col("a").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.blocks import Numbered, Pile, numbered, peel, relax
+from canopy.operators.blocks import Numbered, Pile, arc_ends, inner_components, numbered, peel, relax
 from canopy.operators.components import connected_components
 from canopy.session import cut
 
@@ -70,21 +70,28 @@ def remove_dangling(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
 def _trim(graph: Numbered, arcs: DataFrame) -> DataFrame:
     """The arcs on or between cycles: vertices without in-arcs or without out-arcs go, again and again."""
     both = arcs.withColumn("slot", F.lit(0)).unionByName(arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), "step", F.lit(1).alias("slot")))
-    _, left = peel(graph, both, graph.starts(arcs), [], either=True)
-    left = cut(left)
+    _, left, _ = peel(graph, both, arc_ends(arcs, graph.names), [], either=True)
     return cut(arcs.join(left.toDF("s"), "s", "left_semi").join(left.toDF("t"), "t", "left_semi"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, block: int | None = None) -> DataFrame:
     """(id, component) of the vertices in strongly connected components of two or more.
 
-    Trims to the cyclic core; there, colours every vertex with the largest vertex that
-    reaches it, and takes of each colour what reaches its root again; repeats on the rest.
-    component is the largest vertex of the component.
+    Components within a block are found there and contracted. If arcs lead from block to
+    block, what is left is trimmed to its cyclic core; there, every vertex is coloured with
+    the largest vertex that reaches it, and what of a colour reaches its root again is a
+    component; this repeats on the rest. component is the largest vertex of the component. block: see
+    numbered().
     """
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    graph = numbered(vertices_of(edges), edges)
-    core, found = _trim(graph, graph.arcs), Pile()
+    graph = numbered(edges, block=block)
+    inner, crossing = inner_components(graph, graph.arcs)
+    if not crossing:
+        return cut(graph.ids(inner, "n", "c").toDF("id", "component"))
+    whole = lambda x: F.coalesce("c", x).alias(x)
+    arcs = graph.arcs.select("s", "t", "step").join(inner.toDF("s", "c"), "s", "left").select(whole("s"), "t", "step")
+    arcs = arcs.join(inner.toDF("t", "c"), "t", "left").select("s", whole("t"), "step").where("s <> t").distinct()
+    core, found = _trim(graph, cut(arcs)), Pile()
     while core.take(1):
         still = core.withColumn("w", F.lit(0.0))
         starts = core.select(F.col("s").alias("n")).union(core.select("t")).distinct().where("n >= 0")
@@ -96,9 +103,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.add(own.join(own.groupBy("c").count().where("count > 1"), "c").select("n", "c"))
         gone = reached.select("n")
         core = _trim(graph, cut(core.join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti")))
-    if not found.frames:
-        return vertices_of(edges).where(F.lit(False)).select("id", F.col("id").alias("component"))
-    return cut(graph.ids(found.all(), "n", "c").toDF("id", "component"))
+    if found.frames:
+        outer = cut(found.all()).toDF("n", "outer")
+        joined = inner.join(outer.toDF("c", "outer"), "c", "left").select("n", F.coalesce("outer", "c").alias("c"))
+        inner = joined.union(outer.join(inner, "n", "left_anti"))
+    return cut(graph.ids(inner, "n", "c").toDF("id", "component"))
 
 
 def remove_cycles(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,15 +130,15 @@ def giant(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inside, keep(edges, inside)
 
 
-def topological_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def topological_levels(vertices: DataFrame, edges: DataFrame, block: int | None = None) -> DataFrame:
     """(id, level): the longest path that ends in a vertex; (level, id) is a topological order.
 
     Raises CycleError if there is a cycle.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    graph = numbered(vertices_of(edges).union(vertices.select("id")), edges)
-    levels, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), graph.starts(graph.arcs), [])
-    if left.take(1):
+    graph = numbered(edges, vertices, block)
+    levels, _, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), graph.starts(), [])
+    if left:
         raise CycleError("graph has a cycle")
     return cut(graph.ids(levels, "n").select(F.col("n").alias("id"), "level"))
 
@@ -140,24 +149,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, graph: Numbered | None = None)
 
     A vertex passes its sums on when all that flows into it is in, so every edge is walked
     once, whatever the number of paths; sums are exact below 2^53. Raises CycleError if the
-    graph has a cycle anywhere. graph: the distinct edges, numbered already with cited
-    vertices as s and citing ones as t.
+    graph has a cycle anywhere. graph: the distinct edges and written seeds, numbered
+    with cited vertices as s and citing ones as t.
     """
     values = [c for c in seeds.columns if c != "id"]
-    seeds = cut(seeds)
     if graph is None:
+        seeds = cut(seeds)
         edges = cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
-        graph = numbered(vertices_of(edges).union(seeds.select("id")), edges)
+        graph = numbered(edges, seeds)
     first = graph.numbers(seeds.withColumn("_ways", F.lit(1.0)), "id").withColumnRenamed("id", "n")
     columns = [*values, "_ways"]
-    starts = graph.starts(graph.arcs).join(first, "n", "left").select("n", "o0", "o1", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    sums, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), starts, columns)
-    if left.take(1):
+    starts = graph.starts().join(first, "n", "left").select("n", "o0", "o1", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    sums, _, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), starts, columns)
+    if left:
         raise CycleError("graph has a cycle")
     return cut(graph.ids(sums.where("_ways > 0"), "n").select(F.col("n").alias("id"), *values))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """(source, id, dist, parent): the shortest distance from every source to what it reaches.
 
     Edges have a weight above 0, or all weigh 1. Of equally short ways the one over the
@@ -166,7 +175,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     arcs = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
     sources = cut(sources.select("id").distinct())
-    graph = numbered(vertices_of(arcs).union(sources), arcs)
+    graph = numbered(arcs, sources, block)
     starts = graph.numbers(sources, "id").select(F.col("id").alias("source"), F.col("id").alias("n"), F.lit(0.0).alias("d"))
     best = cut(graph.ids(relax(graph, graph.arcs, starts), "source", "n").select("source", F.col("n").alias("id"), F.col("d").alias("dist")))
     ways = best.join(arcs.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("id").alias("parent"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.operators.blocks import numbered
-from canopy.operators.graph import degrees, propagate, vertices_of
+from canopy.operators.graph import propagate
 from canopy.session import cut
 
 
@@ -37,7 +37,7 @@ def _top(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), "id").limit(max(n, 0))
 
 
-def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50) -> Sap:
+def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50, block: int | None = None) -> Sap:
     """Scores of a directed acyclic graph in which src cites dst.
 
     Roots are cited and cite nothing, the most cited first. Path counts and root scores
@@ -48,8 +48,9 @@ def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int
     Raises CycleError if the graph has a cycle.
     """
     edges, vertices = cut(edges.select("src", "dst").distinct()), cut(vertices.select("id").distinct())
-    graph = numbered(vertices_of(edges).union(vertices), edges)
-    deg = cut(degrees(edges, vertices))
+    graph = numbered(edges, vertices, block)
+    graph.arcs = cut(graph.arcs)
+    deg = graph.names.select("id", F.col("o0").alias("in_degree"), F.col("o1").alias("out_degree"))
     top_roots = cut(_top(deg.where("out_degree = 0 and in_degree > 0").select("id", F.col("in_degree").cast("double").alias("rootness")), "rootness", roots))
     forward = propagate(edges, top_roots.select("id", F.lit(1.0).alias("connections"), F.col("rootness").alias("sap")), graph.turned())
     open_ = deg.where("in_degree = 0").join(forward.where("connections > 0"), "id").select("id", F.col("connections").alias("leafness"))

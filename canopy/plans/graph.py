@@ -142,11 +142,31 @@ def sap_supply_categories(spark, folder):
     return run_sap(*supply(spark, folder)).nodes()
 
 
+#: Parameter: arcs of a block in queries that run over many blocks also where a graph is small.
+SMALL_BLOCK = 2000
+
+
+def graph_cycle_vertices_blocks(spark, folder):
+    return G.strong_components(cites(spark, folder)[1], SMALL_BLOCK).select("id")
+
+
+def graph_topo_levels_blocks(spark, folder):
+    return G.topological_levels(*acyclic(spark, folder), SMALL_BLOCK)
+
+
+def sap_categories_blocks(spark, folder):
+    return run_sap(*acyclic(spark, folder), block=SMALL_BLOCK).nodes()
+
+
+def sssp_distances_blocks(spark, folder):
+    _, e, top = _sources(spark, folder)
+    return G.shortest_paths(e, top, block=SMALL_BLOCK).select("source", "id", "dist")
+
+
 def _sources(spark, folder):
-    """The five most cited works of the DAG's uncited ones' references: a fixed, small set."""
+    """The DAG and, as sources of ways, its vertices whose work number is divisible by 100."""
     v, e = acyclic(spark, folder)
-    top = G.degrees(e, v).where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(5).select("id")
-    return v, e, cut(top)
+    return v, e, cut(v.where("cast(substring(id, 2) as bigint) % 100 = 0"))
 
 
 def sssp_distances(spark, folder):
@@ -204,11 +224,11 @@ _SUPPLY = """
 with recursive g as (select distinct 'o:' || l_orderkey src, 'p:' || l_partkey dst from lineitem union select distinct 'p:' || l_partkey, 's:' || l_suppkey from lineitem),
 gv as (select src id from g union select dst from g)
 """
-_TOP5 = ", top as (select src id from (select src, count(*) n from g group by 1) order by n desc, id limit 5)"
+_SOURCES = ", top as (select id from gv where cast(substring(id, 2) as bigint) % 100 = 0)"
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_vertices, graph_edges, graph_degrees, graph_invert, graph_undirected, graph_keep, graph_purge, graph_remove_dangling, graph_cycle_vertices, graph_remove_cycles, graph_wcc, graph_giant, graph_topo_levels, graph_weight_invert, clean_pipeline, clean_edges, sap_roots, sap_root_connections, sap_leaves, sap_leaf_connections, sap_raw, sap_elaborate, sap_trunk, sap_categories, sap_supply_categories, sssp_distances, steiner_subgraph, mst_forest)
+    for f in (graph_vertices, graph_edges, graph_degrees, graph_invert, graph_undirected, graph_keep, graph_purge, graph_remove_dangling, graph_cycle_vertices, graph_remove_cycles, graph_wcc, graph_giant, graph_topo_levels, graph_weight_invert, clean_pipeline, clean_edges, sap_roots, sap_root_connections, sap_leaves, sap_leaf_connections, sap_raw, sap_elaborate, sap_trunk, sap_categories, sap_supply_categories, graph_cycle_vertices_blocks, graph_topo_levels_blocks, sap_categories_blocks, sssp_distances, sssp_distances_blocks, steiner_subgraph, mst_forest)
 }
 _MANY = ", many as (select dst id from e group by 1 having count(*) >= 5)"
 ORACLE = {
@@ -237,5 +257,6 @@ ORACLE = {
     "sap_trunk": _DAG + _SAP + "select id, trunkness from trunk",
     "sap_categories": _DAG + _SAP + _NODES,
     "sap_supply_categories": _SUPPLY + _SAP + _NODES,
-    "sssp_distances": _DAG + _TOP5 + ", far(source, id, dist) as (select id, id, 0::double from top union select source, g.dst, dist + 1 from far join g on g.src = far.id) select source, id, min(dist) as dist from far group by 1, 2",
+    "sssp_distances": _DAG + _SOURCES + ", far(source, id, dist) as (select id, id, 0::double from top union select source, g.dst, dist + 1 from far join g on g.src = far.id) select source, id, min(dist) as dist from far group by 1, 2",
 }
+ORACLE |= {f"{q}_blocks": ORACLE[q] for q in ("graph_cycle_vertices", "graph_topo_levels", "sap_categories", "sssp_distances")}

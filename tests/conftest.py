@@ -20,6 +20,6 @@ def spark():
 def both_ways(request, monkeypatch):
     """Graphs in one block, and in so many small ones that most vertices are split."""
     if request.param == "many blocks":
-        monkeypatch.setattr("canopy.operators.blocks.BLOCK", 3)
-        monkeypatch.setattr("canopy.operators.blocks.HOT", 2)
+        monkeypatch.setattr("canopy.operators.blocks.BLOCK", 5)
+        monkeypatch.setattr("canopy.operators.blocks.HOT", 3)
         monkeypatch.setattr("canopy.operators.components.BLOCK", 3)

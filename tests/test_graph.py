@@ -44,7 +44,7 @@ def test_self_loop_removed(spark, both_ways):
     assert ids(v, "id") == ["A"] and e.count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(2))
 def test_cycles_against_closure(spark, both_ways, seed):
     pairs = random_pairs(seed)
     on_cycle = {a for a, b in closure(set(pairs)) if a == b}
@@ -103,7 +103,7 @@ def test_giant_of_equal_components_and_of_nothing(spark, both_ways):
     assert G.giant(G.vertices_of(nothing), nothing)[0].count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_components_of_random_graphs_and_long_chains(spark, both_ways, seed):
     rng = random.Random(seed)
     pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)]
@@ -137,7 +137,7 @@ def test_propagate_counts_paths_and_finds_cycles(spark, both_ways):
         G.propagate(edges(spark, [("A", "B"), ("B", "A")]), seeds.selectExpr("'A' as id", "c"))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_shortest_paths(spark, both_ways, seed):
     rng = random.Random(seed)
     arcs = {(f"v{a}", f"v{b}"): float(rng.randrange(1, 5)) for a in range(8) for b in range(a + 1, 8) if rng.random() < 0.5}
@@ -157,7 +157,7 @@ def test_minimum_forest(spark):
     assert ids(got, "src", "dst") == [("A", "B"), ("B", "C"), ("X", "Y")]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_minimum_forest_against_kruskal(spark, seed):
     rng = random.Random(seed)
     arcs = sorted({(f"v{rng.randrange(9)}", f"v{rng.randrange(9)}", float(rng.randrange(3))) for _ in range(18)})
