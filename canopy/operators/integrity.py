@@ -25,7 +25,20 @@ def _absent(column: str) -> Column:
     return F.col(column).isNull() | (F.trim(F.col(column).cast("string")) == "")
 
 
-def flag_orphans(
+def _masked(refs: DataFrame, keys: list[tuple[str, str]], match: str) -> DataFrame:
+    """The rows that hold a reference, with __mask: bit i is set where key column i is absent."""
+    if match not in MATCHES:
+        raise ValueError(f"match must be one of {MATCHES}")
+    mask = reduce(lambda a, b: a + b, [F.when(_absent(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, (r, _) in enumerate(keys)])
+    return refs.withColumn("__mask", mask).where("__mask = 0" if match == "simple" else F.col("__mask") < (1 << len(keys)) - 1)
+
+
+def held_references(refs: DataFrame, keys: list[tuple[str, str]], match: str = "simple") -> DataFrame:
+    """The rows of `refs` that hold a reference under the match semantics."""
+    return _masked(refs, keys, match).drop("__mask")
+
+
+def orphan_references(
     refs: DataFrame,
     targets: DataFrame,
     keys: list[tuple[str, str]],
@@ -34,61 +47,47 @@ def flag_orphans(
     ref_time: str | None = None,
     target_time: str | None = None,
 ) -> DataFrame:
-    """`refs` without the rows that hold no reference, plus boolean column ``is_orphan``
-    (which replaces one of that name; names with two leading underscores are reserved).
+    """The rows of `refs` whose reference has no valid target, in their own columns (names with
+    two leading underscores are reserved).
 
     keys: pairs (column of refs, column of targets). Null and blank strings are absent.
     ref_time, target_time: a target counts only from its target_time on; a reference or
     target whose time is null then counts as having no time, so it matches nothing.
-    Targets that repeat a key are reduced to their earliest time before the join, so a
-    reference never multiplies, and repeated reference rows stay repeated. An empty
-    targets table makes every reference an orphan; an empty refs table gives no rows.
-    Hot keys sit on the reference side only, where adaptive skew joins may split them.
+    The rows of each null mask are anti-joined on the columns that are there. Targets that
+    repeat a key are reduced to their earliest time before the join, and repeated reference
+    rows stay repeated. An empty targets table makes every reference an orphan; an empty
+    refs table gives no rows. Hot keys sit on the reference side only, where adaptive skew
+    joins may split them.
     """
-    if match not in MATCHES:
-        raise ValueError(f"match must be one of {MATCHES}")
     if (ref_time is None) != (target_time is None):
         raise ValueError("ref_time and target_time go together")
-    refs = refs.withColumn("__mask", reduce(lambda a, b: a + b, [F.when(_absent(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, (r, _) in enumerate(keys)]))
-    everything = (1 << len(keys)) - 1
+    refs = _masked(refs, keys, match)
     parts = []
     for absent in product((False, True), repeat=len(keys)):
         mask = sum(1 << i for i, gone in enumerate(absent) if gone)
-        own = refs.where(F.col("__mask") == mask)
-        if mask == everything or (mask and match == "simple"):
+        if mask and (match == "simple" or all(absent)):
             continue
+        own = refs.where(F.col("__mask") == mask)
         if mask and match == "full":
-            parts.append(own.withColumn("is_orphan", F.lit(True)))
+            parts.append(own)
             continue
         used = [k for k, gone in zip(keys, absent) if not gone]
         on = [f"__t{i}" for i in range(len(used))]
-        earliest = F.min(target_time) if target_time else F.lit(1)
-        known = (
-            targets.where(reduce(lambda a, b: a & b, [~_absent(t) for _, t in used]))
-            .groupBy(*[F.col(t).alias(a) for a, (_, t) in zip(on, used)])
-            .agg(earliest.alias("__from"))
-        )
+        known = targets.where(reduce(lambda a, b: a & b, [~_absent(t) for _, t in used])).groupBy(*[F.col(t).alias(a) for a, (_, t) in zip(on, used)])
+        known = known.agg((F.min(target_time) if target_time else F.lit(1)).alias("__from"))
         same = reduce(lambda a, b: a & b, [F.col(r) == F.col(a) for a, (r, _) in zip(on, used)])
-        found = F.col("__from") <= F.col(ref_time) if ref_time else F.col("__from").isNotNull()
-        parts.append(own.join(known, same, "left").withColumn("is_orphan", ~F.coalesce(found, F.lit(False))).drop(*on, "__from"))
-    if not parts:
-        return refs.where(F.lit(False)).withColumn("is_orphan", F.lit(False)).drop("__mask")
+        parts.append(own.join(known, same & (F.col("__from") <= F.col(ref_time)) if ref_time else same, "left_anti"))
     return reduce(DataFrame.unionByName, parts).drop("__mask")
 
 
-def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], **options) -> DataFrame:
-    """The rows of `refs` whose reference has no valid target; see flag_orphans."""
-    return flag_orphans(refs, targets, keys, **options).where("is_orphan").drop("is_orphan")
-
-
-def report_by_period(flagged: DataFrame, table: str, time: str) -> DataFrame:
+def report_by_period(refs: DataFrame, orphans: DataFrame, table: str, time: str) -> DataFrame:
     """References and orphans per table and month: (ref_table, month, refs, orphans).
 
-    Rows with a null time are counted under a null month.
+    refs: all rows that hold a reference; orphans: those of them without a target. Rows
+    with a null time are counted under a null month. Both are counted before they meet.
     """
-    return flagged.groupBy(F.col(table).alias("ref_table"), F.date_format(time, "yyyy-MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("refs"), F.sum(F.col("is_orphan").cast("long")).alias("orphans")
-    )
+    both = refs.select(table, time, F.lit(1).alias("r"), F.lit(0).alias("o")).union(orphans.select(table, time, F.lit(0), F.lit(1)))
+    return both.groupBy(F.col(table).alias("ref_table"), F.date_format(time, "yyyy-MM").alias("month")).agg(F.sum("r").alias("refs"), F.sum("o").alias("orphans"))
 
 
 #: Fixed value: a work's key ends in its W number, whatever stands before it.
@@ -107,32 +106,52 @@ def work_references(raw_works: DataFrame) -> DataFrame:
     """Each distinct referenced work of each record, in the columns of link_references.
 
     A key without a W number can't match a work: its match_key is the key itself, behind a
-    blank-free prefix that no work number has.
+    prefix that no work number has. A null or blank key gives none.
     """
     number = F.regexp_extract("ref_key", WORK_NUMBER, 1)
     return (
         raw_works.select("rec_id", "fetched_at", F.explode(F.array_distinct("referenced_works")).alias("ref_key"))
-        .where("trim(ref_key) <> ''")
         .select(
             F.lit("raw_works").alias("ref_table"),
             F.col("rec_id").alias("row_id"),
             F.lit("referenced_works").alias("field"),
             "ref_key",
-            F.when(number != "", number).otherwise(F.concat(F.lit("key:"), "ref_key")).alias("match_key"),
+            F.when(number != "", number).when(F.trim("ref_key") != "", F.concat(F.lit("key:"), "ref_key")).alias("match_key"),
             F.col("fetched_at").alias("ref_time"),
         )
     )
 
 
 def present_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.where("removed_at is null").select(F.col("id").alias("target_key"), F.col("loaded_at").alias("valid_from"))
+    return nodes.where("removed_at is null").select(F.lit("links").alias("target_table"), F.col("id").alias("target_key"), F.col("loaded_at").alias("valid_from"))
 
 
 def present_works(works: DataFrame) -> DataFrame:
-    return works.where("removed_at is null").select(F.nullif(F.regexp_extract("label", WORK_NUMBER, 1), F.lit("")).alias("target_key"), F.col("loaded_at").alias("valid_from"))
+    number = F.nullif(F.regexp_extract("label", WORK_NUMBER, 1), F.lit(""))
+    return works.where("removed_at is null").select(F.lit("raw_works").alias("target_table"), number.alias("target_key"), F.col("loaded_at").alias("valid_from"))
+
+
+#: The composite key of all references: which table they point into and what they point at.
+KEY = [("ref_table", "target_table"), ("match_key", "target_key")]
+
 
+def table_references(links: DataFrame, nodes: DataFrame, raw_works: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, orphans among them) of links and raw_works.
 
-def flagged_references(links: DataFrame, nodes: DataFrame, raw_works: DataFrame, works: DataFrame) -> DataFrame:
-    """All references of links and raw_works, each with is_orphan."""
-    how = {"keys": [("match_key", "target_key")], "ref_time": "ref_time", "target_time": "valid_from"}
-    return flag_orphans(link_references(links), present_nodes(nodes), **how).unionByName(flag_orphans(work_references(raw_works), present_works(works), **how))
+    One composite key of table and key, with simple match: a null or blank key is the null
+    mask of rows that hold no reference.
+    """
+    refs, targets = link_references(links).unionByName(work_references(raw_works)), present_nodes(nodes).unionByName(present_works(works))
+    return held_references(refs, KEY), orphan_references(refs, targets, KEY, ref_time="ref_time", target_time="valid_from")
+
+
+def collection_references(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links (link_seq, collection_id, target_id) whose collection doesn't hold the node.
+
+    A composite key of collection and node with partial match: of a link without a target
+    only the collection is looked up, of one without a collection only the target.
+    """
+    refs = links.select("link_seq", "collection_id", "target_id", "loaded_at")
+    live = nodes.where("removed_at is null").select("collection_id", F.col("id").alias("node_id"), F.col("loaded_at").alias("valid_from"))
+    orphans = orphan_references(refs, live, [("collection_id", "collection_id"), ("target_id", "node_id")], match="partial", ref_time="loaded_at", target_time="valid_from")
+    return orphans.select("link_seq", "collection_id", "target_id")

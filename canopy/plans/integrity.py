@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.operators.integrity import flagged_references, report_by_period
+from canopy.operators.integrity import collection_references, report_by_period, table_references
 from canopy.session import table
 
 
-def _flagged(spark: SparkSession, folder: str) -> DataFrame:
-    return flagged_references(*[table(spark, folder, t) for t in ("links", "nodes", "raw_works", "works")])
+def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table_references(*[table(spark, folder, t) for t in ("links", "nodes", "raw_works", "works")])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _flagged(spark, folder).where("is_orphan").select("ref_table", "row_id", "field", "ref_key")
+    return _references(spark, folder)[1].select("ref_table", "row_id", "field", "ref_key")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    return report_by_period(_flagged(spark, folder), "ref_table", "ref_time")
+    return report_by_period(*_references(spark, folder), "ref_table", "ref_time")
+
+
+def p3_collections(spark: SparkSession, folder: str) -> DataFrame:
+    return collection_references(table(spark, folder, "links"), table(spark, folder, "nodes"))
 
 
 _FLAGGED = r"""
@@ -35,8 +39,19 @@ with r as (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+_COLLECTIONS = """
+with l as (select link_seq, collection_id, target_id, nullif(trim(collection_id), '') c, nullif(trim(target_id), '') t, loaded_at from links),
+n as (select collection_id c, id t, loaded_at from nodes where removed_at is null),
+held as (
+  select link_seq from l join n on l.c = n.c and l.target_id = n.t and n.loaded_at <= l.loaded_at
+  union select link_seq from l join (select c, min(loaded_at) f from n group by 1) n on l.c = n.c and l.t is null and f <= l.loaded_at
+  union select link_seq from l join (select t, min(loaded_at) f from n group by 1) n on l.target_id = n.t and l.c is null and f <= l.loaded_at)
+select link_seq, collection_id, target_id from l where (c is not null or t is not null) and link_seq not in (select link_seq from held)
+"""
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_collections": p3_collections}
 ORACLE = {
     "p3_found": _FLAGGED + "select ref_table, row_id, field, ref_key from flagged where is_orphan",
     "p3_report": _FLAGGED + "select ref_table, strftime(t, '%Y-%m') as month, count(*) as refs, cast(sum(is_orphan::int) as bigint) as orphans from flagged group by all",
+    "p3_collections": _COLLECTIONS,
 }

@@ -43,7 +43,8 @@ def test_wrong_options(spark):
 def test_extra_columns_with_clashing_names(spark):
     refs = spark.createDataFrame([(1, "p", True, "v")], "row int, k string, is_orphan boolean, x string")
     known = spark.createDataFrame([("p", 1, "w")], "x string, row int, k string")
-    assert I.flag_orphans(refs, known, [("k", "x")]).first()["is_orphan"] is False
+    assert I.orphan_references(refs, known, [("k", "x")]).count() == 0
+    assert I.orphan_references(refs, known.limit(0), [("k", "x")]).first() == (1, "p", True, "v")
 
 
 def test_references_of_links_and_works(spark):
@@ -51,8 +52,14 @@ def test_references_of_links_and_works(spark):
     nodes = spark.createDataFrame([("n1", T[0], None), ("n2", T[0], T[1]), ("n3", T[1], None), ("n3", T[4], None)], "id string, loaded_at timestamp, removed_at timestamp")
     raw = spark.createDataFrame([(7, ["u/W1", "w1", "W1", None, "", "junk", "x:w2 ", "W1"], T[3]), (8, None, T[3])], "rec_id long, referenced_works array<string>, fetched_at timestamp")
     works = spark.createDataFrame([("https://x/W1", T[0], None), ("w2", T[5], None), (None, T[0], None)], "label string, loaded_at timestamp, removed_at timestamp")
-    flagged = I.flagged_references(links, nodes, raw, works)
-    got = {(r["ref_table"], r["row_id"], r["field"], r["ref_key"]) for r in flagged.where("is_orphan").collect()}
+    refs, lost = I.table_references(links, nodes, raw, works)
+    got = {(r["ref_table"], r["row_id"], r["field"], r["ref_key"]) for r in lost.collect()}
     assert got == {("links", 1, "target_id", "n2"), ("links", 3, "target_id", "n3"), ("links", 4, "source_id", "n1"), ("links", 4, "target_id", "n9"), ("raw_works", 7, "referenced_works", "junk"), ("raw_works", 7, "referenced_works", "x:w2 ")}
-    report = {(r["ref_table"], r["month"]): (r["refs"], r["orphans"]) for r in I.report_by_period(flagged, "ref_table", "ref_time").collect()}
+    report = {(r["ref_table"], r["month"]): (r["refs"], r["orphans"]) for r in I.report_by_period(refs, lost, "ref_table", "ref_time").collect()}
     assert report[("links", "2024-03")] == (3, 1) and report[("raw_works", "2024-04")] == (5, 2) and report[("links", None)] == (2, 2)
+
+
+def test_references_into_a_collection(spark):
+    links = spark.createDataFrame([(1, "c", "n", T[2]), (2, "c", None, T[2]), (3, None, "n", T[2]), (4, None, " ", T[2]), (5, "d", "n", T[2]), (6, "d", None, T[2]), (7, "c", "n", T[0])], "link_seq long, collection_id string, target_id string, loaded_at timestamp")
+    nodes = spark.createDataFrame([("n", "c", T[1], None), ("m", "d", T[1], T[1])], "id string, collection_id string, loaded_at timestamp, removed_at timestamp")
+    assert sorted(r["link_seq"] for r in I.collection_references(links, nodes).collect()) == [5, 6, 7]
