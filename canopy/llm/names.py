@@ -2,10 +2,11 @@
 
 Names are parsed into tokens, and names that differ only in case, accents, particles or
 order become one class. Blocking is MinHash banding over padded q-grams: of the leading
-surname token (within one initial) for authors, of the shortened significant words (within equal
-initials) and of the whole words for venues and publishers. Rows and bands are chosen from the collision curve. What
-one slip takes out of all bands, as in short names, meets by the letters that are left. Candidate
-classes are verified by Monge-Elkan similarity, and the verified graph is clustered by
+surname token for authors, of the shortened significant words (within equal initials) and
+of the whole words for venues and publishers. Rows and bands are chosen from the collision
+curve. What one slip takes out of all bands, as in short names, meets by the letters that
+are left. Authors of near surnames meet by keys of their given names. Candidate classes are
+verified by Monge-Elkan similarity, and the verified graph is clustered by
 stars: a class with the most neighbours becomes a centre and its neighbours join it.
 """
 
@@ -46,7 +47,7 @@ WORD_FORMS = {"up": "university press", "eds": "editions", "pr": "press", "univ"
 #: q-gram similarity of a pair that differs by one slip, and the share to be found there.
 #: "stems" are shortened words that agree in all initials, "words" whole words.
 Q, HASHES, STEM = 3, 180, 4
-TUNED = {"author": (0.43, 0.99), "stems": (0.55, 0.97), "words": (0.78, 0.85)}
+TUNED = {"author": (0.43, 0.99), "stems": (0.55, 0.97), "words": (0.78, 0.95)}
 #: Parameters: the slips allowed in a token and the least Monge-Elkan similarity of a match.
 SLIPS, MATCH = 1, 0.75
 
@@ -270,32 +271,68 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64())], names=["block", "band"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes of one kind whose blocks collide in a band or are one slip apart.
+def given_keys(given: str, inits: str) -> tuple[set[str], set[str]]:
+    """(keys that a class asks for, keys under which it is found) of a given name and initials.
 
-    A block is what blocking sees of a class: for authors the leading surname token and
-    each initial that the given name may have, else the words. Bands are computed and
-    paired between different blocks, and classes meet through their blocks, so many
-    classes of one surname and initial add no band pairs.
+    Two classes share a key if one's initials begin with the other's and at most one has a
+    full given name, or if both have and the names (or the names they are short for) are one
+    slip apart and the initials behind them begin alike. A class without initials only
+    meets others without.
     """
-    formal = F.when(F.col("given") == "", F.array(F.substring("inits", 1, 1)))
-    table = F.create_map(*[F.lit(x) for k, v in FORMAL.items() for x in (k, v)])
-    own = F.array_distinct(F.transform(F.split(F.concat_ws(" ", "given", F.try_element_at(table, F.col("given"))), " "), lambda x: F.substring(x, 1, 1)))
-    initials = F.when(F.col("kind") == "author", F.coalesce(formal, own)).otherwise(F.array(F.lit("")))
-    seen = F.when(F.col("kind") == "author", F.slice("tokens", 1, 1)).otherwise(F.col("tokens"))
-    blocked = classes.select("class", "kind", seen.alias("seen"), F.explode(initials).alias("initial"))
-    blocks = blocked.groupBy("kind", "seen", "initial").agg(F.min("class").alias("id"))
-    # The smallest class names a block unless it stands in several; the hash tells those apart.
-    blocks = blocks.withColumn("block", F.xxhash64("kind", "seen", "initial")).drop("id")
+    starts = lambda x: [x[:k] for k in range(len(x) + 1)]
+    if not given:
+        asked, found = {f"a {inits}"}, {f"{side} {p}" for side in "ai" for p in (starts(inits)[1:] if inits else [""])}
+        return asked, found
+    forms = {re.sub("[-’']", "", f) for f in FORMAL.get(given, given).split()}
+    near = {f[:k] + f[k + 1 :] for f in forms for k in range(len(f))} | forms
+    asked = {f"i {inits}"} | {f"g {x} {inits[1:]}" for x in near}
+    found = {f"a {p}" for p in starts(inits)[1:]} | {f"g {x} {p}" for x in near for p in starts(inits[1:])}
+    return asked, found
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = ([], [], [], [])
+        for i, block, given, inits in zip(*(c.to_pylist() for c in b.columns)):
+            for asks, keys in zip((True, False), given_keys(given, inits)):
+                for key in sorted(keys):
+                    for column, x in zip(out, (i, block, asks, int.from_bytes(_digest(key), "little", signed=True))):
+                        column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["class", "block", "asks", "key"])
+
+
+def near_blocks(blocks: DataFrame) -> DataFrame:
+    """(block, other), block < other: blocks of one kind that collide in a band or are one slip
+    apart; of authors those whose leading surname tokens match."""
     bands = blocks.select("block", "kind", "seen").mapInArrow(_signed, "block long, band long")
-    keyed = bands.join(blocks.select("block", "kind", "initial"), "block").select("block", F.xxhash64("band", "kind", "initial").alias("key"))
+    keyed = bands.join(blocks.select("block", "kind"), "block").select("block", F.xxhash64("band", "kind").alias("key"))
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     keyed = keyed.join(many, "key")
     near = keyed.join(keyed.select("key", F.col("block").alias("other")), "key").where("block < other").select("block", "other").distinct()
-    pairs = near.union(blocks.select("block", F.col("block")))
-    placed = blocked.select("class", F.xxhash64("kind", "seen", "initial").alias("block"))
-    met = pairs.toDF("block", "other").join(placed, "block").join(placed.select(F.col("class").alias("class2"), F.col("block").alias("other")), "other")
-    return met.where("class <> class2").select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
+    side = lambda c, to: blocks.select(F.col("block").alias(c), "kind", F.col("seen").alias(to)) if c == "block" else blocks.select(F.col("block").alias(c), F.col("seen").alias(to))
+    both = near.join(side("block", "x"), "block").join(side("other", "y"), "other")
+    return both.where((F.col("kind") != "author") | (_token_similarity(F.col("x")[0], F.col("y")[0]) > 0)).select("block", "other")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of one kind that may match.
+
+    A block is what blocking sees of a class: for authors the leading surname token, else
+    the words. Bands are computed and paired between different blocks, and only blocks that
+    are near go on. Classes of near blocks (and of one) meet by the keys of their given
+    names, never all with all: a surname that a third of all names bears gives the pairs
+    whose given names agree.
+    """
+    seen = F.when(F.col("kind") == "author", F.slice("tokens", 1, 1)).otherwise(F.col("tokens"))
+    blocked = classes.select("class", "kind", seen.alias("seen"), "given", "inits").withColumn("block", F.xxhash64("kind", "seen"))
+    blocks = cut(blocked.select("block", "kind", "seen").distinct())
+    near = cut(near_blocks(blocks))
+    keys = cut(blocked.select("class", "block", "given", "inits").mapInArrow(_met, "class long, block long, asks boolean, key long"))
+    asked, found = keys.where("asks").select("class", "block", "key"), keys.where("not asks").select(F.col("class").alias("class2"), F.col("block").alias("other"), "key")
+    both = near.union(near.select("other", "block"))
+    own = asked.join(found.withColumnRenamed("other", "block"), ["block", "key"]).select("class", "class2")
+    across = both.join(asked, "block").join(found, ["other", "key"]).select("class", "class2")
+    return own.union(across).where("class <> class2").select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
 
 
 def _token_similarity(x: Column, y: Column) -> Column:
@@ -347,8 +384,8 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     alike = F.arrays_overlap(forms(ga), forms(gb)) | (F.array_max(F.transform(forms(ga), lambda x: F.array_max(F.transform(forms(gb), lambda y: _token_similarity(bare(x), bare(y)))))) > 0)
     given = F.when(full, alike).otherwise(F.lit(True))
     # Behind a full given name on both sides the initials that follow it decide, so that a slip in the name doesn't.
-    rest = lambda g, i: F.substring(i, 2, 99)
-    ra, rb = F.when(full, rest(ga, ia)).otherwise(ia), F.when(full, rest(gb, ib)).otherwise(ib)
+    rest = lambda i: F.substr(i, F.lit(2))
+    ra, rb = F.when(full, rest(ia)).otherwise(ia), F.when(full, rest(ib)).otherwise(ib)
     initials = F.startswith(ra, rb) | F.startswith(rb, ra)
     author = lead & (least > 0) & (mean >= MATCH) & given & initials
     wmean, wleast = monge_elkan(ta, tb, _shortened)

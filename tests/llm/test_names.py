@@ -120,3 +120,42 @@ def test_any_slip_in_one_token_leaves_a_common_key():
         t, k = tokens[i], rng.randrange(len(tokens[i]))
         slipped = rng.choice([t[:k] + t[k + 1 :], t[:k] + letter + t[k:], t[:k] + letter + t[k + 1 :], t[:k] + t[k + 1 : k + 2] + t[k] + t[k + 2 :]])
         assert set(N.slip_keys(tokens)) & set(N.slip_keys(sorted([*tokens[:i], slipped, *tokens[i + 1 :]])))
+
+
+def _slip(rng, word):
+    k = rng.randrange(len(word))
+    kind = rng.randrange(4)
+    letter = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    if kind == 0:
+        return word[:k] + word[k + 1 :] if len(word) > 1 else word + letter
+    if kind == 1:
+        return word[:k] + letter + word[k:]
+    if kind == 2:
+        return word[:k] + letter + word[k + 1 :]
+    k = min(k, len(word) - 2)
+    return word[:k] + word[k + 1] + word[k] + word[k + 2 :]
+
+
+@pytest.mark.parametrize("kind", ["author", "venue", "publisher"])
+def test_labelled_pairs_one_slip_apart_become_candidates(spark, kind):
+    rng = random.Random(kind)
+    word = lambda: "".join(rng.choice(["ba", "ke", "li", "mo", "nu", "ras", "tev", "ol"]) for _ in range(rng.randrange(1, 4))).capitalize()
+    rows, pairs = [], []
+    for i in range(150):
+        words = [word() for _ in range(2 if kind == "author" else rng.randrange(1, 4))]
+        at = rng.randrange(len(words))
+        other = [_slip(rng, w.lower()).capitalize() if j == at else w for j, w in enumerate(words)]
+        write = (lambda w: ", ".join(reversed(w))) if kind == "author" else " ".join
+        rows += [(2 * i, kind, write(words)), (2 * i + 1, kind, write(other))]
+        pairs.append((2 * i, 2 * i + 1))
+    members, classes = N.name_classes(N.read_names(spark.createDataFrame(rows, "name_id long, kind string, name string")))
+    of = {r["name_id"]: r["class"] for r in members.collect()}
+    met = {(r["a"], r["b"]) for r in N.candidates(classes).collect()}
+    missed = [p for p in pairs if of[p[0]] != of[p[1]] and tuple(sorted((of[p[0]], of[p[1]]))) not in met]
+    assert len(missed) <= 3
+
+
+def test_authors_of_one_surname_meet_by_given_names_only(spark):
+    rows = [(i, "author", f"Li, {a}{b}ng{c}") for i, (a, b, c) in enumerate((a, b, c) for a in "BDFGHJKL" for b in "aeiou" for c in ("", " T.", " S.", " W."))]
+    _, classes = N.name_classes(N.read_names(spark.createDataFrame(rows, "name_id long, kind string, name string")))
+    assert classes.count() == 160 and N.candidates(classes).count() < 160 * 159 / 2 / 5
