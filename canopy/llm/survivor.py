@@ -9,6 +9,8 @@ latest value survives.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ STAND_INS = [
     "abstract not available", "no abstract", "no abstract available", "this item has no abstract", "abstract: none", "abstract missing", "abstract unavailable", "abstract pending", "not available",
 ]
 
+#: Words that say that something is missing, and words for the field itself.
+ABSENT = r"\b(?:no|not|none|without|missing|unavailable|pending|lacks?|lacking|absent|unknown)\b"
+SPOKEN_OF = {"title": r"\b(?:title|titled|untitled)\b", "abstract": r"\b(?:abstract|summary)\b"}
+#: Parameters: a text of at most BRIEF characters that speaks of its own field as missing is
+#: learned to be a stand-in if it stands in at least SPREAD groups that aren't linked.
+BRIEF, SPREAD = 160, 3
+
 #: Parameters: a transition a -> b is learned if it was seen at least SEEN times and at
 #: least MARGIN times as often as b -> a.
 SEEN, MARGIN = 3, 2.0
@@ -82,12 +91,47 @@ def current_values(rows: DataFrame, group: str, time: str, fields: list[str], le
     return ranked.groupBy(group, "field").agg(best.alias("b")).select(group, "field", F.col("b.value").alias("value"), (-F.col("b.first")).alias("work_id"))
 
 
+def closed(learned: DataFrame) -> DataFrame:
+    """The learned transitions with all that follow from chains of them.
+
+    Chains are doubled until no pair is new; values that lead to each other both ways are
+    left undecided.
+    """
+    known = cut(learned)
+    size = known.count()
+    while size:
+        step = known.select("field", F.col("older").alias("newer"), F.col("newer").alias("next"))
+        known = cut(known.union(known.join(step, ["field", "newer"]).where("older <> next").select("field", "older", F.col("next").alias("newer"))).distinct())
+        size, before = known.count(), size
+        if size == before:
+            break
+    return known.join(known.toDF("field", "newer", "older"), ["field", "older", "newer"], "left_anti")
+
+
+def learned_stand_ins(forms: DataFrame) -> DataFrame:
+    """(field, plain): brief texts that speak of their own field as missing and stand in many groups.
+
+    forms: group_id, field, plain (the form in lower case). Only such texts are counted.
+    """
+    says = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("plain").rlike(words) for f, words in SPOKEN_OF.items()])
+    brief = forms.where((F.char_length("plain") <= BRIEF) & F.col("plain").rlike(ABSENT) & says)
+    return brief.select("field", "plain", "group_id").distinct().groupBy("field", "plain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SPREAD).select("field", "plain")
+
+
 def text_lengths(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(work_id, field, size) of each usable text: its characters in problem 2's form."""
+    """(work_id, field, size) of each usable text: its characters in problem 2's form.
+
+    rows: work_id, group_id and the fields. Stand-ins are those of STAND_INS and those that
+    the texts of all groups teach.
+    """
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    texts = rows.select("work_id", F.inline(cells)).where(F.trim("text") != "")
-    forms = visual_forms(texts, ["work_id", "field"], "text").where((F.col("form") != "") & ~is_stand_in(F.col("form")))
-    return forms.select("work_id", "field", F.char_length("form").alias("size"))
+    texts = rows.select("work_id", "group_id", F.inline(cells)).where(F.trim("text") != "")
+    forms = visual_forms(texts, ["work_id", "field", "group_id"], "text").where((F.col("form") != "") & ~is_stand_in(F.col("form")))
+    # What is longer than a stand-in can be has no text to compare.
+    plain = F.when(F.char_length("form") <= BRIEF, F.lower("form"))
+    sized = cut(forms.select("work_id", "field", "group_id", F.char_length("form").alias("size"), plain.alias("plain")))
+    told = sized.where("plain is not null").join(learned_stand_ins(sized), ["field", "plain"], "left_anti")
+    return told.unionByName(sized.where("plain is null")).select("work_id", "field", "size")
 
 
 def suppliers(works: DataFrame, groups: DataFrame) -> DataFrame:
@@ -115,7 +159,7 @@ def merged_records(works: DataFrame, groups: DataFrame) -> DataFrame:
     whole = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_or(F.coalesce("rich", F.lit(False))).alias("rich"))
     texts = works.select("work_id", "title", "abstract", F.col("times_cited").cast("string").alias("times_cited"))
     given = chosen.join(texts, "work_id").select("group_id", "field", F.when(F.col("field") == "title", F.col("title")).when(F.col("field") == "abstract", F.col("abstract")).otherwise(F.col("times_cited")).alias("value"))
-    learned = transitions(rows, "group_id", "updated_at", CURRENT_FIELDS)
+    learned = closed(transitions(rows, "group_id", "updated_at", CURRENT_FIELDS))
     current = current_values(rows, "group_id", "updated_at", CURRENT_FIELDS, learned).select("group_id", "field", "value")
     names = ["title", "abstract", "times_cited", *CURRENT_FIELDS]
     wide = given.unionByName(current).groupBy("group_id").agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names])

@@ -1,11 +1,13 @@
 """Text cut off by field limits (problem 9).
 
-Two kinds of evidence are put together. For every source, the histograms of lengths in
-characters and in bytes show spikes where a field limit cuts texts. And the end of every
-text says whether it stops at the end of a sentence, in a structure that is still open, in
-a list, at a closing line, or in the middle. Ends that are open by themselves are cut at
-any length, and so are those with a mark in brackets for the rest; ends that may be natural (the last term of a list, an ellipsis, an address) are cut if
-they stand at a spike or, for a term, if no other text of the corpus knows it whole.
+Two kinds of evidence are put together for every text. The histograms of its source's
+lengths in characters and in bytes show spikes where a field limit cuts texts, and every
+text is held against them. And its end says whether it stops at the end of a sentence, in a
+structure that is still open, in a list, at a closing line, or in the middle. A text at a
+spike is cut unless it ends in terminal punctuation or a whole closing line. Most texts
+stand at no spike, since sources also cut at words, in transfer or at limits that few texts
+reach; of these, ends that are open by themselves are cut, those with a mark in brackets
+for the rest, and lists of which no other text knows the last term whole.
 """
 
 from __future__ import annotations
@@ -40,8 +42,6 @@ CLOSING_LINES = [
 ]
 #: White space and invisible characters that may stand after a text.
 AFTER_TEXT = " \t\n\v\f\r\x85\xa0\xad\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)]))
-#: Parameter: characters at the end of a text in which its last mark, remark or closing line stands.
-END = 200
 #: A remark in parentheses or an address after a full sentence.
 AFTER_SENTENCE = rf"{STOPS}{CLOSERS}\s+(?:\([^()]{{2,60}}\)|https?://\S+[\p{{L}}\p{{N}}/])$"
 #: An address after a full sentence, which may be cut inside.
@@ -66,7 +66,7 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
     """
     # Two projections, so that the body of a text is found once and not for every test.
     texts = texts.withColumn("_body", _body(F.col(text))).withColumn("_last", F.substring_index("_body", "\n", -1))
-    body, last, end = F.col("_body"), F.col("_last"), F.right(F.col("_last"), F.lit(END))
+    body, last = F.col("_body"), F.col("_last")
     tail = F.regexp_extract(last, LIST_HEAD + r"([^:：]*)$", 1)
     item = F.regexp_extract(last, r"^[-*•] ([^.?!。:;]*)$", 1)
     term = F.trim(F.when(item != "", item).otherwise(F.element_at(F.split(tail, "[;；]"), -1)))
@@ -85,13 +85,13 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
         .when(reference & whole, "closing")
         .when(reference & (F.size(dois) > 0), "structure")
         .when(bib & body.endswith("}"), "closing")
-        .when(end.rlike(EXPLICIT), "explicit")
-        .when(end.rlike(REPLACED), "mark")
-        .when(end.rlike(ABBREVIATION), "open")
-        .when(end.rlike(SENTENCE), "sentence")
-        .when(end.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
-        .when(end.rlike(ADDRESS), "address")
-        .when(end.rlike(AFTER_SENTENCE), "closing")
+        .when(last.rlike(EXPLICIT), "explicit")
+        .when(last.rlike(REPLACED), "mark")
+        .when(last.rlike(ABBREVIATION), "open")
+        .when(last.rlike(SENTENCE), "sentence")
+        .when(last.rlike("(?:" + "|".join(CLOSING_LINES) + ")"), "closing")
+        .when(last.rlike(ADDRESS), "address")
+        .when(last.rlike(AFTER_SENTENCE), "closing")
         .otherwise("open")
     )
     # Only ends that nothing else explains are read as lists.
@@ -99,16 +99,15 @@ def with_endings(texts: DataFrame, text: str) -> DataFrame:
     return found.withColumn("kind", F.when(F.col("term") != "", "list").otherwise(F.col("_kind"))).drop("_body", "_last", "_kind")
 
 
-def whole_terms(documents: DataFrame, text: str) -> DataFrame:
-    """(term): list terms that stand before another one in some text, in lower case."""
-    body = F.col("_body")
+def inner_terms(text: Column) -> Column:
+    """The list terms of a body that stand before another one, in lower case."""
     nothing = F.array().cast("array<string>")
-    tails = F.regexp_extract_all(body, F.lit(r"(?m)" + LIST_HEAD + r"([^:：\n]*)$"), F.lit(1))
+    but_last = lambda t: F.slice(F.split(t, "[;；]"), 1, F.greatest(F.size(F.split(t, "[;；]")) - 1, F.lit(0)))
+    tails = F.regexp_extract_all(text, F.lit(r"(?m)" + LIST_HEAD + r"([^:：\n]*)$"), F.lit(1))
     # Most texts have no list at all, which a plain search for its separator tells.
-    inline = F.when(body.contains(";") | body.contains("；"), F.flatten(F.transform(tails, lambda t: F.slice(F.split(t, "[;；]"), 1, F.greatest(F.size(F.split(t, "[;；]")) - 1, F.lit(0)))))).otherwise(nothing)
-    items = F.when(body.contains("\n"), F.regexp_extract_all(body, F.lit(r"(?m)^[-*•] ([^\n]*)(?=\n)"), F.lit(1))).otherwise(nothing)
-    body_ = documents.select(_body(F.col(text)).alias("_body"))
-    return body_.select(F.explode(F.array_distinct(F.concat(inline, items))).alias("term")).select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
+    inline = F.when(text.contains(";") | text.contains("；"), F.flatten(F.transform(tails, but_last))).otherwise(nothing)
+    items = F.when(text.contains("\n"), F.regexp_extract_all(text, F.lit(r"(?m)^[-*•] ([^\n]*)(?=\n)"), F.lit(1))).otherwise(nothing)
+    return F.array_distinct(F.transform(F.concat(inline, items), lambda x: F.lower(F.trim(x))))
 
 
 def length_spikes(sized: DataFrame) -> DataFrame:
@@ -128,7 +127,8 @@ def length_spikes(sized: DataFrame) -> DataFrame:
 
 
 def flag_truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, at_limit, truncated) of each text that isn't null or blank.
+    """(doc_id, source, kind, limit_chars, limit_bytes, at_limit, truncated) of each text that
+    isn't null or blank; the limits are the spikes of its source at which the text stands.
 
     Sources are compared without case and outer blanks; a text of no source is held
     against the limits of all sources. Texts stay in the scan: only their length, hash and
@@ -136,22 +136,22 @@ def flag_truncated(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select("doc_id", "source", "text").where(_body(F.coalesce("text", F.lit(""))) != "")
     sized = with_endings(texts, "text").select(
-        "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), "kind", "term"
+        "doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"), "kind", "term", inner_terms(_body(F.col("text"))).alias("inner"),
     )
     sized = cut(sized)  # what the texts tell is found once
-    spikes = length_spikes(sized)
+    spikes = cut(length_spikes(sized))
     spikes = spikes.union(spikes.select(F.lit("").alias("source"), "unit", "size")).distinct()
     around = F.when(F.col("unit") == "bytes", F.sequence(F.col("size") - BELOW, F.col("size") + ABOVE)).otherwise(F.array("size"))
-    limits = spikes.select("source", "unit", F.explode(around).alias("size")).distinct()
-    of = lambda unit, flag: limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(flag))
-    doubtful = sized.where("kind in ('list', 'mark', 'address')").join(of("chars", "_c"), ["source", "chars"], "left").join(of("bytes", "_b"), ["source", "bytes"], "left")
-    doubtful = doubtful.withColumn("at_limit", F.coalesce("_c", "_b", F.lit(False)))
-    known = whole_terms(documents, "text").withColumn("_known", F.lit(True))
-    lists = doubtful.where("kind = 'list'").join(known, "term", "left").withColumn("truncated", F.col("at_limit") | F.col("_known").isNull())
-    marks = doubtful.where("kind in ('mark', 'address')").withColumn("truncated", F.col("at_limit"))
-    plain = sized.where("kind not in ('list', 'mark', 'address')").withColumn("at_limit", F.lit(None).cast("boolean")).withColumn("truncated", F.col("kind").isin("open", "structure", "explicit"))
-    columns = ["doc_id", "source", "kind", "at_limit", "truncated"]
-    return plain.select(*columns).unionByName(lists.select(*columns)).unionByName(marks.select(*columns))
+    limits = cut(spikes.select("source", "unit", F.explode(around).alias("at"), "size").groupBy("source", "unit", "at").agg(F.max("size").alias("size")))
+    of = lambda unit, limit: limits.where(F.col("unit") == unit).select("source", F.col("at").alias(unit), F.col("size").alias(limit))
+    held = sized.drop("inner").join(of("chars", "limit_chars"), ["source", "chars"], "left").join(of("bytes", "limit_bytes"), ["source", "bytes"], "left")
+    held = held.withColumn("at_limit", F.col("limit_chars").isNotNull() | F.col("limit_bytes").isNotNull())
+    known = sized.select(F.explode("inner").alias("term")).where("term <> ''").distinct().withColumn("_known", F.lit(True))
+    lists = held.where("kind = 'list'").join(known, "term", "left")
+    rest = held.where("kind <> 'list'").withColumn("_known", F.lit(True))
+    whole = F.col("kind").isin("sentence", "closing")
+    flagged = (F.col("at_limit") & ~whole) | F.col("kind").isin("open", "structure", "explicit") | F.col("_known").isNull()
+    return rest.unionByName(lists).select("doc_id", "source", "kind", "limit_chars", "limit_bytes", "at_limit", flagged.alias("truncated"))
 
 
 def truncation_rates(flagged: DataFrame) -> DataFrame:

@@ -60,6 +60,21 @@ def test_currency_decides_where_stamps_are_missing(spark):
     assert merged[9]["rich"] and merged[9]["n_rows"] == 2 and merged[9]["year"] == "2020" and not merged[10]["rich"] and merged[10]["title"] is None
 
 
+def test_stand_ins_are_learned_from_unlinked_groups(spark):
+    missing = "No abstract is available here; ask the publisher."
+    rows = [(i, "T", missing, 1, True, None, None, None, "") for i in range(1, 5)] + [(5, "T", "Brief.", 1, True, None, None, None, ""), (6, "T", "We show that no abstract says this.", 1, True, None, None, None, "")]
+    groups = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (3, 3), (4, 3), (6, 4)], "work_id long, group_id long")
+    got = {r["group_id"]: r["work_id"] for r in survivor.suppliers(works(spark, rows).drop("group_id"), groups).where("field = 'abstract'").collect()}
+    assert got == {1: 5, 4: 6}
+
+
+def test_precedence_follows_chains_whose_middle_is_absent(spark):
+    pairs = spark.createDataFrame([("type", "a", "b"), ("type", "b", "c"), ("type", "c", "d"), ("year", "1", "2"), ("year", "2", "3"), ("year", "3", "1")], "field string, older string, newer string")
+    got = {tuple(r) for r in survivor.closed(pairs).collect()}
+    assert got == {("type", x, y) for x, y in ("ab", "bc", "cd", "ac", "bd", "ad")}
+    assert survivor.closed(pairs.limit(0)).count() == 0
+
+
 def test_empty(spark):
     g = spark.createDataFrame([], "work_id long, group_id long")
     assert survivor.suppliers(works(spark, []), g).count() == 0 and survivor.merged_records(works(spark, []).drop("group_id"), g).count() == 0
