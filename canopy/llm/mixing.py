@@ -1,13 +1,16 @@
 """Mixing sources to target weights (problem 8).
 
-Budgets are set top down in a tree of sources: a node's tokens are divided among its
-children by weight, what a child can't take goes to its siblings first, and only what all
-siblings together can't take goes back to their parent's siblings. Each leaf then repeats
+Budgets are set top down in a tree of domains, sources and languages: a node's tokens are
+divided among its children by weight, what a child can't take goes to its siblings first,
+and only what all siblings together can't take goes back to their parent's siblings. All
+nodes of a level are filled at once by aggregations over their children. Each leaf then repeats
 its documents in seeded epochs: whole epochs while they fit, and a prefix of the last one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ from canopy.llm.tokens import token_counts
 from canopy.session import cut
 
 #: Parameters: the seed of the epochs' order; the parts into which a leaf's order is cut
-#: for its prefix sums; the leaves that a tree of targets may have.
-SEED, PARTS, MOST_LEAVES = 7, 4096, 200_000
+#: for its prefix sums; the power of its tokens by which a language weighs within a source.
+SEED, PARTS, TEMPER = 7, 4096, 0.7
 
 
 def name_of(source: Column) -> Column:
@@ -24,49 +27,48 @@ def name_of(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-class Node:
-    """A node of the tree: its weight among its siblings, and the tokens it can take."""
-
-    def __init__(self, weight: float, capacity: float = 0.0):
-        self.weight, self.capacity, self.budget = weight, capacity, 0.0
-        self.children: dict[object, Node] = {}
-
-    def fill(self) -> float:
-        """Set the capacity of inner nodes: what their children can take together."""
-        if self.children:
-            self.capacity = sum(c.fill() for c in self.children.values())
-        return self.capacity
-
-    def divide(self, budget: float) -> None:
-        """Divide a budget of at most the capacity; a short child's rest goes to its siblings."""
-        self.budget = min(budget, self.capacity)
-        left, open_ = self.budget, [c for c in self.children.values() if c.capacity > 0 and c.weight > 0]
-        while open_:
-            total = sum(c.weight for c in open_)
-            short = [c for c in open_ if c.capacity <= left * c.weight / total]
-            if not short:
-                for c in open_:
-                    c.divide(left * c.weight / total)
-                return
-            for c in short:
-                c.divide(c.capacity)
-                left -= c.capacity
-            open_ = [c for c in open_ if not any(c is s for s in short)]
-
-
-def leaf_budgets(leaves: list[tuple[tuple, list[float], float]], total: float) -> list[float]:
-    """The budget of each leaf: (path, weight of each node on the path, capacity)."""
-    root = Node(1.0)
-    nodes = []
-    for path, weights, capacity in leaves:
-        node = root
-        for name, weight in zip(path, weights):
-            node = node.children.setdefault(name, Node(weight))
-        node.capacity = capacity
-        nodes.append(node)
-    root.fill()
-    root.divide(total)
-    return [n.budget for n in nodes]
+def _filled(nodes: DataFrame, up: list[str], budgets: DataFrame) -> DataFrame:
+    """`nodes` (up, ..., weight, capacity) with their budget out of that of their parents.
+
+    budgets: up and budget, which no parent's children are too small for. A child gets the
+    lesser of its capacity and its weight times its parent's level. The level starts at
+    budget / weights and rises to what is left by the children that are short there, until
+    no more children are short; every round is one aggregation over all nodes.
+    """
+    meet = lambda a, b: a.join(b, up) if up else a.crossJoin(F.broadcast(b))  # noqa: E731 (without a parent, one row)
+    rows = cut(meet(nodes, budgets.withColumnRenamed("budget", "_b")))
+    levels = rows.groupBy(*up).agg((F.max("_b") / F.sum("weight")).alias("level"), F.lit(-1).cast("long").alias("short"))
+    while True:
+        at = meet(rows, levels.withColumnRenamed("short", "_before"))
+        short = F.col("capacity") <= F.col("level") * F.col("weight")
+        sums = at.groupBy(*up).agg(
+            F.max("_b").alias("_b"), F.max("level").alias("_l"), F.max("_before").alias("_before"), F.count_if(short).alias("short"), F.sum(F.when(short, F.col("capacity")).otherwise(0.0)).alias("_s"), F.sum(F.when(short, 0.0).otherwise(F.col("weight"))).alias("_w")
+        )
+        next_ = F.when(F.col("_w") > 0, F.greatest("_l", (F.col("_b") - F.col("_s")) / F.col("_w"))).otherwise(F.col("_l"))
+        levels = cut(sums.select(*up, next_.alias("level"), "short", (F.col("short") != F.col("_before")).alias("moved")))
+        if not levels.where("moved").take(1):
+            return meet(rows, levels.select(*up, "level")).withColumn("budget", F.least("capacity", F.col("level") * F.col("weight"))).drop("_b", "level")
+        levels = levels.drop("moved")
+
+
+def tree_budgets(leaves: DataFrame, levels: list[tuple[str, str]], total: float) -> DataFrame:
+    """`leaves` with a budget each.
+
+    levels: (column of the node's name, column of its weight among its siblings) from the
+    top down; the names of all levels are a leaf's key. leaves: these and capacity. A total
+    beyond all capacities is lowered to them. Nodes without weight or capacity get nothing.
+    """
+    leaves, names = cut(leaves), [n for n, _ in levels]
+    budgets = leaves.agg(F.least(F.lit(float(total)), F.coalesce(F.sum("capacity"), F.lit(0.0))).alias("budget"))
+    for depth, (_, weight) in enumerate(levels):
+        nodes = leaves.groupBy(*names[: depth + 1]).agg(F.max(weight).alias("weight"), F.sum(F.when(_open(levels[depth:]), F.col("capacity")).otherwise(0.0)).alias("capacity"))
+        budgets = _filled(nodes.where("weight > 0 and capacity > 0"), names[:depth], budgets).select(*names[: depth + 1], "budget")
+    return leaves.join(budgets, names, "left").withColumn("budget", F.coalesce("budget", F.lit(0.0)))
+
+
+def _open(levels: list[tuple[str, str]]) -> Column:
+    """True for leaves that no node of these levels without a weight shuts off."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(w) > 0, F.lit(False)) for _, w in levels])
 
 
 def sized_documents(documents: DataFrame, **tokenizer) -> DataFrame:
@@ -76,31 +78,33 @@ def sized_documents(documents: DataFrame, **tokenizer) -> DataFrame:
 
 
 def budgets(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """One row per leaf (source, lang): available, capacity, budget, epochs, rest, weight.
-
-    The tree is root, source (weighted by target_share), language (weighted by its tokens).
-    total_tokens: the size of the mixture, by default the tokens of all targeted sources; a
-    total beyond what all may give is lowered to that. Targets with a null source or share
-    are left out, of a source named twice the shares add up and the lower max_repeats
-    holds; a null max_repeats is 1. Only sums of leaves reach the driver, and more than
-    MOST_LEAVES of them is an error.
+    """One row per leaf (source, lang): target_share, max_repeats, available, budget, epochs, rest.
+
+    The tree is root, domain, source (weighted by target_share), language (weighted by its
+    tokens to the power TEMPER, so a small language of a source may fall short where a large
+    one doesn't). targets may have a column domain, which weighs as its sources together;
+    else there is one. total_tokens: the size of the mixture, by default the tokens of all
+    targeted sources; a total beyond what all may give is lowered to that. Targets with a
+    null source or share are left out, of a source named twice the shares add up and the
+    lower max_repeats holds; a null max_repeats is 1. Leaves stay distributed.
     """
-    spark = sized.sparkSession
+    domain = F.coalesce("domain", F.lit("")) if "domain" in targets.columns else F.lit("")
     wanted = targets.where("source is not null and target_share > 0").groupBy(name_of(F.col("source")).alias("source")).agg(
-        F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
+        F.min(domain).alias("domain"), F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
     )
+    domains = wanted.groupBy("domain").agg(F.sum("target_share").alias("domain_share"))
     have = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("available"))
-    rows = wanted.join(have, "source", "left").orderBy("source", "lang").limit(MOST_LEAVES + 1).collect()
-    if len(rows) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    leaves = [((r.source, r.lang), [r.target_share, float(r.available or 0)], float((r.available or 0) * max(r.max_repeats, 0))) for r in rows]
-    total = float(total_tokens if total_tokens is not None else sum(r.available or 0 for r in rows))
-    out = []
-    for r, budget in zip(rows, leaf_budgets(leaves, total)):
-        epochs = min(int(budget // r.available), r.max_repeats) if r.available else 0
-        rest = budget - epochs * r.available if r.available and epochs < r.max_repeats else 0.0
-        out.append((r.source, r.lang, r.target_share, r.max_repeats, r.available or 0, budget, epochs, float(rest)))
-    return spark.createDataFrame(out, "source string, lang string, target_share double, max_repeats int, available long, budget double, epochs int, rest double")
+    leaves = wanted.join(domains, "domain").join(have, "source", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "lang": F.coalesce("lang", F.lit(""))})
+    leaves = cut(leaves.withColumns({"capacity": (F.col("available") * F.greatest("max_repeats", F.lit(0))).cast("double"), "lang_weight": F.pow("available", F.lit(TEMPER))}))
+    if total_tokens is None:
+        total_tokens = leaves.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
+    levels = [("source", "target_share"), ("lang", "lang_weight")]
+    if "domain" in targets.columns:
+        levels = [("domain", "domain_share"), *levels]
+    plan = tree_budgets(leaves, levels, total_tokens)
+    epochs = F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")).cast("int"), "max_repeats")).otherwise(0)
+    rest = F.when((F.col("available") > 0) & (F.col("epochs") < F.col("max_repeats")), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0)
+    return cut(plan.withColumn("epochs", epochs).withColumn("rest", rest).select("source", "lang", "target_share", "max_repeats", "available", "budget", "epochs", "rest"))
 
 
 def mixture(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -113,8 +117,7 @@ def mixture(sized: DataFrame, plan: DataFrame) -> DataFrame:
     the one range where the rest ends over documents, so no leaf is gathered in a task.
     """
     leaf = ["source", "lang"]
-    # The leaves are bounded by MOST_LEAVES.
-    own = sized.join(F.broadcast(plan.select(*leaf, "epochs", "rest")), leaf)
+    own = sized.join(plan.select(*leaf, "epochs", "rest"), leaf)
     order = F.xxhash64("doc_id", F.lit(SEED), "epochs")
     own = own.withColumn("_o", order).withColumn("_part", F.shiftrightunsigned("_o", 52).cast("int"))
     sums = own.where("rest > 0").groupBy(*leaf, "_part").agg(F.sum("tokens").alias("_s"), F.first("rest").alias("_rest"))

@@ -1,8 +1,9 @@
 """Top N items within every group (problem 6).
 
 A mergeable aggregation: every task keeps a heap of at most N items for each group it
-sees, the heaps are shuffled by group, and the same operator merges them. What crosses
-the network is at most N items per group and task, however large a group is.
+sees, the heaps are shuffled by group and merged in the order of score and identifier. What
+crosses the network is at most N items per group and task, however large a group is, and
+the merge holds one group's place at a time, however many groups there are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,21 +78,15 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), schema.types)], schema=schema)
 
 
-def _pass(n: int, final: bool):
-    schema = pa.schema([("g", pa.string()), ("m", pa.string()), ("place", pa.int64()), ("score", pa.float64()), ("item", pa.string())])
+SCHEMA = pa.schema([("g", pa.string()), ("m", pa.string()), ("place", pa.int64()), ("score", pa.float64()), ("item", pa.string())])
 
+
+def _heaped(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = Heaps(n)
         for b in batches:
             names = b.schema.names
             groups, ids = b.column(names.index("g")), b.column(names.index("item"))
-            if final:
-                measures = b.column(names.index("m"))
-                for m in measures.unique().to_pylist():
-                    at = np.flatnonzero(np.asarray(measures.to_pylist(), dtype=object) == m)
-                    take = pa.array(at)
-                    heaps.add(groups.take(take), m, b.column(names.index("score")).to_numpy(zero_copy_only=False)[at], ids.take(take))
-                continue
             for m in names[2:]:
                 scores = b.column(names.index(m)).to_numpy(zero_copy_only=False).astype(float)
                 at = np.flatnonzero(scores > 0)  # also drops nulls and what is no number
@@ -98,8 +94,31 @@ def _pass(n: int, final: bool):
                     take = pa.array(at)
                     heaps.add(groups.take(take), m, scores[at], ids.take(take))
             if heaps.held > HELD:
-                yield from _batches(heaps.drain(), schema)
-        yield from _batches(heaps.drain(), schema)
+                yield from _batches(heaps.drain(), SCHEMA)
+        yield from _batches(heaps.drain(), SCHEMA)
+
+    return run
+
+
+def _merged(n: int):
+    """Places of the items of heaps that come sorted by group, measure, score and item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, placed = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, m = b.column(0), b.column(1)
+            own = (g[0].as_py(), m[0].as_py())
+            changed = pc.or_(pc.not_equal(g.slice(1), g.slice(0, b.num_rows - 1)), pc.not_equal(m.slice(1), m.slice(0, b.num_rows - 1))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            sizes = np.diff(np.append(starts, b.num_rows))
+            place = np.arange(b.num_rows) - np.repeat(starts, sizes) + 1
+            if own == last:
+                place[: sizes[0]] += placed
+            last, placed = (g[b.num_rows - 1].as_py(), m[b.num_rows - 1].as_py()), int(place[-1])
+            best = pa.array(np.flatnonzero(place <= n))
+            yield pa.RecordBatch.from_arrays([g.take(best), m.take(best), pa.array(place).take(best), b.column(3).take(best), b.column(4).take(best)], schema=SCHEMA)
 
     return run
 
@@ -122,8 +141,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, measures: list[str], n
         F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("item"), *[F.col(m).cast("double").alias(m) for m in measures]
     )
     schema = "g string, m string, place long, score double, item string"
-    partial = named.mapInArrow(_pass(n, final=False), schema)
-    merged = partial.repartition("g", "m").mapInArrow(_pass(n, final=True), schema)
+    partial = named.mapInArrow(_heaped(n), schema).repartition("g", "m")
+    merged = partial.sortWithinPartitions("g", "m", F.desc("score"), "item").mapInArrow(_merged(n), schema)
     return merged.select(F.col("g").alias(group), F.col("m").alias("score_name"), "place", F.col("item").alias(item))
 
 

@@ -14,13 +14,29 @@ def targets(spark, rows):
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
 
 
-def test_shortage_goes_to_siblings_before_ancestors():
-    leaves = [(("a", "x"), [0.5, 1.0], 10.0), (("a", "y"), [0.5, 1.0], 1000.0), (("b", "x"), [0.5, 1.0], 1000.0)]
-    assert mixing.leaf_budgets(leaves, 200.0) == [10.0, 90.0, 100.0]
-    leaves[1] = (("a", "y"), [0.5, 1.0], 20.0)
-    assert mixing.leaf_budgets(leaves, 200.0) == [10.0, 20.0, 170.0]
-    assert mixing.leaf_budgets(leaves, 9000.0) == [10.0, 20.0, 1000.0]
-    assert mixing.leaf_budgets([], 5.0) == []
+def filled(spark, leaves, total):
+    df = spark.createDataFrame([(*path, *weights, capacity) for path, weights, capacity in leaves], "d string, s string, wd double, ws double, capacity double")
+    got = {(r["d"], r["s"]): r["budget"] for r in mixing.tree_budgets(df, [("d", "wd"), ("s", "ws")], total).collect()}
+    return [round(got[path], 6) for path, _, _ in leaves]
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    leaves = [(("a", "x"), (0.5, 1.0), 10.0), (("a", "y"), (0.5, 1.0), 1000.0), (("b", "x"), (0.5, 1.0), 1000.0)]
+    assert filled(spark, leaves, 200.0) == [10.0, 90.0, 100.0]
+    leaves[1] = (("a", "y"), (0.5, 1.0), 20.0)
+    assert filled(spark, leaves, 200.0) == [10.0, 20.0, 170.0]
+    assert filled(spark, leaves, 9000.0) == [10.0, 20.0, 1000.0]
+    assert filled(spark, [(("a", "x"), (1.0, 1.0), 5.0), (("b", "x"), (0.0, 1.0), 5.0), (("a", "y"), (1.0, 0.0), 5.0)], 9.0) == [5.0, 0.0, 0.0]
+    assert filled(spark, [], 5.0) == []
+
+
+def test_domains_and_languages(spark):
+    s = sized(spark, [("a", "en", 90)] + [("a", "de", 10)] + [("b", "en", 100)] * 5 + [("c", "en", 100)] * 5)
+    wanted = spark.createDataFrame([("a", 0.4, 1, "x"), ("b", 0.1, 1, "x"), ("c", 0.5, 1, "y")], "source string, target_share double, max_repeats int, domain string")
+    got = {(r["source"], r["lang"]): round(r["budget"], 6) for r in mixing.budgets(s, wanted, 500.0).collect()}
+    assert got == {("a", "en"): 90, ("a", "de"): 10, ("b", "en"): 150, ("c", "en"): 250}
+    flat = {(r["source"], r["lang"]): r["budget"] for r in mixing.budgets(s, wanted.drop("domain"), 50.0).collect()}
+    assert flat["a", "en"] + flat["a", "de"] == pytest.approx(20) and flat["a", "de"] > 2
 
 
 @pytest.mark.parametrize("seed", range(3))
