@@ -10,6 +10,7 @@ from canopy.plans import tools
 from canopy.plans.engine import CollectionExists, CollectionNotFound, Engine
 from canopy.session import build_session
 from canopy.sources.export import FORMATS, render
+from canopy.sources.http import LiveCatalogue
 from canopy.sources.store import Store
 from canopy.sources.works import Snapshot, read_raw
 
@@ -17,7 +18,8 @@ from canopy.sources.works import Snapshot, read_raw
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="canopy")
     p.add_argument("--store", required=True, help="folder of the stored collections")
-    p.add_argument("--catalogue", help="folder of raw records")
+    p.add_argument("--catalogue", help="folder of raw records, or the address of a live catalogue (http...)")
+    p.add_argument("--email", default="", help="contact that requests to a live catalogue name")
     p.add_argument("--catalogue-format", default="json", choices=["json", "parquet", "orc"])
     p.add_argument("--master", help="Spark master, by default that of the environment")
     sub = p.add_subparsers(dest="command", required=True)
@@ -74,7 +76,10 @@ def run(engine: Engine, args: argparse.Namespace) -> str:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = build_session("canopy", args.master)
-    catalogue = Snapshot(read_raw(spark, args.catalogue, args.catalogue_format)) if args.catalogue else None
+    if args.catalogue and args.catalogue.startswith("http"):
+        catalogue = LiveCatalogue(spark, args.catalogue, email=args.email)
+    else:
+        catalogue = Snapshot(read_raw(spark, args.catalogue, args.catalogue_format)) if args.catalogue else None
     try:
         text = run(Engine(spark, Store(spark, args.store), catalogue), args)
     except (CollectionNotFound, CollectionExists, ValueError) as e:

@@ -38,6 +38,14 @@ def merge_groups(works: DataFrame, group: str, order: str) -> DataFrame:
     return merged.withColumn("label", F.col("_l.l")).drop("_l")
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per value of `key`: a rich one if there is, then the one whose other columns compare
+    greatest, so that the same rows always give the same one. Reduced before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    best = F.max(F.struct(*([F.coalesce("rich", F.lit(False)).alias("_rich")] if "rich" in rest else []), *rest))
+    return df.groupBy(key).agg(best.alias("_best")).select(*[F.col(c if c == key else f"_best.{c}").alias(c) for c in df.columns])
+
+
 def deduplicate(works: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(merged works, members): one work per identifier component, and (key, component)."""
     members = cut(id_components(works, key))
@@ -70,7 +78,8 @@ def enrich(stubs: DataFrame, fetched: DataFrame, source: str = "openalex") -> Da
 
     columns = stubs.columns
     keyed = stubs.withColumn("_k", id_of(F.col("ids"), source))
-    new = fetched.withColumn("_k", id_of(F.col("ids"), source)).where("_k is not null").dropDuplicates(["_k"]).select("_k", F.struct(*columns).alias("_new"))
+    new = fetched.withColumn("_k", id_of(F.col("ids"), source)).where("_k is not null").select("_k", *columns)
+    new = one_per_key(new, "_k").select("_k", F.struct(*columns).alias("_new"))
     hit = keyed.join(new, "_k", "left").where("coalesce(rich, false) or _k is null or _new is not null")
     use = F.coalesce(F.col("rich"), F.lit(False)) | F.col("_new").isNull()
     return hit.select(*[F.when(use, F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in columns])

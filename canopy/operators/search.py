@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import text as X
-from canopy.session import ship
+from canopy.session import cut, ship
 
 FIELDS = ["title", "abstract", "keywords", "authors"]
 #: Fixed values of the ranking function.
@@ -22,26 +24,47 @@ def postings(works: DataFrame, key: str, stemmed: bool = True) -> DataFrame:
     return texts.select(key, "col", F.posexplode(X.terms(F.col("text"), stemmed)).alias("pos", "term"))
 
 
-def statistics(index: DataFrame, key: str) -> DataFrame:
-    """(key, size): the number of terms of each work."""
-    return index.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+def indexed(works: DataFrame, key: str, stemmed: bool = True) -> DataFrame:
+    """(key, terms): the index terms of each of the four fields that `works` has, in order.
+
+    This is what a store keeps beside its works, so that a search reads terms and no texts.
+    """
+    ship(works.sparkSession)
+    kinds = dict(works.dtypes)
+    text = lambda c: F.to_json(c) if kinds[c].startswith("array") else F.col(c)
+    none = F.array().cast("array<string>")
+    return works.select(key, F.array(*[F.coalesce(X.terms(text(c), stemmed), none) for c in FIELDS if c in kinds]).alias("terms"))
 
 
-def phrase_hits(index: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
-    """(key, phrase, f): how often each phrase (by its place in the list) stands in a work.
+def _uses(phrase: list[str]) -> Column:
+    """How often the terms of a phrase stand next to each other in one field."""
+    wanted, n = F.array(*map(F.lit, phrase)), len(phrase)
+    starts = lambda f: F.filter(F.sequence(F.lit(1), F.size(f) - n + 1), lambda i: F.slice(f, i, n) == wanted)
+    # Most fields don't hold the first term at all.
+    in_field = lambda f: F.when(F.array_contains(f, phrase[0]) & (F.size(f) >= n), F.size(starts(f))).otherwise(0)
+    return F.aggregate("terms", F.lit(0), lambda total, f: total + in_field(f))
 
-    The terms of a phrase stand next to each other in one field. Only the terms of the
-    query are looked at, and all starts of a phrase are counted in one aggregation.
+
+def bm25_index(index: DataFrame, key: str, query: str, stemmed: bool = True) -> DataFrame:
+    """(key, score) as of bm25() from an index (key, terms).
+
+    Every row is looked at once, without a shuffle; only counts leave it.
     """
-    wanted = sorted({t for p in phrases for t in p})
-    hits = index.where(F.col("term").isin(wanted))
-    starts = []
-    for n, phrase in enumerate(phrases):
-        for k, term in enumerate(phrase):
-            starts.append(F.struct(F.lit(n).alias("phrase"), F.lit(len(phrase)).alias("n"), F.lit(k).alias("k"), F.lit(term).alias("t")))
-    parts = hits.select(key, "col", "pos", "term", F.explode(F.array(*starts)).alias("s")).where("term = s.t").select(key, "col", F.col("s.phrase").alias("phrase"), F.col("s.n").alias("n"), (F.col("pos") - F.col("s.k")).alias("at"))
-    whole = parts.groupBy(key, "col", "phrase", "n", "at").agg(F.count(F.lit(1)).alias("m")).where("m = n")
-    return whole.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("f"))
+    phrases = X.query_phrases(query, stemmed)
+    if not phrases:
+        return index.select(key).where(F.lit(False)).withColumn("score", F.lit(0.0))
+    size = F.aggregate("terms", F.lit(0), lambda total, f: total + F.size(f))
+    rows = cut(index.select(key, size.alias("size"), F.array(*map(_uses, phrases)).alias("f")))
+    known = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("terms"), *[F.count_if(F.col("f")[i] > 0).alias(f"n{i}") for i in range(len(phrases))])
+    # One row.
+    hits = rows.where(~F.exists("f", lambda x: x == 0)).crossJoin(F.broadcast(known))
+    length = 1 - B + B * F.col("size") / (F.col("terms") / F.col("docs"))
+    parts = []
+    for i in range(len(phrases)):
+        idf = F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        f = F.col("f")[i]
+        parts.append(F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * (f * (K1 + 1)) / (f + K1 * length))
+    return hits.select(key, (-reduce(lambda a, b: a + b, parts)).alias("score"))
 
 
 def bm25(works: DataFrame, key: str, query: str, stemmed: bool = True) -> DataFrame:
@@ -50,21 +73,13 @@ def bm25(works: DataFrame, key: str, query: str, stemmed: bool = True) -> DataFr
     Document counts and lengths are over all given works, with every field weighing the
     same. A query without a term gives no rows.
     """
-    phrases = X.query_phrases(query, stemmed)
-    if not phrases:
-        return works.select(key).where(F.lit(False)).withColumn("score", F.lit(0.0))
-    index = postings(works, key, stemmed)
-    hits = phrase_hits(index, key, phrases)
-    sizes = statistics(index, key)
-    # One row each.
-    shape = works.agg(F.count(F.lit(1)).alias("docs")).crossJoin(index.agg(F.count(F.lit(1)).alias("terms")))
-    known = F.broadcast(hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).crossJoin(shape))  # a row per phrase of the query
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    length = 1 - B + B * F.col("size") / (F.col("terms") / F.col("docs"))
-    part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * length)
-    scored = hits.join(known, "phrase").join(sizes, key).groupBy(key).agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("k"))
-    return scored.where(F.col("k") == len(phrases)).drop("k")
+    return bm25_index(indexed(works, key, stemmed), key, query, stemmed)
+
+
+def search_index(index: DataFrame, nodes: DataFrame, query: str, limit: int, stemmed: bool = True) -> DataFrame:
+    """As search_collection(), from an index (label, terms)."""
+    hits = bm25_index(index, "label", query, stemmed).join(nodes.select(F.col("work_label").alias("label")).distinct(), "label", "left_semi")
+    return hits.orderBy("score", "label").limit(max(limit, 0))
 
 
 def search_collection(works: DataFrame, nodes: DataFrame, query: str, limit: int, stemmed: bool = True) -> DataFrame:
@@ -72,5 +87,4 @@ def search_collection(works: DataFrame, nodes: DataFrame, query: str, limit: int
 
     Ranks over all works, then keeps the collection's, then limits.
     """
-    hits = bm25(works, "label", query, stemmed).join(nodes.select(F.col("work_label").alias("label")).distinct(), "label", "left_semi")
-    return hits.orderBy("score", "label").limit(max(limit, 0))
+    return search_index(indexed(works, "label", stemmed), nodes, query, limit, stemmed)

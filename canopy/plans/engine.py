@@ -19,7 +19,7 @@ from canopy.operators import dedup, graph, sap, steiner
 from canopy.operators import search as full_text
 from canopy.session import cut
 from canopy.sources import works as W
-from canopy.sources.store import Store, upsert_works
+from canopy.sources.store import Store
 from canopy.schema import TABLES, WORK_COLUMNS
 
 #: Parameters: collections that a listing shows, and the share of the limit below which seeds are few.
@@ -216,9 +216,8 @@ class Engine:
         Stubs stand for what is cited and not among the works. Keys and citations follow
         the merged works.
         """
-        mains = mains.withColumn("_o", F.struct(F.lit(0).alias("stub"), F.col("label")))
         stubs = W.reference_stubs(cites).join(mains.select("label"), "label", "left_anti").select(*WORK_COLUMNS)
-        both = cut(mains.select(*WORK_COLUMNS).unionByName(stubs).where("size(ids) > 0").dropDuplicates(["label"]))
+        both = cut(dedup.one_per_key(mains.select(*WORK_COLUMNS).unionByName(stubs).where("size(ids) > 0"), "label"))
         merged, members = dedup.deduplicate(both, "label")
         merged = cut(merged.withColumn("id", S.work_key(F.col("ids"))))
         canonical = members.select(F.col("label").alias("id"), "component").join(merged.select("component", F.col("id").alias("key")), "component").select("id", F.col("key").alias("component"))
@@ -245,14 +244,14 @@ class Engine:
         nodes = cut(nodes.withColumn("label", F.coalesce("label", "id") if "label" in nodes.columns else F.col("id")))
         kinds = {f.name: f.dataType for f in self.store.empty("works").schema}
         have = lambda c: F.col(c).cast(kinds[c]) if c in nodes.columns else F.lit(None).cast(kinds[c])
-        new = nodes.select(*[have(c).alias(c) for c in WORK_COLUMNS]).dropDuplicates(["label"])
+        new = dedup.one_per_key(nodes.select(*[have(c).alias(c) for c in WORK_COLUMNS]), "label")
         ends = nodes.select("id").distinct()
         links = analysis.links.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
         links = links.groupBy("source", "target").agg(F.max(F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0))).alias("weight"))
         score = lambda c: F.coalesce(c, F.lit(0.0)).cast("double").alias(c)
         rows = nodes.select(F.lit(id).alias("collection_id"), "id", F.col("label").alias("work_label"), F.coalesce("category", F.lit("")).alias("category"), score("rootness"), score("trunkness"), score("leafness"))
         try:
-            self.store.put("works", upsert_works(self.store.table("works"), new))
+            self.store.upsert(new)
             self.store.put("nodes", rows, id)
             self.store.put("links", links.select(F.lit(id).alias("collection_id"), "source", "target", "weight"), id)
             self._write(self._changed(id, work_count=rows.count()))
@@ -290,7 +289,7 @@ class Engine:
         if limit <= 0 or not X.query_phrases(query):
             return None
         analysis = self.load_analysis(id)
-        hits = full_text.search_collection(self.store.table("works"), analysis.nodes, query, limit)
+        hits = full_text.search_index(self.store.table("terms"), analysis.nodes, query, limit)
         terminals = [r["id"] for r in analysis.nodes.join(hits, F.col("work_label") == hits["label"]).select("id").distinct().collect()]
         if not terminals:
             return A.Analysis(analysis.nodes.where(F.lit(False)), analysis.links.where(F.lit(False)))

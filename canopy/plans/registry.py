@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.plans import catalog, graph, integrity, works
+from canopy.plans import catalog, graph, integrity, service, works
 
-MODULES = [works, graph, catalog, integrity]
+MODULES = [works, graph, catalog, service, integrity]
 
 
 def queries() -> dict:

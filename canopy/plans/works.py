@@ -143,7 +143,7 @@ def dedup_first_occurrence(spark, folder):
 def enrich_references(spark, folder):
     """Stubs of works replaced by the first rich row with their identifier; misses are dropped."""
     works = _works(spark, folder, "label", "ids", "title", "rich")
-    stubs = works.where("not rich").select("label", "ids", "title", "rich").dropDuplicates(["label"])
+    stubs = dedup.one_per_key(works.where("not rich").select("label", "ids", "title", "rich"), "label")
     best = works.where("rich and size(ids) > 0").groupBy(S.id_of(F.col("ids"), "openalex").alias("k")).agg(F.min(F.struct("work_id", "label", "ids", "title", "rich")).alias("w"))
     out = dedup.enrich(stubs.select("label", "ids", F.lit(None).cast("string").alias("title"), "rich"), best.where("k is not null").select("w.label", "w.ids", "w.title", "w.rich"))
     return out.select("label", "title", "rich")

@@ -20,6 +20,7 @@ RAW = (
 TABLES = {
     "collections": "id string, query_hash string, query string, result_limit long, parameters string, name string, work_count long, created_at timestamp, updated_at timestamp",
     "works": WORK,
+    "terms": "label string, terms array<array<string>>",
     "nodes": "collection_id string, id string, work_label string, category string, rootness double, trunkness double, leafness double",
     "links": "collection_id string, source string, target string, weight double",
 }

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,23 +60,21 @@ def bib_fields(works: DataFrame, abstracts: bool = True) -> DataFrame:
 
 
 def cite_keys(base: Iterable[str]) -> list[str]:
-    """Keys in order, repeated ones told apart by letters; a key that exists already is skipped."""
-    seen: dict[str, int] = {}
+    """Keys in order: of a base, it alone, it with a, b, ...; the first that isn't taken yet."""
+    taken: set[str] = set()
+    streams: dict[str, Iterator[str]] = {}
     out = []
     for key in base:
-        n = seen.get(key, 0)
-        seen[key] = n + 1
-        final = key
-        while n:
-            final = key + S.key_suffix(n)
-            if not seen.get(final):
-                seen[final] = 1
-                break
-            n += 1
-        out.append(final)
+        options = streams.setdefault(key, map(partial(_told_apart, key), count()))
+        out.append(next(k for k in options if k not in taken))
+        taken.add(out[-1])
     return out
 
 
+def _told_apart(key: str, n: int) -> str:
+    return key + S.key_suffix(n)
+
+
 def format_entry(kind: str, key: str, fields: dict[str, str]) -> str:
     """One BibTeX entry with aligned fields; whole numbers of year, volume and number stand bare."""
     rank = {k: i for i, k in enumerate(FIELD_ORDER)}

@@ -18,7 +18,9 @@ import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, StructType
 
@@ -59,6 +61,16 @@ def fetch(url: str, headers: dict[str, str]) -> dict:
     raise AssertionError("unreachable")
 
 
+def headers_of(options: dict[str, str]) -> dict[str, str]:
+    """The request headers that options name as header.NAME and email."""
+    headers = {k[len("header.") :]: v for k, v in options.items() if k.startswith("header.")}
+    return headers | ({"User-Agent": f"canopy (mailto:{options['email']})"} if options.get("email") else {})
+
+
+def works_url(options: dict[str, str], asked: dict[str, str]) -> str:
+    return f"{options['base_url'].rstrip('/')}/works?{urllib.parse.urlencode(asked, safe='+:|,>')}"
+
+
 def _shaped(value, kind):
     """A JSON value in the shape of a Spark type; what the type doesn't know is dropped."""
     if value is None:
@@ -86,24 +98,21 @@ class CatalogueReader(DataSourceReader):
 
     def partitions(self) -> list[Requests]:
         select = [f.name for f in self.schema.fields if f.name not in ("request", "pos")]
-        ids = [x for x in self.options.get("ids", "").split("|") if x]
-        asked = lookup_requests(ids, select) if "ids" in self.options else search_requests(self.options["query"], int(self.options.get("limit", PER_PAGE)), select)
+        asked = search_requests(self.options["query"], int(self.options.get("limit", PER_PAGE)), select)
         numbered = list(enumerate(asked))
         parts = [numbered[i::AT_ONCE] for i in range(AT_ONCE)]
         return [Requests(p) for p in parts if p] or [Requests([])]
 
     def read(self, partition: Requests) -> Iterator[tuple]:
-        headers = {k[len("header.") :]: v for k, v in self.options.items() if k.startswith("header.")}
-        if email := self.options.get("email"):
-            headers["User-Agent"] = f"canopy (mailto:{email})"
+        headers = headers_of(self.options)
         for number, asked in partition.numbered:
-            answer = fetch(f"{self.options['base_url'].rstrip('/')}/works?{urllib.parse.urlencode(asked, safe='+:|,>')}", headers)
+            answer = fetch(works_url(self.options, asked), headers)
             for pos, work in enumerate(answer.get("results") or []):
                 yield tuple({"request": number, "pos": pos}.get(f.name) if f.name in ("request", "pos") else _shaped(work.get(f.name), f.dataType) for f in self.schema.fields)
 
 
 class CatalogueSource(DataSource):
-    """Options: base_url; query and limit, or ids joined by |; email; header.NAME."""
+    """Options: base_url, query, limit, email and header.NAME."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,6 +145,16 @@ class LiveCatalogue:
         return self._load(query=query, limit=str(limit)).orderBy("request", "pos").limit(max(limit, 0)).drop("request", "pos")
 
     def lookup(self, ids: DataFrame) -> DataFrame:
-        """The works with the given ids (column id), which are references of one collection."""
-        names = sorted(r["id"] for r in ids.select("id").distinct().collect())
-        return self._load(ids="|".join(names)).drop("request", "pos")
+        """The works with the given ids (column id), asked for by at most AT_ONCE tasks."""
+        from canopy.schema import RAW
+
+        fields, options = [f.name for f in self.spark.createDataFrame([], RAW).schema], self.options
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for asked in lookup_requests(batch.column(0).to_pylist(), fields):
+                    found = fetch(works_url(options, asked), headers_of(options)).get("results") or []
+                    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(w) for w in found], pa.string())], names=["work"])
+
+        names = ids.select("id").where("id is not null").distinct().repartition(AT_ONCE)
+        return names.mapInArrow(ask, "work string").select(F.from_json("work", RAW).alias("w")).select("w.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from canopy.operators.dedup import one_per_key
 from canopy.schema import RAW
-from canopy.sources.store import Store, upsert_works
+from canopy.sources.store import Store
 from canopy.sources.works import to_works
 
 
@@ -19,12 +20,12 @@ def ingest(raw: DataFrame, store: Store, checkpoint: str, **trigger) -> Streamin
     """Upsert every micro-batch into the stored works.
 
     Upserting a batch again gives the same works, so a batch that is repeated after a
-    failure changes nothing. Of records with one id in a batch any one is taken.
+    failure changes nothing. Of records with one id in a batch the one that compares
+    greatest is taken.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        works = to_works(batch).where("label is not null").dropDuplicates(["label"])
-        store.put("works", upsert_works(store.table("works"), works))
+        store.upsert(one_per_key(to_works(batch).where("label is not null"), "label"))
         store.commit()
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

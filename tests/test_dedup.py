@@ -10,21 +10,21 @@ def works(spark, *rows):
 
 
 def test_shared_identifier_merges(spark):
-    df = works(spark, {"label": "work1", "ids": ["id1", "shared"], "rich": True}, {"label": "work2", "ids": ["id2", "shared"], "rich": True}, {"label": "none", "ids": [], "rich": True}, {"label": "null", "ids": None, "rich": False})
+    df = works(spark, {"label": "m-one", "ids": ["p1", "s-both"], "rich": True}, {"label": "m-two", "ids": ["p2", "s-both"], "rich": True}, {"label": "none", "ids": [], "rich": True}, {"label": "null", "ids": None, "rich": False})
     merged, members = dedup.deduplicate(df, "label")
-    assert [(r["label"], r["ids"]) for r in merged.collect()] == [("work1", ["id1", "id2", "shared"])]
-    assert sorted(tuple(r) for r in members.collect()) == [("work1", "work1"), ("work2", "work1")]
+    assert [(r["label"], r["ids"]) for r in merged.collect()] == [("m-one", ["p1", "p2", "s-both"])]
+    assert sorted(tuple(r) for r in members.collect()) == [("m-one", "m-one"), ("m-two", "m-one")]
 
 
 def test_merge_rules(spark):
     rows = [
-        {"label": "A1", "ids": ["id1", "id2"], "authors": ["Alice"], "title": None, "year": 1999, "rich": False, "keywords": ["k2"], "permalink": "stub"},
-        {"label": "AAAAA2", "ids": ["id2", "id3"], "authors": ["Alice", "Bob"], "title": "T", "year": 2000, "rich": True, "permalink": "rich"},
+        {"label": "B1", "ids": ["p1", "p2"], "authors": ["Quill"], "title": None, "year": 1999, "rich": False, "keywords": ["k2"], "permalink": "stub"},
+        {"label": "Longer-B", "ids": ["p2", "p3"], "authors": ["Quill", "Rowan"], "title": "T", "year": 2000, "rich": True, "permalink": "rich"},
     ]
     m = dedup.merge_groups(works(spark, *rows).selectExpr("*", "1 as g", "label as o"), "g", "o").first()
-    assert (m["label"], m["ids"], m["authors"], m["title"], m["year"], m["rich"], m["keywords"], m["permalink"]) == ("AAAAA2", ["id1", "id2", "id3"], ["Alice", "Bob"], "T", 2000, True, ["k2"], "rich")
-    pair = works(spark, {"label": "A1", "ids": ["i"]}, {"label": "A2", "ids": ["i"]}).selectExpr("*", "1 as g", "label as o")
-    assert dedup.merge_groups(pair, "g", "o").first()["label"] == "A1"
+    assert (m["label"], m["ids"], m["authors"], m["title"], m["year"], m["rich"], m["keywords"], m["permalink"]) == ("Longer-B", ["p1", "p2", "p3"], ["Quill", "Rowan"], "T", 2000, True, ["k2"], "rich")
+    pair = works(spark, {"label": "B1", "ids": ["i"]}, {"label": "B2", "ids": ["i"]}).selectExpr("*", "1 as g", "label as o")
+    assert dedup.merge_groups(pair, "g", "o").first()["label"] == "B1"
 
 
 def test_empty(spark):
@@ -46,14 +46,14 @@ def test_enrich(spark):
 
 def test_raw_records_to_works(spark, tmp_path):
     record = """{"id":"https://openalex.org/W1","ids":{"openalex":"https://openalex.org/W1","doi":"https://doi.org/10.1/A"},"doi":"https://doi.org/10.1/A","title":"T","type":"","publication_year":2020,
-    "cited_by_count":3,"referenced_works":["https://openalex.org/W2"],"authorships":[{"author":{"display_name":"Ada Lovelace"},"institutions":[{"display_name":"X"}]}],"keywords":[{"display_name":"b"},{"display_name":"a"}],
+    "cited_by_count":3,"referenced_works":["https://openalex.org/W2"],"authorships":[{"author":{"display_name":"Mira Quell"},"institutions":[{"display_name":"X"}]}],"keywords":[{"display_name":"b"},{"display_name":"a"}],
     "abstract_inverted_index":{"hello":[0],"world":[1]},"biblio":{"volume":"1","first_page":"2","last_page":"4"},"primary_location":{"landing_page_url":"u","source":{"display_name":"V","type":"journal","host_organization_name":"P"}}}""".replace("\n", "")
     (tmp_path / "a.json").write_text(record + '\n{"id":"https://openalex.org/W9"}\n')
     raw = W.read_raw(spark, str(tmp_path))
     w = {r["label"]: r for r in W.to_works(raw).collect()}
     full = w["https://openalex.org/W1"]
     assert full.asDict() == {
-        "label": "https://openalex.org/W1", "ids": ["doi:10.1/A", "openalex:https://openalex.org/W1"], "authors": ["Lovelace, Ada"], "year": 2020, "title": "T", "venue": "V", "type": None, "venue_type": "journal", "publisher": "P",
+        "label": "https://openalex.org/W1", "ids": ["doi:10.1/A", "openalex:https://openalex.org/W1"], "authors": ["Quell, Mira"], "year": 2020, "title": "T", "venue": "V", "type": None, "venue_type": "journal", "publisher": "P",
         "institution": "X", "volume": "1", "issue": None, "page": "2-4", "doi": "10.1/A", "permalink": "u", "times_cited": 3, "keywords": ["a", "b"], "abstract": "hello world", "rich": True,
     }
     bare = w["https://openalex.org/W9"]

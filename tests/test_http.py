@@ -54,7 +54,8 @@ def test_lookup_in_chunks(spark, server):
     url, seen, _ = server
     ids = spark.createDataFrame([(f"https://openalex.org/W{i}",) for i in range(120)] + [("https://openalex.org/none",)], "id string")
     assert H.LiveCatalogue(spark, url).lookup(ids).count() == 120
-    assert sorted(s[0]["filter"].count("|") + 1 for s in seen) == [21, 50, 50]
+    asked = [s[0]["filter"].count("|") + 1 for s in seen]
+    assert sum(asked) == 121 and max(asked) <= 50
     assert H.LiveCatalogue(spark, url).lookup(ids.limit(0)).count() == 0
 
 
