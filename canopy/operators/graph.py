@@ -135,8 +135,11 @@ def topological_levels(vertices: DataFrame, edges: DataFrame, block: int | None
 
     Raises CycleError if there is a cycle.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    graph = numbered(edges, vertices, block)
+    return levels_of(numbered(cut(edges.select("src", "dst").distinct()), vertices, block))
+
+
+def levels_of(graph: Numbered) -> DataFrame:
+    """As topological_levels() of a numbered graph."""
     levels, _, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), graph.starts(), [])
     if left:
         raise CycleError("graph has a cycle")
@@ -166,22 +169,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, graph: Numbered | None = None)
     return cut(graph.ids(sums.where("_ways > 0"), "n").select(F.col("n").alias("id"), *values))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, known: DataFrame | None = None, block: int | None = None) -> DataFrame:
+def lightest(edges: DataFrame) -> DataFrame:
+    """(src, dst, w): the least weight of each pair, 1 where edges have no weight; written."""
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    return cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, block: int | None = None) -> DataFrame:
     """(source, id, dist, parent): the shortest distance from every source to what it reaches.
 
     Edges have a weight above 0, or all weigh 1. Of equally short ways the one over the
-    smallest parent counts. known: results of earlier sources, which are kept as they are.
+    smallest parent counts.
     """
-    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    arcs = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
-    sources = cut(sources.select("id").distinct())
-    graph = numbered(arcs, sources, block)
+    arcs, sources = lightest(edges), cut(sources.select("id").distinct())
+    return paths_from(numbered(arcs, sources, block), arcs, sources)
+
+
+def paths_from(graph: Numbered, arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """As shortest_paths() of a numbered graph and its arcs (src, dst, w) by id."""
     starts = graph.numbers(sources, "id").select(F.col("id").alias("source"), F.col("id").alias("n"), F.lit(0.0).alias("d"))
     best = cut(graph.ids(relax(graph, graph.arcs, starts), "source", "n").select("source", F.col("n").alias("id"), F.col("d").alias("dist")))
     ways = best.join(arcs.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("id").alias("parent"))
     last = ways.where("source <> id").groupBy("source", "id").agg(F.min(F.struct("dist", "parent")).alias("o"))
-    best = cut(best.join(last, ["source", "id"], "left").select("source", "id", "dist", F.col("o.parent").alias("parent")))
-    return best if known is None else cut(known.unionByName(best))
+    return cut(best.join(last, ["source", "id"], "left").select("source", "id", "dist", F.col("o.parent").alias("parent")))
 
 
 def minimum_forest(edges: DataFrame) -> DataFrame:
