@@ -44,9 +44,8 @@ def test_self_loop_removed(spark, both_ways):
     assert ids(v, "id") == ["A"] and e.count() == 0
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_cycles_against_closure(spark, both_ways, seed):
-    pairs = random_pairs(seed)
+def test_cycles_against_closure(spark, both_ways):
+    pairs = [(f"{seed}{a}", f"{seed}{b}") for seed in range(4) for a, b in random_pairs(seed)]
     on_cycle = {a for a, b in closure(set(pairs)) if a == b}
     v, e = G.remove_cycles(*graph(spark, pairs))
     assert set(ids(v, "id")) == {x for p in pairs for x in p} - on_cycle
@@ -103,7 +102,7 @@ def test_giant_of_equal_components_and_of_nothing(spark, both_ways):
     assert G.giant(G.vertices_of(nothing), nothing)[0].count() == 0
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_components_of_random_graphs_and_long_chains(spark, both_ways, seed):
     rng = random.Random(seed)
     pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)]
