@@ -37,7 +37,7 @@ def _top(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), "id").limit(max(n, 0))
 
 
-def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50, block: int | None = None) -> Sap:
+def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int = 20, leaves: int = 50, block: int | None = None, written: bool = False) -> Sap:
     """Scores of a directed acyclic graph in which src cites dst.
 
     Roots are cited and cite nothing, the most cited first. Path counts and root scores
@@ -45,10 +45,12 @@ def run_sap(vertices: DataFrame, edges: DataFrame, roots: int = 20, trunks: int
     with most paths to roots, and a second pass flows back from them. A vertex's sap is
     paths from leaves x root scores + paths to roots x leaf scores; the trunk has the most
     sap without being a root or leaf.
-    Raises CycleError if the graph has a cycle.
+    Raises CycleError if the graph has a cycle. written: edges (src, dst) are distinct and
+    written already.
     """
-    edges, vertices = cut(edges.select("src", "dst").distinct()), cut(vertices.select("id").distinct())
+    edges = edges if written else cut(edges.select("src", "dst").distinct())
     graph = numbered(edges, vertices, block)
+    vertices = graph.names.select("id")
     graph.arcs = cut(graph.arcs)
     deg = graph.names.select("id", F.col("o0").alias("in_degree"), F.col("o1").alias("out_degree"))
     top_roots = cut(_top(deg.where("out_degree = 0 and in_degree > 0").select("id", F.col("in_degree").cast("double").alias("rootness")), "rootness", roots))

@@ -103,7 +103,7 @@ def clean_edges(spark, folder):
 
 
 def _sap(spark, folder) -> Sap:
-    return run_sap(*acyclic(spark, folder))
+    return run_sap(*acyclic(spark, folder), written=True)
 
 
 def sap_roots(spark, folder):
@@ -139,7 +139,7 @@ def sap_categories(spark, folder):
 
 
 def sap_supply_categories(spark, folder):
-    return run_sap(*supply(spark, folder)).nodes()
+    return run_sap(*supply(spark, folder), written=True).nodes()
 
 
 #: Parameter: arcs of a block in queries that run over many blocks also where a graph is small.
@@ -155,7 +155,7 @@ def graph_topo_levels_blocks(spark, folder):
 
 
 def sap_categories_blocks(spark, folder):
-    return run_sap(*acyclic(spark, folder), block=SMALL_BLOCK).nodes()
+    return run_sap(*acyclic(spark, folder), block=SMALL_BLOCK, written=True).nodes()
 
 
 def sssp_distances_blocks(spark, folder):
