@@ -7,8 +7,10 @@ superstep. So a path costs a superstep only where it changes blocks, and where i
 time, as those of catalogues do, citations change blocks rarely. A block has about BLOCK
 arcs: vertices with more than HOT arcs become trees of virtual vertices with negative
 numbers, and ranges of too many arcs are cut once more. The number of blocks follows the
-size of the graph; there is no other way for small or large graphs. Rows between
-supersteps lie in the checkpoint folder.
+size of the graph; there is no other way for small or large graphs. Where blocks are
+smaller than BLOCK, a task holds neighbouring ones of BLOCK arcs together and works on them
+in turns, so rows from one to another of them need no superstep. Rows between supersteps lie
+in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from canopy.session import cut, cut_by, ship
 
 #: Parameters: arcs of a block, and arcs of a vertex beyond which it is split.
 BLOCK, HOT = 250_000, 50_000
-#: Vertices of a range have numbers from range << RANGE on; virtual ones of a vertex.
-RANGE, VIRTUAL = 33, 4096
+#: Vertices of a range have numbers from range << RANGE on; virtual ones of a vertex;
+#: blocks of virtual vertices have numbers from APART on, parts of a range that is cut once more from PART on.
+RANGE, VIRTUAL, APART, PART = 33, 4096, 1 << 30, 1 << 32
 #: Parameter: frames that a pile holds before they are written as one.
 PILE = 16
 
@@ -50,13 +53,12 @@ class Pile:
 class Numbered:
     """names (id, n, o0, o1: arcs that end and start there) in `ranges` ranges; arcs (s, t, step, ...),
     of which those within a split vertex have step 0; sub: the ranges that were cut once more;
-    size: about how many arcs there are; split: whether there are virtual vertices."""
+    tasks: how many tasks share the blocks; split: whether there are virtual vertices."""
 
     names: DataFrame
     arcs: DataFrame
     ranges: int
-    size: int
-    block: int
+    tasks: int
     sub: DataFrame | None = None
     split: bool = False
 
@@ -80,15 +82,22 @@ class Numbered:
         return df.join(self.names.select(F.col("id").alias(c), F.col("n").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
 
     def placed(self, df: DataFrame, n: str, block: str) -> DataFrame:
-        """`df` with the block of the vertex in column n; that of a virtual one goes by its hash."""
-        at = F.when(F.col(n) >= 0, F.shiftright(n, RANGE)).otherwise(F.pmod(F.xxhash64(n), F.lit(self.ranges)) + F.lit(1 << 30)).cast("long")
+        """`df` with the block of the vertex in column n; a virtual one is in the range of its vertex."""
+        range_ = F.shiftright(F.expr(f"if({n} >= 0, {n}, (-{n} - 1) div {2 * VIRTUAL})"), RANGE)
+        at = range_ + F.when(F.col(n) >= 0, F.lit(0)).otherwise(F.lit(APART))
         if self.sub is None:
             return df.withColumn(block, at)
         # A row per range that was cut once more; there are no more ranges than the parameter BLOCK makes.
         sub = F.broadcast(self.sub.select(F.col("range").alias("_r"), F.col("parts").alias("_p")))
-        joined = df.withColumn(block, at).join(sub, F.col(block) == F.col("_r"), "left")
-        split = F.when(F.col("_p").isNotNull(), F.col(block) + (F.pmod(F.xxhash64(n), F.col("_p")) + 1) * F.lit(1 << 32)).otherwise(F.col(block))
-        return joined.withColumn(block, split).drop("_r", "_p")
+        joined = df.withColumn("_range", range_).join(sub, F.col("_range") == F.col("_r"), "left")
+        part = F.when(F.col("_p").isNotNull(), F.pmod(F.xxhash64(n), F.col("_p")) + 1).otherwise(F.lit(0))
+        return joined.withColumn(block, at + part * F.lit(PART)).drop("_range", "_r", "_p")
+
+    def task(self, block):
+        """The task of a block, a column or an array: neighbouring ranges share one, parts of a range are spread."""
+        low, part = (block.bitwiseAND(F.lit(APART - 1)), F.shiftright(block, 32)) if isinstance(block, Column) else (block & (APART - 1), block >> 32)
+        at = low * self.tasks / self.ranges
+        return ((F.floor(at) if isinstance(block, Column) else np.floor(at).astype(np.int64)) + part) % self.tasks
 
     def blocks(self, arcs: DataFrame) -> DataFrame:
         """`arcs` with the blocks of both ends as block and tb."""
@@ -103,17 +112,19 @@ def arc_ends(arcs: DataFrame, names: DataFrame) -> DataFrame:
 
 def numbered(edges: DataFrame, vertices: DataFrame | None = None, block: int | None = None) -> Numbered:
     """Numbers for the ends of written edges (src, dst, ...) and for further vertices (id); block:
-    arcs of a block in place of BLOCK, with HOT smaller in proportion."""
+    arcs of a block in place of BLOCK, with HOT smaller in proportion. A task holds no more than
+    about BLOCK arcs; smaller blocks are shared by as many tasks as there are cores, at least."""
     ship(edges.sparkSession)
     size, block = edges.count(), block or BLOCK
     hot = max(2, HOT * block // BLOCK)
     ranges = max(1, -(-size // block))
+    tasks = max(1, -(-size // max(block, BLOCK)), min(ranges, edges.sparkSession.sparkContext.defaultParallelism))
     ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("o0"), F.lit(0).alias("o1")).union(edges.select("src", F.lit(0), F.lit(1)))
     if vertices is not None:
         ends = ends.union(vertices.select("id", F.lit(0), F.lit(0)))
     counted = ends.where("id is not null").groupBy("id").agg(F.sum("o0").alias("o0"), F.sum("o1").alias("o1"))
-    names = cut(counted.repartitionByRange(ranges, "id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n"), "o0", "o1"))
-    found = Numbered(names, edges, ranges, size, block)
+    names = cut(counted.repartitionByRange(ranges, "id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n"), "o0", "o1").coalesce(tasks))
+    found = Numbered(names, edges, ranges, tasks)
     found.arcs = found.numbers(found.numbers(edges.withColumnsRenamed({"src": "s", "dst": "t"}), "s"), "t").withColumn("step", F.lit(1))
     per = names.groupBy(F.shiftright("n", RANGE).alias("range")).agg(F.sum("o1").alias("m"), F.greatest(F.max("o0"), F.max("o1")).alias("d"))
     most, hottest = per.agg(F.max("m"), F.max("d")).first()
@@ -136,18 +147,28 @@ def _split(arcs: DataFrame, end: str, other: str, most: int) -> DataFrame:
     return leaves.unionByName(trunk.select(*leaves.columns))
 
 
-def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, work, schema: str, done: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
-    """(kept rows, done rows, number of kept rows): supersteps of `work` on the arcs and rows of
-    a block until none sends a row.
+def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, state, schema: str, done: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(kept rows, done rows, number of kept rows): supersteps on the arcs and rows of a task,
+    whose blocks are kept as state(rows, arcs), until none sends a row.
 
-    rows have block, kind (0: kept, 1: sent, `done`: not needed any more) and what `schema`
-    says. From the second superstep on the arcs lie partitioned by block.
+    rows have block, kind (0: kept, 1: sent, `done`: not needed any more, 3: kept and not
+    worked on yet) and what `schema` says. From the second superstep on the arcs lie
+    partitioned by task.
     """
-    parts = max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.size // graph.block))
-    placed, pile, first = graph.blocks(arcs), Pile(), True
+    parts = max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), graph.tasks)
+    names, kinds = [c.split()[0] for c in schema.split(", ")], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    target = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+    place = replace(graph, names=None, arcs=None, sub=None)
+
+    def work(arcs: pa.Table, rows: pa.Table) -> pa.Table:
+        tables = [pa.table({c: pa.array(x[c]) for c in names}).cast(target) for x in _worked(place, state, _by_block(arcs), _by_block(rows))]
+        return pa.concat_tables(tables) if tables else target.empty_table()
+
+    in_tasks = lambda df: df.withColumn("task", graph.task(F.col("block"))).groupBy("task")
+    placed, pile, first = graph.blocks(arcs).withColumn("task", graph.task(F.col("block"))), Pile(), True
     while True:
         seen = Observation()
-        out = placed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(work, schema)
+        out = placed.groupBy("task").cogroup(in_tasks(rows)).applyInArrow(work, schema)
         rows = cut(out.observe(seen, F.count_if(F.col("kind") == 0).alias("kept"), F.count_if(F.col("kind") == 1).alias("sent")))
         if done is not None:
             pile.add(rows.where(F.col("kind") == done))
@@ -155,19 +176,80 @@ def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, work, schema:
         if not seen.get["sent"]:
             return rows, pile.all() if done is not None else None, seen.get["kept"]
         if first:
-            placed, first = cut_by(placed, parts, "block"), False
+            placed, first = cut_by(placed, parts, "task"), False
+
+
+def _by_block(t: pa.Table) -> dict[int, dict[str, np.ndarray]]:
+    """The columns of each block's rows."""
+    block = t["block"].to_numpy()
+    order = np.argsort(block, kind="stable")
+    cols = {c: t[c].to_numpy()[order] for c in t.column_names if c != "task"}
+    return _cut_at(cols, cols["block"])
+
+
+def _cut_at(cols: dict[str, np.ndarray], sorted_: np.ndarray) -> dict[int, dict[str, np.ndarray]]:
+    keys, first = np.unique(sorted_, return_index=True)
+    ends = [*first[1:].tolist(), len(sorted_)]
+    return {k: {c: x[i:j] for c, x in cols.items()} for k, i, j in zip(keys.tolist(), first.tolist(), ends)}
+
+
+def _joined(many: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return many[0] if len(many) == 1 else {c: np.concatenate([x[c] for x in many]) for c in many[0]}
+
+
+def _worked(place: Numbered, state, arcs: dict, rows: dict) -> list[dict[str, np.ndarray]]:
+    """What the blocks of a task keep and what they send to other tasks.
+
+    The blocks that got rows are worked on to their end, from low to high ones and back
+    again and again, and so are those of this task that they send rows to.
+    """
+    if not rows:
+        return []
+    none = {c: x[:0] for c, x in next(iter(arcs.values())).items()} if arcs else None
+    empty = {c: x[:0] for c, x in next(iter(rows.values())).items()}
+    here, states, out, away, inbox, kept = int(place.task(np.array(list(rows)[:1]))[0]), {}, [], [], {}, {}
+    for b, own in rows.items():
+        sent = own["kind"] == 1
+        kept[b] = {c: x[~sent] for c, x in own.items()} if sent.any() else own
+        if sent.any():
+            inbox[b] = [{c: x[sent] for c, x in own.items()}]
+        elif (own["kind"] == 3).any():
+            inbox[b] = []
+    order, at, up = (lambda b: (b % APART, b)), (-1, 0), True
+    while inbox:
+        ahead = [b for b in inbox if (order(b) > at) == up]
+        if not ahead:
+            at, up = ((-1, 0), True) if not up else ((1 << 62, 0), False)
+            continue
+        b = (min if up else max)(ahead, key=order)
+        at, sent = order(b), inbox.pop(b)
+        if b not in states:
+            states[b] = state(b, kept.pop(b, empty), arcs.get(b, none))
+        to = states[b].take(_joined(sent) if sent else None)
+        if not len(to["n"]):
+            continue
+        by = np.argsort(to["block"], kind="stable")
+        for tb, x in _cut_at({c: v[by] for c, v in to.items()}, to["block"][by]).items():
+            if place.task(np.array([tb]))[0] == here:
+                inbox.setdefault(tb, []).append(x)
+            else:
+                away.append(x)
+    out = [*kept.values(), *(s.rows() for s in states.values())]
+    if away:
+        out.append(state.merged(_joined(away)))
+    return out
 
 
 class _Block:
     """Arcs that leave the vertices `ids` (sorted) of a block, ordered by source."""
 
-    def __init__(self, ids: np.ndarray, arcs: pa.Table):
+    def __init__(self, ids: np.ndarray, arcs: dict[str, np.ndarray] | None):
         self.ids, n = ids, len(ids)
-        col = lambda c: arcs[c].to_numpy()
-        s = self.at(col("s"))
+        arcs = arcs or dict.fromkeys(("s", "t", "block", "tb", "step", "slot", "w"), np.zeros(0, np.int64))
+        s = self.at(arcs["s"])
         use = np.flatnonzero(s < n)
         use = use[np.argsort(s[use], kind="stable")]
-        self.s, self.arc = s[use], {c: col(c)[use] for c in arcs.column_names if c not in ("s",)}
+        self.s, self.arc = s[use], {c: x[use] for c, x in arcs.items() if c != "s"}
         self.first = np.searchsorted(self.s, np.arange(n + 1))
         inner = self.arc["tb"] == self.arc["block"]
         # Targets: a place in ids, n for a vertex of this block that isn't there, -1 in other blocks.
@@ -193,6 +275,66 @@ def _numbers(t: pa.Table, *columns: str) -> list[np.ndarray]:
     return [t[c].to_numpy() for c in columns]
 
 
+class _Peeling:
+    """The vertices of a block that aren't peeled yet; see peel()."""
+
+    def __init__(self, values: list[str], either: bool):
+        self.values, self.either = values, either
+
+    def __call__(self, block: int, rows: dict, arcs: dict | None) -> _Peeling:
+        new, order = _Peeling(self.values, self.either), np.argsort(rows["n"])
+        new.block, new.b, size = block, _Block(rows["n"][order], arcs), len(order)
+        new.open, new.level = np.stack([rows["o0"][order], rows["o1"][order]]), rows["level"][order]
+        new.sums, new.gone = [rows[v][order] for v in self.values], np.zeros(size, bool)
+        new.front = np.arange(size) if (rows["kind"] == 3).any() else np.zeros(0, np.int64)
+        return new
+
+    def free(self, at: np.ndarray) -> np.ndarray:
+        return ~self.gone[at] & ((self.open[0, at] == 0) | (self.open[1, at] == 0) if self.either else self.open[0, at] == 0)
+
+    def take(self, sent: dict | None) -> dict[str, np.ndarray]:
+        b, open_, lv, away = self.b, self.open, self.level, []
+        front, self.front = self.front, np.zeros(0, np.int64)
+        if sent:
+            to = b.at(sent["n"])
+            use = np.flatnonzero(to < len(b.ids))
+            to = to[use]
+            np.subtract.at(open_[0], to, sent["o0"][use])
+            np.subtract.at(open_[1], to, sent["o1"][use])
+            np.maximum.at(lv, to, sent["level"][use])
+            for total, v in zip(self.sums, self.values):
+                np.add.at(total, to, sent[v][use])
+            front = np.union1d(front, to)
+        front = front[self.free(front)]
+        while len(front):
+            self.gone[front] = True
+            out = b.out_of(front)
+            away.append(out[b.t[out] == -1])
+            out = out[(b.t[out] >= 0) & (b.t[out] < len(b.ids))]
+            s, t = b.s[out], b.t[out]
+            np.subtract.at(open_, (b.arc["slot"][out], t), 1)
+            np.maximum.at(lv, t, (lv[s] + b.arc["step"][out]).astype(lv.dtype))
+            for total in self.sums:
+                np.add.at(total, t, total[s])
+            t = np.unique(t)
+            front = t[self.free(t)]
+        out = np.concatenate(away) if away else np.zeros(0, np.int64)
+        s, slot = b.s[out], b.arc["slot"][out]
+        return self.merged({"block": b.arc["tb"][out], "n": b.arc["t"][out], "o0": slot == 0, "o1": slot == 1, "level": lv[s] + b.arc["step"][out], **{v: total[s] for v, total in zip(self.values, self.sums)}})
+
+    def merged(self, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """What is sent to a vertex, as one row."""
+        to, first, place = np.unique(x["n"], return_index=True, return_inverse=True)
+        add = lambda c: np.bincount(place, x[c], len(to))
+        most = np.zeros(len(to), np.int64)
+        np.maximum.at(most, place, x["level"])
+        return {"block": x["block"][first], "kind": np.ones(len(to), np.int64), "n": to, "o0": add("o0").astype(np.int64), "o1": add("o1").astype(np.int64), "level": most, **{v: add(v) for v in self.values}}
+
+    def rows(self) -> dict[str, np.ndarray]:
+        size = len(self.b.ids)
+        return {"block": np.full(size, self.block), "kind": np.where(self.gone, 2, 0), "n": self.b.ids, "o0": self.open[0], "o1": self.open[1], "level": self.level, **dict(zip(self.values, self.sums))}
+
+
 def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str], either: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """(peeled, left, size of left): peeled (n, level, values) of vertices whose arcs have all been paid.
 
@@ -202,83 +344,38 @@ def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str],
     walked once. left (n): what lies on or behind cycles.
     """
     schema = "block long, kind int, n long, o0 long, o1 long, level int" + "".join(f", {v} double" for v in values)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def work(arcs: pa.Table, rows: pa.Table) -> pa.Table:
-        kind, n, o0, o1, level = _numbers(rows, "kind", "n", "o0", "o1", "level")
-        vals = _numbers(rows, *values)
-        own = np.flatnonzero(kind == 0)
-        own = own[np.argsort(n[own])]
-        b = _Block(n[own], arcs)
-        size = len(own)
-        open_, lv, sums = np.stack([o0[own], o1[own]]), level[own].copy(), [v[own].copy() for v in vals]
-        sent = np.flatnonzero(kind == 1)
-        to = b.at(n[sent])
-        sent, to = sent[to < size], to[to < size]
-        np.subtract.at(open_[0], to, o0[sent])
-        np.subtract.at(open_[1], to, o1[sent])
-        np.maximum.at(lv, to, level[sent])
-        for total, v in zip(sums, vals):
-            np.add.at(total, to, v[sent])
-        free = lambda at: (open_[0, at] == 0) | (open_[1, at] == 0) if either else open_[0, at] == 0
-        gone, away = np.zeros(size, bool), []
-        front = np.flatnonzero(free(np.arange(size)))
-        while len(front):
-            gone[front] = True
-            out = b.out_of(front)
-            away.append(out[b.t[out] == -1])
-            out = out[(b.t[out] >= 0) & (b.t[out] < size)]
-            s, t = b.s[out], b.t[out]
-            np.subtract.at(open_, (b.arc["slot"][out], t), 1)
-            np.maximum.at(lv, t, lv[s] + b.arc["step"][out])
-            for total in sums:
-                np.add.at(total, t, total[s])
-            t = np.unique(t)
-            front = t[~gone[t] & free(t)]
-        away = np.concatenate(away) if away else np.zeros(0, np.int64)
-        to, place = np.unique(b.arc["t"][away], return_inverse=True)
-        blocks, most, paid = np.zeros(len(to), np.int64), np.zeros(len(to), np.int64), np.zeros((2, len(to)), np.int64)
-        blocks[place] = b.arc["tb"][away]
-        np.maximum.at(most, place, lv[b.s[away]] + b.arc["step"][away])
-        np.add.at(paid, (b.arc["slot"][away], place), 1)
-        flow = [np.bincount(place, total[b.s[away]], len(to)) for total in sums]
-        here = rows["block"][0].as_py() if rows.num_rows else 0
-        cells = [
-            np.concatenate([np.full(size, here), blocks]), np.concatenate([np.where(gone, 2, 0), np.ones(len(to), np.int64)]), np.concatenate([b.ids, to]),
-            np.concatenate([open_[0], paid[0]]), np.concatenate([open_[1], paid[1]]), np.concatenate([lv, most]), *[np.concatenate(x) for x in zip(sums, flow)],
-        ]
-        return pa.table({c: pa.array(x) for c, x in zip(names, cells)}).cast(target)
-
-    target = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("o0", pa.int64()), ("o1", pa.int64()), ("level", pa.int32()), *[(v, pa.float64()) for v in values]])
-    rows = graph.placed(starts.withColumn("kind", F.lit(0)).withColumn("level", F.lit(0)), "n", "block")
-    left, gone, size = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows.select(*names), work, schema, done=2)
+    rows = graph.placed(starts.withColumn("kind", F.lit(3)).withColumn("level", F.lit(0)), "n", "block")
+    left, gone, size = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows.select(*[c.split()[0] for c in schema.split(", ")]), _Peeling(values, either), schema, done=2)
     return gone.select("n", "level", *values), left.select("n"), size
 
 
-def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(source, n, d): the least d that reaches a vertex from the starts (source, n, d) of its
-    source, where an arc adds its w of 0 or more."""
-    schema = "block long, kind int, source long, n long, d double"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def work(arcs: pa.Table, rows: pa.Table) -> pa.Table:
-        kind, source, n, d = _numbers(rows, "kind", "source", "n", "d")
-        here = rows["block"][0].as_py() if rows.num_rows else 0
-        # Most blocks get nothing in most supersteps; what they know stays as it is.
-        if not (kind == 1).any():
-            return rows.select(names).cast(target)
-        s, t, tb, home = _numbers(arcs, "s", "t", "tb", "block")
-        b = _Block(np.unique(np.concatenate([s, t[tb == home], n])), arcs)
-        size, at, weight = len(b.ids), b.at(n), b.arc["w"]
-        order = np.argsort(source, kind="stable")
-        bounds = np.flatnonzero(np.diff(source[order], prepend=source[order][0] - 1)).tolist() + [len(order)]
-        parts = []
-        for i, j in zip(bounds, bounds[1:]):
-            own = order[i:j]
-            dist = np.full(size, np.inf)
-            dist[at[own[kind[own] == 0]]] = d[own[kind[own] == 0]]
-            known, new = dist.copy(), own[kind[own] == 1]
-            np.minimum.at(dist, at[new], d[new])
+class _Relaxing:
+    """What is known in a block, as places and distances of each source; see relax()."""
+
+    def __call__(self, block: int, rows: dict, arcs: dict | None) -> _Relaxing:
+        new = _Relaxing()
+        new.block, new.arcs, new.known = block, arcs, {}
+        ends = [arcs["s"], arcs["t"][arcs["tb"] == arcs["block"]]] if arcs else []
+        new.b = _Block(np.unique(np.concatenate([*ends, rows["n"]])), arcs)
+        at, order = new.b.at(rows["n"]), np.argsort(rows["source"], kind="stable")
+        for source, x in _cut_at({"at": at[order], "d": rows["d"][order]}, rows["source"][order]).items():
+            new.known[source] = x["at"], x["d"]
+        return new
+
+    def take(self, sent: dict) -> dict[str, np.ndarray]:
+        if (self.b.at(sent["n"]) == len(self.b.ids)).any():
+            before = self.b.ids
+            self.b = _Block(np.union1d(before, sent["n"]), self.arcs)
+            moved = self.b.at(before)
+            self.known = {source: (moved[at], d) for source, (at, d) in self.known.items()}
+        b, order, away = self.b, np.argsort(sent["source"], kind="stable"), []
+        weight = b.arc["w"]
+        for source, x in _cut_at({"at": b.at(sent["n"])[order], "d": sent["d"][order]}, sent["source"][order]).items():
+            dist = np.full(len(b.ids), np.inf)
+            if source in self.known:
+                dist[self.known[source][0]] = self.known[source][1]
+            known = dist.copy()
+            np.minimum.at(dist, x["at"], x["d"])
             front = np.flatnonzero(dist < known)
             while len(front):
                 out = b.out_of(front)
@@ -286,22 +383,34 @@ def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
                 before = dist[b.t[out]]
                 np.minimum.at(dist, b.t[out], dist[b.s[out]] + weight[out])
                 front = np.unique(b.t[out][dist[b.t[out]] < before])
-            better = np.flatnonzero(dist < known)
-            out = b.out_of(better)
+            out = b.out_of(np.flatnonzero(dist < known))
             out = out[b.t[out] == -1]
-            to, place = np.unique(b.arc["t"][out], return_inverse=True)
-            best, blocks = np.full(len(to), np.inf), np.zeros(len(to), np.int64)
-            np.minimum.at(best, place, dist[b.s[out]] + weight[out])
-            blocks[place] = b.arc["tb"][out]
+            away.append({"block": b.arc["tb"][out], "source": np.full(len(out), source), "n": b.arc["t"][out], "d": dist[b.s[out]] + weight[out]})
             have = np.flatnonzero(np.isfinite(dist))
-            key = source[own[0]]
-            parts.append((np.full(len(have), here), np.zeros(len(have), np.int64), np.full(len(have), key), b.ids[have], dist[have]))
-            parts.append((blocks, np.ones(len(to), np.int64), np.full(len(to), key), to, best))
-        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(names, zip(*parts))}).cast(target)
-
-    target = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("source", pa.int64()), ("n", pa.int64()), ("d", pa.float64())])
-    rows = graph.placed(starts.withColumn("kind", F.lit(1)), "n", "block").select(*names)
-    kept, _, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), rows, work, schema)
+            self.known[source] = have, dist[have]
+        return self.merged(_joined(away))
+
+    @staticmethod
+    def merged(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """What is sent to a vertex from a source, as one row."""
+        order = np.lexsort((x["d"], x["n"], x["source"]))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(x["source"][order]) != 0) | (np.diff(x["n"][order]) != 0)
+        order = order[new]
+        return {"kind": np.ones(len(order), np.int64), **{c: v[order] for c, v in x.items() if c != "kind"}}
+
+    def rows(self) -> dict[str, np.ndarray]:
+        parts = [(np.full(len(at), source), self.b.ids[at], d) for source, (at, d) in self.known.items()]
+        source, n, d = (np.concatenate(x) for x in zip(*parts))
+        return {"block": np.full(len(n), self.block), "kind": np.zeros(len(n), np.int64), "source": source, "n": n, "d": d}
+
+
+def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(source, n, d): the least d that reaches a vertex from the starts (source, n, d) of its
+    source, where an arc adds its w of 0 or more."""
+    schema = "block long, kind int, source long, n long, d double"
+    rows = graph.placed(starts.withColumn("kind", F.lit(1)), "n", "block").select(*[c.split()[0] for c in schema.split(", ")])
+    kept, _, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), rows, _Relaxing(), schema)
     return kept.select("source", "n", "d")
 
 

@@ -180,3 +180,24 @@ def test_clean_drops_cycles_dangling_and_small_components(spark, both_ways):
     pairs = [("W1", "W3"), ("W1", "M"), ("W2", "W3"), ("W4", "M2"), ("C1", "C2"), ("C2", "C1")]
     v, e = G.clean(*graph(spark, pairs))
     assert ids(v, "id") == ["W1", "W2", "W3"] and ids(e, "src", "dst") == [("W1", "W3"), ("W2", "W3")]
+
+
+@pytest.fixture
+def steps(monkeypatch):
+    """The frames written within blocks.py, one or two in each superstep."""
+    from canopy.operators import blocks
+
+    seen, cut = [], blocks.cut
+    monkeypatch.setattr("canopy.operators.blocks.cut", lambda df: seen.append(1) or cut(df))
+    return seen
+
+
+def chain(n):
+    return [(f"v{i:03}", f"v{i + 1:03}") for i in range(n)]
+
+
+def test_levels_over_small_blocks_take_steps_by_tasks(spark, steps):
+    got = ids(G.topological_levels(*graph(spark, chain(60)), block=2), "id", "level")
+    assert got == [(f"v{i:03}", i) for i in range(61)]
+    # 30 blocks in 4 tasks.
+    assert len(steps) < 16
