@@ -201,3 +201,10 @@ def test_levels_over_small_blocks_take_steps_by_tasks(spark, steps):
     assert got == [(f"v{i:03}", i) for i in range(61)]
     # 30 blocks in 4 tasks.
     assert len(steps) < 16
+
+
+def test_cycles_over_small_blocks_take_steps_by_tasks(spark, steps):
+    pairs = [*chain(60), ("v060", "v000"), ("v060", "w1"), ("w1", "w2"), ("w2", "w3")]
+    assert ids(G.strong_components(edges(spark, pairs), block=2), "id", "component") == [(f"v{i:03}", "v060") for i in range(61)]
+    # 32 blocks in 4 tasks, walked for the trim, the colours, the way back and the rest.
+    assert len(steps) < 50
