@@ -65,3 +65,15 @@ def test_against_path_enumeration(spark, both_ways, seed):
     for x in out:
         category = "root" if x in roots else "leaf" if x in leaves else "trunk" if sap[x] > 0 else ""
         assert got[x] == (category, roots.get(x, 0.0), sap[x] if category == "trunk" else 0.0, leaves.get(x, 0.0))
+
+
+def test_small_blocks_take_steps_by_tasks(spark, monkeypatch):
+    from canopy.operators import blocks
+
+    seen, cut = [], blocks.cut
+    monkeypatch.setattr("canopy.operators.blocks.cut", lambda df: seen.append(1) or cut(df))
+    pairs = [(f"v{i:03}", f"v{i + k:03}") for i in range(60) for k in (1, 2) if i + k < 60]
+    got, many = nodes(run(spark, pairs, block=4)), len(seen)
+    assert got == nodes(run(spark, pairs))
+    # 30 blocks in 4 tasks, walked there and back.
+    assert many < 32
