@@ -1,16 +1,16 @@
 """Iterations over graphs that are cut into blocks of vertices.
 
 Vertices are numbered in the order of their ids and cut into ranges; a block holds a range
-and the arcs that leave it. In a superstep every block is worked on to its end by one task
-in numpy, and what crosses blocks is added up per target and shuffled to the next
-superstep. So a path costs a superstep only where it changes blocks, and where ids follow
-time, as those of catalogues do, citations change blocks rarely. A block has about BLOCK
-arcs: vertices with more than HOT arcs become trees of virtual vertices with negative
-numbers, and ranges of too many arcs are cut once more. The number of blocks follows the
-size of the graph; there is no other way for small or large graphs. Where blocks are
-smaller than BLOCK, a task holds neighbouring ones of BLOCK arcs together and works on them
-in turns, so rows from one to another of them need no superstep. Rows between supersteps lie
-in the checkpoint folder.
+and the arcs that leave it. A task holds neighbouring blocks. In a superstep every task
+works on what it holds to its end in numpy, and what crosses tasks is added up per target
+and shuffled to the next superstep. So a path costs a superstep only where it changes
+tasks, and where ids follow time, as those of catalogues do, citations change them rarely.
+A block has about BLOCK arcs: vertices with more than HOT arcs become trees of virtual
+vertices with negative numbers, and ranges of too many arcs are cut once more. The number
+of blocks follows the size of the graph; there is no other way for small or large graphs.
+Where arcs are done with on the way, what is left is shared again by as few tasks as hold
+BLOCK arcs each, so the last BLOCK arcs of any graph are one task's. Rows between
+supersteps lie in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from canopy.session import cut, cut_by, ship
 
 #: Parameters: arcs of a block, and arcs of a vertex beyond which it is split.
 BLOCK, HOT = 250_000, 50_000
-#: Vertices of a range have numbers from range << RANGE on; virtual ones of a vertex;
-#: blocks of virtual vertices have numbers from APART on, parts of a range that is cut once more from PART on.
-RANGE, VIRTUAL, APART, PART = 33, 4096, 1 << 30, 1 << 32
+#: Vertices of a range have numbers from range << RANGE on; virtual ones of a vertex.
+RANGE, VIRTUAL = 33, 4096
 #: Parameter: frames that a pile holds before they are written as one.
 PILE = 16
 
@@ -53,7 +52,8 @@ class Pile:
 class Numbered:
     """names (id, n, o0, o1: arcs that end and start there) in `ranges` ranges; arcs (s, t, step, ...),
     of which those within a split vertex have step 0; sub: the ranges that were cut once more;
-    tasks: how many tasks share the blocks; split: whether there are virtual vertices."""
+    tasks: how many tasks share the blocks; split: whether there are virtual vertices;
+    shares: the task of each range, where they aren't shared evenly."""
 
     names: DataFrame
     arcs: DataFrame
@@ -61,6 +61,7 @@ class Numbered:
     tasks: int
     sub: DataFrame | None = None
     split: bool = False
+    shares: tuple[int, ...] = ()
 
     def turned(self) -> Numbered:
         """The graph with every arc in the other direction."""
@@ -81,27 +82,39 @@ class Numbered:
     def numbers(self, df: DataFrame, c: str) -> DataFrame:
         return df.join(self.names.select(F.col("id").alias(c), F.col("n").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
 
-    def placed(self, df: DataFrame, n: str, block: str) -> DataFrame:
-        """`df` with the block of the vertex in column n; a virtual one is in the range of its vertex."""
-        range_ = F.shiftright(F.expr(f"if({n} >= 0, {n}, (-{n} - 1) div {2 * VIRTUAL})"), RANGE)
-        at = range_ + F.when(F.col(n) >= 0, F.lit(0)).otherwise(F.lit(APART))
+    @staticmethod
+    def range_of(n: str) -> Column:
+        """The range of the vertex in column n; a virtual one is in the range of its vertex."""
+        return F.shiftright(F.expr(f"if({n} >= 0, {n}, (-{n} - 1) div {2 * VIRTUAL})"), RANGE)
+
+    def placed(self, df: DataFrame, n: str, task: str) -> DataFrame:
+        """`df` with the task of the vertex in column n: neighbouring ranges share one, parts of a range are spread."""
+        range_ = self.range_of(n)
+        if self.shares:
+            at = F.get(F.split(F.lit(" ".join(map(str, self.shares))), " "), range_.cast("int")).cast("long")
+        else:
+            at = F.floor(range_ * self.tasks / self.ranges)
         if self.sub is None:
-            return df.withColumn(block, at)
+            return df.withColumn(task, at)
         # A row per range that was cut once more; there are no more ranges than the parameter BLOCK makes.
         sub = F.broadcast(self.sub.select(F.col("range").alias("_r"), F.col("parts").alias("_p")))
-        joined = df.withColumn("_range", range_).join(sub, F.col("_range") == F.col("_r"), "left")
+        joined = df.withColumn("_range", range_).withColumn(task, at).join(sub, F.col("_range") == F.col("_r"), "left")
         part = F.when(F.col("_p").isNotNull(), F.pmod(F.xxhash64(n), F.col("_p")) + 1).otherwise(F.lit(0))
-        return joined.withColumn(block, at + part * F.lit(PART)).drop("_range", "_r", "_p")
+        return joined.withColumn(task, (F.col(task) + part) % self.tasks).drop("_range", "_r", "_p")
 
-    def task(self, block):
-        """The task of a block, a column or an array: neighbouring ranges share one, parts of a range are spread."""
-        low, part = (block.bitwiseAND(F.lit(APART - 1)), F.shiftright(block, 32)) if isinstance(block, Column) else (block & (APART - 1), block >> 32)
-        at = low * self.tasks / self.ranges
-        return ((F.floor(at) if isinstance(block, Column) else np.floor(at).astype(np.int64)) + part) % self.tasks
+    def ended(self, arcs: DataFrame) -> DataFrame:
+        """`arcs` with the tasks of both ends as task and tt."""
+        return self.placed(self.placed(arcs, "s", "task"), "t", "tt")
 
-    def blocks(self, arcs: DataFrame) -> DataFrame:
-        """`arcs` with the blocks of both ends as block and tb."""
-        return self.placed(self.placed(arcs, "s", "block"), "t", "tb")
+    def shared(self, left: DataFrame) -> Numbered:
+        """The graph in as few tasks as hold BLOCK arcs each of those that are left, m at the vertices n."""
+        # A row per range, as above.
+        per, many = left.groupBy(self.range_of("n").alias("range")).agg(F.sum("m").alias("m")).collect(), np.zeros(self.ranges)
+        for r in per:
+            many[r["range"]] = r["m"]
+        tasks = max(1, -(-int(many.sum()) // BLOCK))
+        at = (np.cumsum(many) - many / 2) * tasks // max(many.sum(), 1)
+        return replace(self, tasks=tasks, shares=tuple(np.minimum(at, tasks - 1).astype(int).tolist()))
 
 
 def arc_ends(arcs: DataFrame, names: DataFrame) -> DataFrame:
@@ -147,44 +160,48 @@ def _split(arcs: DataFrame, end: str, other: str, most: int) -> DataFrame:
     return leaves.unionByName(trunk.select(*leaves.columns))
 
 
-def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, state, schema: str, done: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+def _supersteps(graph: Numbered, arcs: DataFrame, rows: DataFrame, state, schema: str, done: int | None = None, left: str | None = None, enough: int = -1) -> tuple[DataFrame, DataFrame | None, int]:
     """(kept rows, done rows, number of kept rows): supersteps on the arcs and rows of a task,
-    whose blocks are kept as state(rows, arcs), until none sends a row.
+    which are kept as state(task, rows, arcs), until none sends a row.
 
-    rows have block, kind (0: kept, 1: sent, `done`: not needed any more, 3: kept and not
-    worked on yet) and what `schema` says. From the second superstep on the arcs lie
-    partitioned by task.
+    rows have kind (0: kept, 1: sent, `done`: not needed any more, 3: kept and not worked on
+    yet) and what `schema` says but the task. From the second superstep on the arcs lie
+    partitioned by task. left: how many arcs a kept row has that are still needed, those of
+    other rows being done with; as they become fewer, so do tasks, and with `enough` of them
+    or fewer it ends.
     """
     parts = max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), graph.tasks)
     names, kinds = [c.split()[0] for c in schema.split(", ")], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     target = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    place = replace(graph, names=None, arcs=None, sub=None)
 
     def work(arcs: pa.Table, rows: pa.Table) -> pa.Table:
-        tables = [pa.table({c: pa.array(x[c]) for c in names}).cast(target) for x in _worked(place, state, _by_block(arcs), _by_block(rows))]
+        tables = [pa.table({c: pa.array(x[c]) for c in names}).cast(target) for x in _worked(state, _columns(arcs), _columns(rows))]
         return pa.concat_tables(tables) if tables else target.empty_table()
 
-    in_tasks = lambda df: df.withColumn("task", graph.task(F.col("block"))).groupBy("task")
-    placed, pile, first = graph.blocks(arcs).withColumn("task", graph.task(F.col("block"))), Pile(), True
+    open_ = F.sum(F.expr(f"if(kind = 0, {left}, 0)")) if left else F.sum(F.lit(0))
+    placed, rows, pile, held = graph.ended(arcs), graph.placed(rows, "n", "task").select(*names), Pile(), None
     while True:
         seen = Observation()
-        out = placed.groupBy("task").cogroup(in_tasks(rows)).applyInArrow(work, schema)
-        rows = cut(out.observe(seen, F.count_if(F.col("kind") == 0).alias("kept"), F.count_if(F.col("kind") == 1).alias("sent")))
+        out = placed.groupBy("task").cogroup(rows.groupBy("task")).applyInArrow(work, schema)
+        rows = cut(out.observe(seen, F.count_if(F.col("kind") == 0).alias("kept"), F.count_if(F.col("kind") == 1).alias("sent"), open_.alias("open")))
         if done is not None:
             pile.add(rows.where(F.col("kind") == done))
             rows = rows.where(F.col("kind") != done)
-        if not seen.get["sent"]:
-            return rows, pile.all() if done is not None else None, seen.get["kept"]
-        if first:
-            placed, first = cut_by(placed, parts, "task"), False
+        still = seen.get["open"] or 0
+        if not seen.get["sent"] or left and still <= enough:
+            return rows.where("kind = 0"), pile.all() if done is not None else None, seen.get["kept"]
+        if left and (held is None or 2 * still <= held):
+            kept = rows.where("kind = 0")
+            graph = graph.shared(kept.select("n", F.expr(left).alias("m")))
+            placed = graph.ended(placed.drop("task", "tt").join(kept.select(F.col("n").alias("s")), "s", "left_semi"))
+            rows = graph.placed(rows.drop("task"), "n", "task").select(*names)
+            placed, held = cut_by(placed, parts, "task"), still
+        elif held is None:
+            placed, held = cut_by(placed, parts, "task"), still
 
 
-def _by_block(t: pa.Table) -> dict[int, dict[str, np.ndarray]]:
-    """The columns of each block's rows."""
-    block = t["block"].to_numpy()
-    order = np.argsort(block, kind="stable")
-    cols = {c: t[c].to_numpy()[order] for c in t.column_names if c != "task"}
-    return _cut_at(cols, cols["block"])
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: t[c].to_numpy() for c in t.column_names}
 
 
 def _cut_at(cols: dict[str, np.ndarray], sorted_: np.ndarray) -> dict[int, dict[str, np.ndarray]]:
@@ -197,62 +214,28 @@ def _joined(many: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return many[0] if len(many) == 1 else {c: np.concatenate([x[c] for x in many]) for c in many[0]}
 
 
-def _worked(place: Numbered, state, arcs: dict, rows: dict) -> list[dict[str, np.ndarray]]:
-    """What the blocks of a task keep and what they send to other tasks.
-
-    The blocks that got rows are worked on to their end, from low to high ones and back
-    again and again, and so are those of this task that they send rows to.
-    """
-    if not rows:
-        return []
-    none = {c: x[:0] for c, x in next(iter(arcs.values())).items()} if arcs else None
-    empty = {c: x[:0] for c, x in next(iter(rows.values())).items()}
-    here, states, out, away, inbox, kept = int(place.task(np.array(list(rows)[:1]))[0]), {}, [], [], {}, {}
-    for b, own in rows.items():
-        sent = own["kind"] == 1
-        kept[b] = {c: x[~sent] for c, x in own.items()} if sent.any() else own
-        if sent.any():
-            inbox[b] = [{c: x[sent] for c, x in own.items()}]
-        elif (own["kind"] == 3).any():
-            inbox[b] = []
-    order, at, up = (lambda b: (b % APART, b)), (-1, 0), True
-    while inbox:
-        ahead = [b for b in inbox if (order(b) > at) == up]
-        if not ahead:
-            at, up = ((-1, 0), True) if not up else ((1 << 62, 0), False)
-            continue
-        b = (min if up else max)(ahead, key=order)
-        at, sent = order(b), inbox.pop(b)
-        if b not in states:
-            states[b] = state(b, kept.pop(b, empty), arcs.get(b, none))
-        to = states[b].take(_joined(sent) if sent else None)
-        if not len(to["n"]):
-            continue
-        by = np.argsort(to["block"], kind="stable")
-        for tb, x in _cut_at({c: v[by] for c, v in to.items()}, to["block"][by]).items():
-            if place.task(np.array([tb]))[0] == here:
-                inbox.setdefault(tb, []).append(x)
-            else:
-                away.append(x)
-    out = [*kept.values(), *(s.rows() for s in states.values())]
-    if away:
-        out.append(state.merged(_joined(away)))
-    return out
+def _worked(state, arcs: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """What a task keeps and what it sends to other tasks; without news it keeps its rows as they are."""
+    sent = rows["kind"] == 1
+    if not sent.any() and not (rows["kind"] == 3).any():
+        return [rows] if len(sent) else []
+    here = state(int(rows["task"][0]), {c: x[~sent] for c, x in rows.items()}, arcs)
+    to = here.take({c: x[sent] for c, x in rows.items()} if sent.any() else None)
+    return [here.rows(), to]
 
 
 class _Block:
-    """Arcs that leave the vertices `ids` (sorted) of a block, ordered by source."""
+    """Arcs that leave the vertices `ids` (sorted) of a task, ordered by source."""
 
-    def __init__(self, ids: np.ndarray, arcs: dict[str, np.ndarray] | None):
+    def __init__(self, ids: np.ndarray, arcs: dict[str, np.ndarray]):
         self.ids, n = ids, len(ids)
-        arcs = arcs or dict.fromkeys(("s", "t", "block", "tb", "step", "slot", "w"), np.zeros(0, np.int64))
         s = self.at(arcs["s"])
         use = np.flatnonzero(s < n)
         use = use[np.argsort(s[use], kind="stable")]
         self.s, self.arc = s[use], {c: x[use] for c, x in arcs.items() if c != "s"}
         self.first = np.searchsorted(self.s, np.arange(n + 1))
-        inner = self.arc["tb"] == self.arc["block"]
-        # Targets: a place in ids, n for a vertex of this block that isn't there, -1 in other blocks.
+        inner = self.arc["tt"] == self.arc["task"]
+        # Targets: a place in ids, n for a vertex of this task that isn't there, -1 in other tasks.
         self.t = np.where(inner, self.at(self.arc["t"]), -1)
 
     def at(self, numbers: np.ndarray) -> np.ndarray:
@@ -276,14 +259,14 @@ def _numbers(t: pa.Table, *columns: str) -> list[np.ndarray]:
 
 
 class _Peeling:
-    """The vertices of a block that aren't peeled yet; see peel()."""
+    """The vertices of a task that aren't peeled yet; see peel()."""
 
     def __init__(self, values: list[str], either: bool):
         self.values, self.either = values, either
 
-    def __call__(self, block: int, rows: dict, arcs: dict | None) -> _Peeling:
+    def __call__(self, task: int, rows: dict, arcs: dict) -> _Peeling:
         new, order = _Peeling(self.values, self.either), np.argsort(rows["n"])
-        new.block, new.b, size = block, _Block(rows["n"][order], arcs), len(order)
+        new.task, new.b, size = task, _Block(rows["n"][order], arcs), len(order)
         new.open, new.level = np.stack([rows["o0"][order], rows["o1"][order]]), rows["level"][order]
         new.sums, new.gone = [rows[v][order] for v in self.values], np.zeros(size, bool)
         new.front = np.arange(size) if (rows["kind"] == 3).any() else np.zeros(0, np.int64)
@@ -320,7 +303,7 @@ class _Peeling:
             front = t[self.free(t)]
         out = np.concatenate(away) if away else np.zeros(0, np.int64)
         s, slot = b.s[out], b.arc["slot"][out]
-        return self.merged({"block": b.arc["tb"][out], "n": b.arc["t"][out], "o0": slot == 0, "o1": slot == 1, "level": lv[s] + b.arc["step"][out], **{v: total[s] for v, total in zip(self.values, self.sums)}})
+        return self.merged({"task": b.arc["tt"][out], "n": b.arc["t"][out], "o0": slot == 0, "o1": slot == 1, "level": lv[s] + b.arc["step"][out], **{v: total[s] for v, total in zip(self.values, self.sums)}})
 
     def merged(self, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """What is sent to a vertex, as one row."""
@@ -328,34 +311,36 @@ class _Peeling:
         add = lambda c: np.bincount(place, x[c], len(to))
         most = np.zeros(len(to), np.int64)
         np.maximum.at(most, place, x["level"])
-        return {"block": x["block"][first], "kind": np.ones(len(to), np.int64), "n": to, "o0": add("o0").astype(np.int64), "o1": add("o1").astype(np.int64), "level": most, **{v: add(v) for v in self.values}}
+        return {"task": x["task"][first], "kind": np.ones(len(to), np.int64), "n": to, "o0": add("o0").astype(np.int64), "o1": add("o1").astype(np.int64), "level": most, **{v: add(v) for v in self.values}}
 
     def rows(self) -> dict[str, np.ndarray]:
         size = len(self.b.ids)
-        return {"block": np.full(size, self.block), "kind": np.where(self.gone, 2, 0), "n": self.b.ids, "o0": self.open[0], "o1": self.open[1], "level": self.level, **dict(zip(self.values, self.sums))}
+        return {"task": np.full(size, self.task), "kind": np.where(self.gone, 2, 0), "n": self.b.ids, "o0": self.open[0], "o1": self.open[1], "level": self.level, **dict(zip(self.values, self.sums))}
 
 
-def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str], either: bool = False) -> tuple[DataFrame, DataFrame, int]:
+def peel(graph: Numbered, arcs: DataFrame, starts: DataFrame, values: list[str], either: bool = False, enough: int = -1) -> tuple[DataFrame, DataFrame, int]:
     """(peeled, left, size of left): peeled (n, level, values) of vertices whose arcs have all been paid.
 
     starts: n, o0, o1 and values. A vertex is free when its count o0 of open arcs is zero
     (either: or o1 is); it then pays what it points at by one in the arc's slot, raises
     their level to its own and the arc's step, and adds its values to theirs. Each arc is
-    walked once. left (n): what lies on or behind cycles.
+    walked once. left (n): what lies on or behind cycles. enough: with so many open arcs it
+    ends early, and left has what would have been peeled later.
     """
-    schema = "block long, kind int, n long, o0 long, o1 long, level int" + "".join(f", {v} double" for v in values)
-    rows = graph.placed(starts.withColumn("kind", F.lit(3)).withColumn("level", F.lit(0)), "n", "block")
-    left, gone, size = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows.select(*[c.split()[0] for c in schema.split(", ")]), _Peeling(values, either), schema, done=2)
+    schema = "task long, kind int, n long, o0 long, o1 long, level int" + "".join(f", {v} double" for v in values)
+    rows = starts.withColumn("kind", F.lit(3)).withColumn("level", F.lit(0))
+    open_ = "(o0 + o1) / 2" if either else "o1"
+    left, gone, size = _supersteps(graph, arcs.select("s", "t", "step", "slot"), rows, _Peeling(values, either), schema, 2, open_, enough)
     return gone.select("n", "level", *values), left.select("n"), size
 
 
 class _Relaxing:
-    """What is known in a block, as places and distances of each source; see relax()."""
+    """What is known in a task, as places and distances of each source; see relax()."""
 
-    def __call__(self, block: int, rows: dict, arcs: dict | None) -> _Relaxing:
+    def __call__(self, task: int, rows: dict, arcs: dict) -> _Relaxing:
         new = _Relaxing()
-        new.block, new.arcs, new.known = block, arcs, {}
-        ends = [arcs["s"], arcs["t"][arcs["tb"] == arcs["block"]]] if arcs else []
+        new.task, new.arcs, new.known = task, arcs, {}
+        ends = [arcs["s"], arcs["t"][arcs["tt"] == arcs["task"]]]
         new.b = _Block(np.unique(np.concatenate([*ends, rows["n"]])), arcs)
         at, order = new.b.at(rows["n"]), np.argsort(rows["source"], kind="stable")
         for source, x in _cut_at({"at": at[order], "d": rows["d"][order]}, rows["source"][order]).items():
@@ -385,7 +370,7 @@ class _Relaxing:
                 front = np.unique(b.t[out][dist[b.t[out]] < before])
             out = b.out_of(np.flatnonzero(dist < known))
             out = out[b.t[out] == -1]
-            away.append({"block": b.arc["tb"][out], "source": np.full(len(out), source), "n": b.arc["t"][out], "d": dist[b.s[out]] + weight[out]})
+            away.append({"task": b.arc["tt"][out], "source": np.full(len(out), source), "n": b.arc["t"][out], "d": dist[b.s[out]] + weight[out]})
             have = np.flatnonzero(np.isfinite(dist))
             self.known[source] = have, dist[have]
         return self.merged(_joined(away))
@@ -402,15 +387,14 @@ class _Relaxing:
     def rows(self) -> dict[str, np.ndarray]:
         parts = [(np.full(len(at), source), self.b.ids[at], d) for source, (at, d) in self.known.items()]
         source, n, d = (np.concatenate(x) for x in zip(*parts))
-        return {"block": np.full(len(n), self.block), "kind": np.zeros(len(n), np.int64), "source": source, "n": n, "d": d}
+        return {"task": np.full(len(n), self.task), "kind": np.zeros(len(n), np.int64), "source": source, "n": n, "d": d}
 
 
 def relax(graph: Numbered, arcs: DataFrame, starts: DataFrame) -> DataFrame:
     """(source, n, d): the least d that reaches a vertex from the starts (source, n, d) of its
     source, where an arc adds its w of 0 or more."""
-    schema = "block long, kind int, source long, n long, d double"
-    rows = graph.placed(starts.withColumn("kind", F.lit(1)), "n", "block").select(*[c.split()[0] for c in schema.split(", ")])
-    kept, _, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), rows, _Relaxing(), schema)
+    schema = "task long, kind int, source long, n long, d double"
+    kept, _, _ = _supersteps(graph, arcs.select("s", "t", F.col("w").cast("double").alias("w")), starts.withColumn("kind", F.lit(1)), _Relaxing(), schema)
     return kept.select("source", "n", "d")
 
 
@@ -428,7 +412,7 @@ def _cycles(s: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     order = np.argsort(s, kind="stable")
     first, targets = np.searchsorted(s[order], np.arange(size + 1)).tolist(), t[order].tolist()
     # One search in depth; low is the earliest vertex on the stack that a vertex leads back to.
-    seen, low, stack, on = {}, {}, [], set()
+    seen, low, stack, on = {}, {}, [], {}
     members, largest = [], []
     for root in np.unique(s).tolist():
         if root in seen:
@@ -438,8 +422,8 @@ def _cycles(s: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
             v, i = path.pop()
             if v not in seen:
                 seen[v] = low[v] = len(seen)
+                on[v] = len(stack)
                 stack.append(v)
-                on.add(v)
             elif i > first[v] and targets[i - 1] in on:
                 low[v] = min(low[v], low[targets[i - 1]])
             while i < first[v + 1]:
@@ -452,28 +436,46 @@ def _cycles(s: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
                     low[v] = min(low[v], seen[u])
             else:
                 if low[v] == seen[v]:
-                    at = stack.index(v) if stack[-1] != v else len(stack) - 1
-                    own = stack[at:]
-                    del stack[at:]
-                    on.difference_update(own)
+                    own = stack[on[v] :]
+                    del stack[on[v] :]
+                    for u in own:
+                        del on[u]
                     if len(own) > 1:
                         members += own
                         largest += [max(own)] * len(own)
     return np.array(members, np.int64), np.array(largest, np.int64)
 
 
+def _named_cycles(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _cycles() of arcs between any numbers."""
+    ids, codes = np.unique(np.concatenate([s, t]), return_inverse=True)
+    members, largest = _cycles(codes[: len(s)], codes[len(s) :], len(ids))
+    return ids[members], ids[largest]
+
+
 def inner_components(graph: Numbered, arcs: DataFrame) -> tuple[DataFrame, int]:
-    """((n, c), crossing): strong components of two or more within each block, called by their
-    largest vertex, and the number of arcs between blocks."""
+    """((n, c), crossing): strong components of two or more within each task, called by their
+    largest vertex, and the number of arcs between tasks."""
 
     def work(arcs: pa.Table) -> pa.Table:
-        s, t, block, tb = _numbers(arcs, "s", "t", "block", "tb")
-        inner = block == tb
-        ids, codes = np.unique(np.concatenate([s[inner], t[inner]]), return_inverse=True)
-        members, largest = _cycles(codes[: inner.sum()], codes[inner.sum() :], len(ids))
-        return pa.table({"n": pa.array(ids[members], pa.int64()), "c": pa.array(ids[largest], pa.int64())})
+        s, t, task, tt = _numbers(arcs, "s", "t", "task", "tt")
+        members, largest = _named_cycles(s[task == tt], t[task == tt])
+        return pa.table({"n": pa.array(members, pa.int64()), "c": pa.array(largest, pa.int64())})
 
     seen = Observation()
-    placed = graph.blocks(arcs.select("s", "t")).observe(seen, F.count_if(F.col("block") != F.col("tb")).alias("crossing"))
-    found = cut(placed.groupBy("block").applyInArrow(work, "n long, c long"))
+    placed = graph.ended(arcs.select("s", "t")).observe(seen, F.count_if(F.col("task") != F.col("tt")).alias("crossing"))
+    found = cut(placed.groupBy("task").applyInArrow(work, "n long, c long"))
     return found, seen.get["crossing"]
+
+
+def whole_components(arcs: DataFrame) -> DataFrame:
+    """(n, c): strong components of two or more vertices that aren't virtual, of no more than BLOCK arcs in one task."""
+
+    def work(arcs: pa.Table) -> pa.Table:
+        members, largest = _named_cycles(*_numbers(arcs, "s", "t"))
+        members, largest = members[members >= 0], largest[members >= 0]
+        _, at, many = np.unique(largest, return_inverse=True, return_counts=True)
+        use = many[at] > 1
+        return pa.table({"n": pa.array(members[use], pa.int64()), "c": pa.array(largest[use], pa.int64())})
+
+    return cut(arcs.select("s", "t").groupBy().applyInArrow(work, "n long, c long"))

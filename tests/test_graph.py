@@ -208,3 +208,15 @@ def test_cycles_over_small_blocks_take_steps_by_tasks(spark, steps):
     assert ids(G.strong_components(edges(spark, pairs), block=2), "id", "component") == [(f"v{i:03}", "v060") for i in range(61)]
     # 32 blocks in 4 tasks, walked for the trim, the colours, the way back and the rest.
     assert len(steps) < 50
+
+
+def test_levels_finish_in_fewer_tasks_as_arcs_are_done(spark, monkeypatch):
+    monkeypatch.setattr("canopy.operators.blocks.BLOCK", 40)
+    rnd = random.Random(5)
+    pairs = sorted({tuple(sorted(rnd.sample(range(100), 2))) for _ in range(300)})
+    want = dict.fromkeys(range(100), 0)
+    for a, b in pairs:
+        want[b] = max(want[b], want[a] + 1)
+    named = [(f"v{a:03}", f"v{b:03}") for a, b in pairs]
+    at = {n: level for n, level in want.items() if any(n in p for p in pairs)}
+    assert ids(G.topological_levels(*graph(spark, named), block=5), "id", "level") == sorted((f"v{n:03}", level) for n, level in at.items())

@@ -77,3 +77,16 @@ def test_small_blocks_take_steps_by_tasks(spark, monkeypatch):
     assert got == nodes(run(spark, pairs))
     # 30 blocks in 4 tasks, walked there and back.
     assert many < 32
+
+
+def test_scores_finish_in_one_task_once_the_rest_fits_one(spark, monkeypatch):
+    from canopy.operators import blocks
+
+    seen, cut = [], blocks.cut
+    monkeypatch.setattr("canopy.operators.blocks.cut", lambda df: seen.append(1) or cut(df))
+    # Ways change tasks again and again: ids don't follow the order.
+    pairs = [(f"v{i * 7 % 60:03}", f"v{(i + k) * 7 % 60:03}") for i in range(60) for k in (1, 2) if i + k < 60]
+    got, many = nodes(run(spark, pairs, block=4)), len(seen)
+    assert got == nodes(run(spark, pairs))
+    # Numbering, and two supersteps in either direction.
+    assert many < 14
