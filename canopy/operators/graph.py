@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.blocks import Numbered, Pile, arc_ends, inner_components, numbered, peel, relax
+from canopy.operators import blocks
+from canopy.operators.blocks import Numbered, Pile, arc_ends, inner_components, numbered, peel, relax, whole_components
 from canopy.operators.components import connected_components
 from canopy.session import cut
 
@@ -68,20 +69,21 @@ def remove_dangling(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
 
 
 def _trim(graph: Numbered, arcs: DataFrame) -> DataFrame:
-    """The arcs on or between cycles: vertices without in-arcs or without out-arcs go, again and again."""
+    """The arcs on or between cycles: vertices without in-arcs or without out-arcs go, again and
+    again, until one task can hold the arcs that are left."""
     both = arcs.withColumn("slot", F.lit(0)).unionByName(arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), "step", F.lit(1).alias("slot")))
-    _, left, _ = peel(graph, both, arc_ends(arcs, graph.names), [], either=True)
+    _, left, _ = peel(graph, both, arc_ends(arcs, graph.names), [], either=True, enough=blocks.BLOCK)
     return cut(arcs.join(left.toDF("s"), "s", "left_semi").join(left.toDF("t"), "t", "left_semi"))
 
 
 def strong_components(edges: DataFrame, block: int | None = None) -> DataFrame:
     """(id, component) of the vertices in strongly connected components of two or more.
 
-    Components within a block are found there and contracted. If arcs lead from block to
-    block, what is left is trimmed to its cyclic core; there, every vertex is coloured with
-    the largest vertex that reaches it, and what of a colour reaches its root again is a
-    component; this repeats on the rest. component is the largest vertex of the component. block: see
-    numbered().
+    Components within a task are found there and contracted. If arcs lead from task to
+    task, what is left is trimmed to its cyclic core. A core that fits one task is searched
+    there; in a larger one, every vertex is coloured with the largest vertex that reaches
+    it, and what of a colour reaches its root again is a component; this repeats on the
+    rest. component is the largest vertex of the component. block: see numbered().
     """
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     graph = numbered(edges, block=block)
@@ -92,7 +94,11 @@ def strong_components(edges: DataFrame, block: int | None = None) -> DataFrame:
     arcs = graph.arcs.select("s", "t", "step").join(inner.toDF("s", "c"), "s", "left").select(whole("s"), "t", "step")
     arcs = arcs.join(inner.toDF("t", "c"), "t", "left").select("s", whole("t"), "step").where("s <> t").distinct()
     core, found = _trim(graph, cut(arcs)), Pile()
-    while core.take(1):
+    while size := core.count():
+        if size <= blocks.BLOCK:
+            found.add(whole_components(core))
+            break
+        graph = graph.shared(core.select(F.col("s").alias("n"), F.lit(1).alias("m")))
         still = core.withColumn("w", F.lit(0.0))
         starts = core.select(F.col("s").alias("n")).union(core.select("t")).distinct().where("n >= 0")
         colours = cut(relax(graph, still, starts.select(F.lit(0).alias("source"), "n", (-F.col("n")).cast("double").alias("d"))).select("n", (-F.col("d")).cast("long").alias("c")))

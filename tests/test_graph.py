@@ -210,6 +210,15 @@ def test_cycles_over_small_blocks_take_steps_by_tasks(spark, steps):
     assert len(steps) < 50
 
 
+def test_cycles_are_found_in_one_task_once_they_fit_one(spark, steps):
+    # Paths through all tasks lead to, between and from rings that lie in several tasks.
+    pairs = [*chain(60), *[(f"v{(i * 7) % 60:03}", f"w{i:03}") for i in range(40)], *[(f"v{b:03}", f"v{a:03}") for a, b in ((10, 25), (20, 30), (40, 55))]]
+    got = ids(G.strong_components(edges(spark, pairs), block=2), "id", "component")
+    assert got == [(f"v{i:03}", "v030") for i in range(10, 31)] + [(f"v{i:03}", "v055") for i in range(40, 56)]
+    # Numbering, components within tasks, one superstep of the trim, and the rest in one task.
+    assert len(steps) < 13
+
+
 def test_levels_finish_in_fewer_tasks_as_arcs_are_done(spark, monkeypatch):
     monkeypatch.setattr("canopy.operators.blocks.BLOCK", 40)
     rnd = random.Random(5)
