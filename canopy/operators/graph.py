@@ -144,12 +144,13 @@ def topological_levels(vertices: DataFrame, edges: DataFrame, block: int | None
     return levels_of(numbered(cut(edges.select("src", "dst").distinct()), vertices, block))
 
 
-def levels_of(graph: Numbered) -> DataFrame:
-    """As topological_levels() of a numbered graph."""
+def levels_of(graph: Numbered, named: bool = True) -> DataFrame:
+    """As topological_levels() of a numbered graph; without `named`, ids are its numbers."""
     levels, _, left = peel(graph, graph.arcs.withColumn("slot", F.lit(0)), graph.starts(), [])
     if left:
         raise CycleError("graph has a cycle")
-    return cut(graph.ids(levels, "n").select(F.col("n").alias("id"), "level"))
+    levels = graph.ids(levels, "n") if named else levels.where("n >= 0")
+    return cut(levels.select(F.col("n").alias("id"), "level"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, graph: Numbered | None = None) -> DataFrame:
@@ -191,8 +192,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, block: int | None = Non
     return paths_from(numbered(arcs, sources, block), arcs, sources)
 
 
-def paths_from(graph: Numbered, arcs: DataFrame, sources: DataFrame) -> DataFrame:
-    """As shortest_paths() of a numbered graph and its arcs (src, dst, w) by id."""
+def paths_from(graph: Numbered, arcs: DataFrame, sources: DataFrame, named: bool = True) -> DataFrame:
+    """As shortest_paths() of a numbered graph and its arcs (src, dst, w) by id; without
+    `named`, ids are its numbers, also in `sources`, and there are no parents."""
+    if not named:
+        starts = sources.select(F.col("id").alias("source"), F.col("id").alias("n"), F.lit(0.0).alias("d"))
+        return relax(graph, graph.arcs, starts).where("n >= 0").select("source", F.col("n").alias("id"), F.col("d").alias("dist"))
     starts = graph.numbers(sources, "id").select(F.col("id").alias("source"), F.col("id").alias("n"), F.lit(0.0).alias("d"))
     best = cut(graph.ids(relax(graph, graph.arcs, starts), "source", "n").select("source", F.col("n").alias("id"), F.col("d").alias("dist")))
     ways = best.join(arcs.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("id").alias("parent"))
